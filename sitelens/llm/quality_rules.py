@@ -21,8 +21,9 @@ from .common import WHITE, cut, table, white_words
 MIN_WORDS = 10
 #: A document is kept from this posterior on.
 KEEP_FROM = 0.5
-#: Pseudo-votes that each rule begins with, as a share of the documents, right at this rate.
-PRIOR_SHARE, PRIOR_RIGHT = 0.02, 0.8
+#: Pseudo-documents as a share of all, and how rules vote on them: on good ones, on bad ones.
+PRIOR_SHARE = 0.01
+PRIOR = {1: (0.4, 0.2), 0: (0.4, 0.4), -1: (0.2, 0.4)}
 ROUNDS = 50
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -86,36 +87,34 @@ def rules() -> dict[str, Column]:
     return {k: F.when(x, -1).otherwise(0) for k, x in bad.items()} | {"plain": F.when(plain, 1).otherwise(0)}
 
 
-def maximise(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """The share of good documents and each rule's accuracy.
+def maximise(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict]]:
+    """The share of good documents, and per rule the log-likelihood ratio (good to bad) of each vote.
 
-    patterns: the votes of all rules, and how many documents have them. Abstentions say nothing.
+    patterns: the votes of all rules, and how many documents have them. A rule is described by how
+    often it votes good, votes bad and abstains on documents of either class, as a rule that seldom
+    abstains on good documents says something by abstaining. The first guess is the majority vote.
     """
     total = sum(n for _, n in patterns)
     m = len(patterns[0][0]) if patterns else 0
-    share, right = 0.8, [PRIOR_RIGHT] * m
     alike = max(1.0, PRIOR_SHARE * total)
+    share, ratios = 0.8, [{1: 2.0, 0: 0.0, -1: -2.0}] * m
     for _ in range(rounds):
-        good_all = alike * 0.8
-        sums = [[alike * PRIOR_RIGHT, alike] for _ in range(m)]
+        good = bad = 0.0
+        counts = [{v: [alike * PRIOR[v][0], alike * PRIOR[v][1]] for v in PRIOR} for _ in range(m)]
         for votes, n in patterns:
-            p = posterior(votes, share, right)
-            good_all += n * p
-            for s, v in zip(sums, votes):
-                if v:
-                    s[0] += n * (p if v > 0 else 1 - p)
-                    s[1] += n
-        share = good_all / (total + alike)
-        right = [max(0.5, a / b) for a, b in sums]
-    return share, right
+            p = posterior(votes, share, ratios)
+            good, bad = good + n * p, bad + n * (1 - p)
+            for by_vote, v in zip(counts, votes):
+                by_vote[v][0] += n * p
+                by_vote[v][1] += n * (1 - p)
+        share = (good + 0.8 * alike) / (total + alike)
+        ratios = [{v: math.log(g / (good + alike)) - math.log(b / (bad + alike)) for v, (g, b) in x.items()} for x in counts]
+    return share, ratios
 
 
-def log_odds(p: float) -> float:
-    return math.log(p / (1 - p))
-
-
-def posterior(votes: tuple[int, ...], share: float, right: list[float]) -> float:
-    return 1 / (1 + math.exp(-log_odds(share) - sum(v * log_odds(a) for v, a in zip(votes, right))))
+def posterior(votes: tuple[int, ...], share: float, ratios: list[dict]) -> float:
+    odds = math.log(share / (1 - share)) + sum(r[v] for r, v in zip(ratios, votes))
+    return 1 / (1 + math.exp(-odds)) if odds > -500 else 0.0
 
 
 def judge(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -124,10 +123,10 @@ def judge(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     df = cut(statistics(docs.select("doc_id", "text")).withColumns({f"vote_{k}": v for k, v in votes.items()}))
     names = [f"vote_{k}" for k in votes]
     patterns = [(tuple(r[:-1]), r[-1]) for r in df.groupBy(*names).count().collect()]
-    share, right = maximise(sorted(patterns)) if patterns else (0.8, [PRIOR_RIGHT] * len(names))
-    total = F.lit(log_odds(share))
-    for name, a in zip(names, right):
-        total = total + F.col(name) * log_odds(a)
+    share, ratios = maximise(sorted(patterns)) if patterns else (0.8, [])
+    total = F.lit(math.log(share / (1 - share)))
+    for name, by_vote in zip(names, ratios):
+        total = total + F.when(F.col(name) > 0, by_vote[1]).when(F.col(name) < 0, by_vote[-1]).otherwise(by_vote[0])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     df = df.withColumns({"base_failed": failed, "quality": 1 / (1 + F.exp(-total))})
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
