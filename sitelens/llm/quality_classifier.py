@@ -30,6 +30,7 @@ THRESHOLD = 0.3
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOLS, _STOPS, _COMMAS = b"#*$%&|<>{}[]=+~^_\\/@", b".?", b",;:"
 STATISTICS = 14
+USUAL = 20
 
 
 def statistics(text: str | None) -> list[float]:
@@ -39,24 +40,25 @@ def statistics(text: str | None) -> list[float]:
     words, lines = data.split(), [x for x in data.split(b"\n") if x]
     n, size = len(words), len(data)
     less = lambda drop: size - len(data.translate(None, drop))
-    rate = lambda k, of: float(np.log((k + 0.1) / (of + 10)))
+    # A usual share stands in for the first USUAL units of each ratio.
+    rate = lambda k, of, usual: float(np.log((k + USUAL * usual) / (of + USUAL)))
     distinct = len(set(words))
     letters = sum(map(len, words))
     return [
-        float(np.log1p(n)),
-        float(np.log1p(letters / n if n else 0.0)),
-        float(np.log1p(distinct)) - 0.8 * float(np.log1p(n)),
-        rate(sum(map(operator.eq, words, words[1:])), n),
-        rate(sum(map(operator.eq, words, words[2:])), n),
-        rate(len(lines) - len(set(lines)), len(lines)),
-        rate(less(_UPPER), size),
-        rate(less(_DIGITS), size),
-        rate(less(_SYMBOLS), n),
-        rate(data.count(b"!"), n),
-        rate(less(_STOPS), n),
-        rate(less(_COMMAS), n),
-        rate(size - letters, size),
-        float(np.log1p(max(map(len, words), default=0))),
+        float(np.log(n + USUAL)),
+        float(np.log((letters + 5 * USUAL) / (n + USUAL))),
+        float(np.log(distinct + USUAL) - 0.8 * np.log(n + USUAL)),
+        rate(sum(map(operator.eq, words, words[1:])), n, 0.01),
+        rate(sum(map(operator.eq, words, words[2:])), n, 0.01),
+        rate(len(lines) - len(set(lines)), len(lines), 0.02),
+        rate(less(_UPPER), size, 0.03),
+        rate(less(_DIGITS), size, 0.005),
+        rate(less(_SYMBOLS), n, 0.005),
+        rate(data.count(b"!"), n, 0.005),
+        rate(less(_STOPS), n, 0.1),
+        rate(less(_COMMAS), n, 0.05),
+        rate(size - letters, size, 0.17),
+        float(np.log1p(max(map(len, words), default=0) + 10)),
     ]
 
 
