@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import licences, mixing, quality_rules
+from . import bpe, html_text, language_id, licences, mixing, quality_classifier, quality_rules, topk
 
 
 def queries() -> dict:
     return {
         "op1_licences": licences.op1_licences,
+        "op2_bpe": bpe.op2_bpe,
+        "op4_language_id": language_id.op4_language_id,
+        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+        "op6_html_text": html_text.op6_html_text,
+        "op7_topk": topk.op7_topk,
         "op8_mixing": mixing.op8_mixing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
@@ -15,5 +20,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_topk": topk.OP7_SQL,
         "op8_mixing": mixing.OP8_SQL,
     }
