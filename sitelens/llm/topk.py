@@ -39,6 +39,8 @@ COORDINATES_FROM = 0.6
 #: Rows of the block that first thresholds are taken from.
 SEEDS = 2048
 EXACT = float(1 << 53)
+#: The score of what is no candidate; its negative is an integer too.
+NONE = -(1 << 62)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,14 +58,14 @@ class Best:
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
         self.k, self.floor = k, floor  # no score below floor is among the k best
-        self.scores = np.full((n, k), np.iinfo(np.int64).min)
+        self.scores = np.full((n, k), NONE)
         self.ids = np.full((n, k), np.iinfo(np.int64).max)
 
     def least(self, q) -> np.ndarray:
         return np.maximum(self.scores[q, -1], self.floor[q])
 
     def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: queries by candidates, with candidates to be left out at the least integer."""
+        """scores: queries by candidates, with candidates to be left out at NONE."""
         if scores.shape[1] > 4 * self.k:
             # A cut at the k-th score keeps all ties with it.
             cut = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
@@ -86,9 +88,6 @@ class Best:
         self.scores[q], self.ids[q] = s[order], i[order]
 
 
-NONE = np.iinfo(np.int64).min
-
-
 def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
     """Adds the candidates of one chunk to best."""
     q_len = np.sqrt(np.einsum("ij,ij->i", queries, queries))
