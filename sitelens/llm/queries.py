@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, language_id, licences, mixing, quality_classifier, quality_rules, topk
+from . import bpe, html_text, language_id, licences, lm_score, mixing, near_dedup, quality_classifier, quality_rules, topk
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
         "op1_licences": licences.op1_licences,
         "op2_bpe": bpe.op2_bpe,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op4_language_id": language_id.op4_language_id,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_html_text": html_text.op6_html_text,
         "op7_topk": topk.op7_topk,
         "op8_mixing": mixing.op8_mixing,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "pipeline": pipeline,
     }
 
 
