@@ -6,10 +6,11 @@ one token at its root and, where a node holds more than LEAF classes, by BRANCHE
 the node's path chooses; every class can follow its own paths from its tokens alone, so a level is
 one grouping by path. Nodes of two to LEAF classes are compared exhaustively, by the share of equal
 tokens; TREES independent trees reach the target recall (a pair at similarity 0.75 misses all roots
-with chance 0.25 ** 8, under 2 in 100 000). Each node gives a maximum spanning forest of the pairs
-that may be links, never all pairs of a group of copies. Links are confirmed on full sets; then nodes
-that hold further possible pairs between different components give all of these, so that no link
-between components is lost to a forest edge that failed. Components come from alternating large and
+with chance 0.25 ** 8, under 2 in 100 000). Each node gives a maximum
+spanning forest of the pairs that may be links, never all pairs of a group of copies. Links are
+confirmed on full sets; nodes with further possible pairs, whose members the confirmed links leave in
+different components, then get their members' full sets and count all pairs, so that no link between
+components is lost, and again only those that join components leave the task. Components come from alternating large and
 small stars.
 
 Defined results: a document without words or with a null text has no shingles, links with nothing and
@@ -140,9 +141,9 @@ def alike(sketches: np.ndarray, sizes: np.ndarray, i: int) -> np.ndarray:
     return out
 
 
-def forest(sketches: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
-    """A maximum spanning forest of the possible links, and whether there are others beside it."""
-    n, edges, possible = len(sizes), [], 0
+def forest(sketches: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A maximum spanning forest of the possible links, and the members of any where there are others beside it."""
+    n, edges, possible = len(sizes), [], np.zeros(len(sizes), int)
     open_, best, via = np.ones(n, bool), np.zeros(n), np.zeros(n, int)
     for _ in range(n):
         at = int(np.where(open_, best, -1).argmax())
@@ -150,40 +151,71 @@ def forest(sketches: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int
             edges.append((at, int(via[at])))
         open_[at] = False
         own = alike(sketches, sizes, at)
-        possible += int((own >= MAYBE).sum())
+        possible[at] = (own >= MAYBE).sum()
         nearer = open_ & (own > best)
         best[nearer], via[nearer] = own[nearer], at
-    return edges, possible > 2 * len(edges)
+    more = possible.sum() > 2 * len(edges)
+    return edges, np.flatnonzero(possible) if more else np.zeros(0, int)
 
 
 def compared(members: DataFrame) -> DataFrame:
-    """(leaf, members: [id, n, sketch, component]) -> leaf, a, b, more. With components known, all
-    possible links between different ones; without (null), a spanning forest, and if there are more."""
+    """(leaf, members: [id, n, sketch]) -> leaf, a, b: a spanning forest of the possible links (a < b),
+    and the members of any (a = b) in nodes where there are others beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, bool]] = []
+            out: list[tuple[int, int, int]] = []
             for leaf, own in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = own.values
-                ids, sizes, component = (own.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component"))
-                sketches = np.frombuffer(b"".join(own.field("sketch").to_pylist()), np.uint8).reshape(len(ids), MINHASHES)
-                if own.field("component").null_count:
-                    edges, more = forest(sketches, sizes)
-                else:
-                    edges, more = [], False
-                    for i in range(len(ids)) if len(np.unique(component)) > 1 else ():
-                        near = alike(sketches, sizes, i) >= MAYBE
-                        edges += [(i, int(j)) for j in np.flatnonzero(near & (component != component[i])) if j > i]
-                out += [(leaf, *sorted((int(ids[i]), int(ids[j]))), more) for i, j in edges]
-            columns = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["leaf", "a", "b", "more"])
-
-    return members.select("leaf", "members").mapInArrow(run, "leaf long, a long, b long, more boolean")
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links on their full sets, with tested pairs as linked = false."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "k1"), "id"))
+                ids, sizes = (own.field(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
+                edges, more = forest(np.frombuffer(b"".join(own.field("sketch").to_pylist()), np.uint8).reshape(len(ids), MINHASHES), sizes)
+                out += [(leaf, *sorted((int(ids[i]), int(ids[j])))) for i, j in edges]
+                out += [(leaf, int(ids[i]), int(ids[i])) for i in more]
+            columns = zip(*out) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["leaf", "a", "b"])
+
+    return members.select("leaf", "members").mapInArrow(run, "leaf long, a long, b long")
+
+
+def joined(members: DataFrame) -> DataFrame:
+    """(members: [id, component, set]) -> a, b: links on full sets that join different components.
+
+    All pairs of a node are counted, a member against all at a time: its shingles are marked and
+    the marks summed over the others' sets. Pairs within one component are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for own in batch.column(0):
+                own = own.values
+                ids, component = (own.field(c).to_numpy(zero_copy_only=False) for c in ("id", "component"))
+                sets = [np.frombuffer(x, np.uint64) for x in own.field("set").to_pylist()]
+                sizes = np.array([len(x) for x in sets])
+                _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                marks = np.zeros(flat.max() + 1, np.int32)
+                component = component.copy()
+                for i in range(len(ids)):
+                    if (component[i + 1 :] == component[i]).all():
+                        continue
+                    part = flat[starts[i] : starts[i] + sizes[i]]
+                    marks[part] = 1
+                    common = np.add.reduceat(marks[flat], starts)
+                    marks[part] = 0
+                    linked = 100 * common >= PERCENT * (sizes + sizes[i] - common)
+                    for j in np.flatnonzero(linked & (component != component[i])):
+                        if component[j] != component[i]:
+                            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+                            component[component == component[j]] = component[i]
+            columns = zip(*out) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return members.select("members").mapInArrow(run, "a long, b long")
+
+
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id) -> (id, set): the shingles of the classes with these distinct ids, from their texts."""
+    ids = cut(ids.join(classes.select("id", "k1"), "id"))
     few = ids.count() <= BROADCAST_IDS
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "id")
 
@@ -194,8 +226,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             at = np.flatnonzero(np.array(own, np.int64) == batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["id", "set"])
 
-    sets = picked.select("id", "k1", "text").mapInArrow(run, "id long, set binary")
-    # Rows that repeat an id would repeat its pairs; links are told apart below.
+    return picked.select("id", "k1", "text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links on their full sets."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +242,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean").filter("linked").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,23 +271,19 @@ def grouped(docs: DataFrame) -> DataFrame:
     classes = own.groupBy("k1", "k2").agg(F.min("doc_id").cast("long").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = cut(classes)
     nodes = leaves(classes)
-    sketches = classes.select("id", "n", "sketch")
-
-    def members(of: DataFrame, component) -> DataFrame:
-        one = F.struct("id", "n", "sketch", component.cast("long").alias("component"))
-        return of.groupBy("leaf").agg(F.collect_list(one).alias("members")).filter(F.size("members") > 1)
-
-    first = cut(compared(members(nodes.join(sketches, "id"), F.lit(None))))
-    tested = cut(confirmed(first.select("a", "b").distinct(), classes, docs))
-    links = tested.filter("linked").select("a", "b")
+    members = nodes.join(classes.select("id", "n", "sketch"), "id").groupBy("leaf").agg(F.collect_list(F.struct("id", "n", "sketch")).alias("members"))
+    first = cut(compared(members))
+    pairs = first.filter("a < b").select("a", "b").distinct()
+    links = cut(confirmed(pairs, full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs)))
     found = cut(components(links))
-    # Nodes with possible links beside their forest: all of these between different components.
-    more = first.filter("more").select("leaf").distinct()
-    again = nodes.join(more, "leaf", "left_semi").join(sketches, "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    pairs = compared(members(again, F.col("component"))).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = cut(pairs)
-    if not pairs.isEmpty():
-        links = links.union(confirmed(pairs, classes, docs).filter("linked").select("a", "b"))
+    # Nodes with possible links beside their forest, where these may join different components.
+    more = first.filter("a = b").select("leaf", F.col("a").alias("id")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = more.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("leaf")
+    more = cut(more.join(open_, "leaf", "left_semi"))
+    if not more.isEmpty():
+        sets = full_sets(more.select("id").distinct(), classes, docs)
+        one = F.struct("id", "component", "set")
+        links = links.union(joined(more.join(sets, "id").groupBy("leaf").agg(F.collect_list(one).alias("members"))))
         found = cut(components(links))
     by_class = classes.select("k1", "k2", "id").join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n", "k1", "k2").join(by_class, ["k1", "k2"], "left")
