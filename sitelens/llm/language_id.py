@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, small_batches, table
 
 #: Labelled rows that are learned from, per language, and languages at most; all rows where there are fewer.
-SAMPLE, MOST_LANGUAGES = 1000, 200
+SAMPLE, MOST_LANGUAGES = 600, 100
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 16, 6, 0.3, 7
 #: Share of correctly predicted calibration rows that may be rejected, and the highest threshold.
 LOST, HIGHEST = 0.002, 0.5
@@ -157,11 +157,19 @@ def fit(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -
             )
 
     sample = known.filter(drawn).select("lang", "text").mapInArrow(run, "lang string, at array<int>, counts array<int>")
-    rows = sample.limit(2 * SAMPLE * len(counts)).toArrow()
-    rows = [(x, np.array(a), np.array(c)) for x, a, c in zip(*(rows.column(k).to_pylist() for k in range(3)))]
+    rows = [r for part in sample.limit(2 * SAMPLE * len(counts)).toArrow().to_batches() for r in bags(part)]
     return train(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
 
+def bags(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The rows of a batch (lang, at, counts) as views of its numbers."""
+    at, counts = batch.column(1), batch.column(2)
+    ends, flat_at, flat_counts = at.offsets.to_numpy(), at.values.to_numpy(), counts.values.to_numpy()
+    shift = counts.offsets[0].as_py() - int(ends[0])
+    for k, lang in enumerate(batch.column(0).to_pylist()):
+        yield lang, flat_at[ends[k] : ends[k + 1]], flat_counts[ends[k] + shift : ends[k + 1] + shift]
+
+
 def predictor(spark: SparkSession, model: Model):
     """A column function: text -> struct(lang, score, rejected)."""
     sent = spark.sparkContext.broadcast(model)

@@ -6,7 +6,8 @@ one token at its root and, where a node holds more than LEAF classes, by BRANCHE
 the node's path chooses; every class can follow its own paths from its tokens alone, so a level is
 one grouping by path. Nodes of two to LEAF classes are compared exhaustively, by the share of equal
 tokens; TREES independent trees reach the target recall (a pair at similarity 0.75 misses all roots
-with chance 0.25 ** 8, under 2 in 100 000). Each node gives a maximum
+with chance 0.25 ** 8, under 2 in 100 000; where nodes are large, it misses all paths of five levels with
+chance 0.002). Nodes that are large after MAX_DEPTH levels are compared in blocks, pair by pair of parts. Each node gives a maximum
 spanning forest of the pairs that may be links, never all pairs of a group of copies. Links are
 confirmed on full sets; nodes with further possible pairs, whose members the confirmed links leave in
 different components, then get their members' full sets and count all pairs, so that no link between
@@ -34,7 +35,7 @@ from .common import cut, small_batches, table
 SHINGLE = 5
 #: Similarity of a link, in per cent.
 PERCENT = 75
-MINHASHES, TREES, BRANCHES, LEAF, MAX_DEPTH = 128, 8, 2, 2000, 7
+MINHASHES, TREES, BRANCHES, LEAF, MAX_DEPTH = 128, 8, 2, 2000, 5
 #: Estimated similarity from which a pair is confirmed: four standard errors under the link's.
 MAYBE = 0.6
 #: Ids that may be broadcast to pick the documents of possible links (8 bytes each); more are joined by a shuffle.
@@ -113,20 +114,22 @@ def leaves(classes: DataFrame) -> DataFrame:
     rows = classes.select("id", F.explode(roots).alias("node"))
     found = None
     for depth in range(MAX_DEPTH + 1):
-        sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1"))
+        sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         rows = rows.join(sizes, "node")
         if depth < MAX_DEPTH:
             own = rows.filter(F.col("size") <= LEAF).select(F.col("node").alias("leaf"), "id")
         else:
-            # Still large after so many common tokens: near copies, in parts that share the node's first class.
-            n = F.ceil(F.col("size") / LEAF).cast("int")
-            part = F.when((F.col("id") == F.col("first")) & (n > 1), F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.pmod(F.hash("id"), n)))
-            own = rows.withColumn("part", F.explode(part)).select(F.xxhash64("node", "part").alias("leaf"), "id")
+            # Still large after so many common tokens, so near copies: all pairs of parts, half a leaf each.
+            n = F.ceil(2 * F.col("size") / LEAF).cast("int")
+            own = rows.withColumns({"part": F.pmod(F.hash("id"), n), "other": F.explode(F.sequence(F.lit(0), n - 1))})
+            whole = F.col("size") <= LEAF
+            own = own.filter(~whole | (F.col("other") == 0))
+            pair = F.when(whole, F.xxhash64("node")).otherwise(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")))
+            own = own.select(pair.alias("leaf"), "id")
         found = own if found is None else found.unionByName(own)
         if depth == MAX_DEPTH or sizes.filter(F.col("size") > LEAF).isEmpty():
             break
-        branches = BRANCHES if depth < 3 else 1
-        chosen = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(MINHASHES)).cast("int") for j in range(branches)]
+        chosen = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(MINHASHES)).cast("int") for j in range(BRANCHES)]
         children = F.array(*(F.xxhash64("node", F.lit(j), F.get("tokens", c)) for j, c in enumerate(chosen)))
         rows = cut(rows.filter(F.col("size") > LEAF).select("node", "id").join(classes.select("id", "tokens"), "id").select("id", F.explode(children).alias("node")))
     return cut(found)
