@@ -28,7 +28,7 @@ from .common import small_batches, table
 
 END = "</w>"
 #: Words and fragments that a worker remembers at once.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: How the tokenizer of the file splits normalised text, with its white space spelled out.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may hold, so that batches of long texts stay small.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 #: The ASCII white space that separates words.
 WHITE = r"\x20\x09-\x0D"
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, small_batches, table
 
 #: Labelled rows that are learned from, per language, and languages at most; all rows where there are fewer.
-SAMPLE, MOST_LANGUAGES = 600, 100
+SAMPLE, MOST_LANGUAGES = 300, 100
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 16, 6, 0.3, 7
 #: Share of correctly predicted calibration rows that may be rejected, and the highest threshold.
 LOST, HIGHEST = 0.002, 0.5
@@ -158,7 +158,11 @@ def fit(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -
 
     sample = known.filter(drawn).select("lang", "text").mapInArrow(run, "lang string, at array<int>, counts array<int>")
     rows = [r for part in sample.limit(2 * SAMPLE * len(counts)).toArrow().to_batches() for r in bags(part)]
-    return train(sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    model = train(rows)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def bags(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:

@@ -41,7 +41,7 @@ MAYBE = 0.6
 #: Ids that may be broadcast to pick the documents of possible links (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Words that a worker remembers hashes of.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, MINHASHES, dtype=np.uint64)

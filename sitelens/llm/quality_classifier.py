@@ -128,9 +128,9 @@ def fit(spark: SparkSession, rows: DataFrame, labels: DataFrame, may_learn: Colu
     each = known.mapInPandas(run, "k int, n double, s array<double>, q array<double>")
     sums = {}
     by = each.select("k", "n", F.posexplode(F.concat("s", "q")).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    d = STATISTICS
+    d, found = STATISTICS, by.collect()
     for k in (0, 1):
-        own = {r["i"]: r for r in by.filter(F.col("k") == k).collect()}
+        own = {r["i"]: r for r in found if r["k"] == k}
         if own:
             v = np.array([own[i]["v"] for i in range(d + d * d)])
             sums[k] = (own[0]["n"], v[:d], v[d:].reshape(d, d))
