@@ -13,6 +13,7 @@ row is encoded alone; an empty table gives an empty result; other columns are ig
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import struct
 import unicodedata
@@ -29,6 +30,9 @@ from .common import small_batches, table
 END = "</w>"
 #: Words and fragments that a worker remembers at once.
 REMEMBERED = 100_000
+#: Symbols from which a fragment is merged by a heap, and a word is not remembered.
+LONG = 200
+NONE = 1 << 60
 #: How the tokenizer of the file splits normalised text, with its white space spelled out.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -41,15 +45,23 @@ def byte_symbols() -> list[str]:
 
 
 class _Words(dict):
-    """Word -> its ids as little-endian bytes; emptied when it has grown to REMEMBERED words."""
+    """Word -> its ids as little-endian bytes.
+
+    Holds up to twice REMEMBERED words: when REMEMBERED new ones have come, those that were not met
+    again since the last time are dropped, so that frequent words stay. Words over LONG are not held.
+    """
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word):
+        if len(word) > LONG:
+            return self.encode(word)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[word] = ids = self.encode(word)
+        ids = self.older.get(word)
+        self[word] = ids = self.encode(word) if ids is None else ids
         return ids
 
 
@@ -86,14 +98,41 @@ class Bpe:
 
     def encode_fragment(self, symbols: tuple[str, ...]) -> bytes:
         """Merges the pair of lowest rank, leftmost first, until none can be merged."""
-        parts, ranks, none = list(symbols), self.ranks, 1 << 60
-        while len(parts) > 1:
-            rank, at = min((ranks.get(pair, none), k) for k, pair in enumerate(zip(parts, parts[1:])))
-            if rank == none:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts = self.merged_long(symbols) if len(symbols) > LONG else self.merged(symbols)
         return struct.pack(f"<{len(parts)}I", *(self.ids[p] for p in parts))
 
+    def merged(self, symbols: tuple[str, ...]) -> list[str]:
+        parts, rank = list(symbols), self.ranks.get
+        found = [rank(pair, NONE) for pair in zip(parts, parts[1:])]
+        while found and (best := min(found)) < NONE:
+            at = found.index(best)
+            parts[at : at + 2] = [new] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = rank((parts[at - 1], new), NONE)
+            if at < len(found):
+                found[at] = rank((new, parts[at + 1]), NONE)
+        return parts
+
+    def merged_long(self, symbols: tuple[str, ...]) -> list[str]:
+        """The same by a heap over a linked list, so that a fragment of any length takes n log n steps."""
+        parts, ranks, n = list(symbols), self.ranks, len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(ranks[pair], k, *pair) for k, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
+        heapq.heapify(heap)
+        while heap:
+            _, k, x, y = heapq.heappop(heap)
+            nxt = after[k]
+            if nxt >= n or parts[k] != x or parts[nxt] != y:
+                continue
+            parts[k], parts[nxt], after[k] = x + y, "", after[nxt]
+            if after[k] < n:
+                before[after[k]] = k
+            for left, right in ((before[k], k), (k, after[k])):
+                if left >= 0 and right < n and (parts[left], parts[right]) in ranks:
+                    heapq.heappush(heap, (ranks[parts[left], parts[right]], left, parts[left], parts[right]))
+        return [p for p in parts if p]
+
     def encode_plain(self, text: str) -> bytes:
         if not text.isascii():
             # Lower-casing goes letter by letter there: a sigma at a word's end is like any other.

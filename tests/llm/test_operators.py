@@ -77,6 +77,30 @@ def test_bpe(spark, docs, odd):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_long_fragments():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(bpe.default_path()), bpe.Bpe(open(bpe.default_path(), encoding="utf-8").read())
+    t.no_truncation()
+    draw = random.Random(5)
+    for n in (2, 3, 20, bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000):
+        for _ in range(20):
+            word = "".join(draw.choice("abcdetaoinsr") for _ in range(n))
+            symbols = (*word[:-1], word[-1] + bpe.END)
+            assert own.merged(symbols) == own.merged_long(symbols)
+            assert own.encode(word) == np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    made = []
+    words = bpe._Words(lambda w: made.append(w) or w)
+    assert [words[w] for w in "abcabcdabef"] == list("abcabcdabef") and made == list("abcdef")
+    assert len(words) <= 3 and len(words.older) <= 3
+
+
 def test_language_model(spark, docs):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
     tokens = {i: [*lm_score.tokens(r.text), b"\n"] for i, r in docs.items()}
