@@ -44,3 +44,35 @@ SHOP_WORDS = ["checkout", "cart", "buy now", "add to cart", "shop now", "order n
 PHISHING = {"login_external": 30, "password_external": 25, "password": 12, "cross_domain": 15, "meta_refresh": 10, "js_redirect": 10, "mismatch": 15, "no_https": 8, "eval": 5, "obfuscated": 5, "external_action": 8}
 SHELL = {"words": 4, "no_contact_about": 12, "cross_domain": 12, "urgency": 5, "discount": 5, "impersonation": 6}
 COMPLIANCE = {"no_privacy": 18, "no_terms": 15, "no_refund": 12, "no_shipping": 8, "no_contact": 10, "no_about": 5, "payment": 15, "sitemap": 3}
+
+# Marks of challenge pages in titles and bodies, in the order in which they are tried, and case-sensitive marks of fetched pages.
+CHALLENGE_TITLES = ["attention required", "cloudflare", "just a moment", "please wait", "checking your browser", "ddos protection", "access denied", "security check"]
+CHALLENGE_BODIES = ["verify you are human", "checking your browser", "ray id", "please enable javascript", "enable cookies", "complete the security check", "prove you are not a robot", "captcha"]
+CHALLENGE_MARKS = ["Just a moment...", "_cf_chl_opt", "challenge-platform"]
+
+# Marks of pages that scripts draw, and of content behind a click.
+SCRIPTED = [r"__NEXT_DATA__|_next\/static|react-root", r"__VUE_|vue-app|nuxt", "ng-app|angular|ng-version", "data-reactroot|data-v-|ng-binding", 'lazy-load|data-src|loading="lazy"', 'aria-expanded="false"|data-toggle="collapse"|accordion']
+EXPANDABLE = 'aria-expanded="false"|data-toggle="collapse"|accordion|collapsible'
+
+# Marks of missing pages and of contact pages.
+MISSING_PAGE = [r"<title[^>]*>.*404.*<\/title>", r"<title[^>]*>.*not\s*found.*<\/title>", r"<title[^>]*>.*page\s*not\s*found.*<\/title>", 'rel="canonical"[^>]*404', r"sorry[!,]?\s*(we\s*)?(couldn'?t|could\s*not)\s*find",
+                r"page\s*(you\s*)?(were\s*)?(looking\s*for|requested)\s*(was\s*)?(not\s*found|doesn'?t\s*exist|couldn'?t\s*be\s*found)"]
+CONTACT_MARKS = [r"contact\s*(us|information|details)", r"get\s*in\s*touch", r"reach\s*(us|out)", r"customer\s*(service|support)\s*(hotline|number|phone)?", "hotline|helpline", r"call\s*(us|our)", r"email\s*(us|our)",
+                 r"send\s*(us\s*)?(a\s*)?message", 'href="tel:', 'href="mailto:', r"phone\s*number", r"business\s*hours", r"operating\s*hours"]
+
+# Titles of parked sites, addresses that are nobody's, and headers of interest.
+PARKED = ["parked", "coming soon", "under construction", "domain for sale", "this domain", "buy this domain", "placeholder", "website coming", "site under development", "future home of", "nothing here yet", "page not found", "default page", "congratulations.*new website"]
+NOBODYS = r"@example\.|@test\.|@localhost|noreply@|no-reply@|@sentry\.|@wixpress\."
+SECURITY_HEADERS = {"hsts": "strict-transport-security", "csp": "content-security-policy", "xfo": "x-frame-options", "xcto": "x-content-type-options", "referrer": "referrer-policy"}
+
+# Paths of products, and paths that are never one.
+PRODUCT_PATHS = [r"\/products?\/", r"\/p\/", r"\/item\/", r"\/shop\/", r"\/sku\/", r"\/catalog\/", r"\/goods\/", r"\/merchandise\/", r"\/buy\/", r"\/store\/.*?\/\d+", r"\/dp\/", r"\/pd\/", r"\/listing\/", r"^\/[a-z0-9]+-[a-z0-9]+-[a-z0-9]+-[a-z0-9]+(-[a-z0-9]+)*\/?$"]
+NEVER_PRODUCT = [r"^\/$", r"^\/shop\/?$", r"^\/store\/?$", r"\/blog\/", r"\/article\/", r"\/news\/", r"\/post\/", r"\/cart", r"\/checkout", r"\/account", r"\/login", r"\/register", r"\/signup", r"\/signin", r"\/contact", r"\/about", r"\/faq", r"\/help", r"\/support",
+                 r"\/privacy", r"\/terms", r"\/policy", r"\/shipping", r"\/returns", r"\/wishlist", r"\/favorites", r"\/search", r"^\/category\/?$", r"^\/categories\/?$", r"\/product-category\/", r"\/collections?\/[^\/]+\/?$", r"\/collection\/[^\/]+\/?$", r"\/pages?\/"]
+
+# Paths at which policies are looked for.
+PROBED_PATHS = ["/privacy", "/privacy-policy", "/terms", "/terms-of-service", "/refund", "/returns", "/shipping", "/contact", "/about"]
+
+# Points that failures take from a comparison's confidence, and its limits.
+COMPARISON = {"start": 80, "robots": 80, "challenge": 70, "non_html": 70, "other": 50, "few_words": 20, "no_text": 30, "highest": 90}
+FEW_WORDS = 150

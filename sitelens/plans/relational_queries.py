@@ -40,7 +40,7 @@ def domain_latest_scan(spark, sf):
     s = scans(spark, sf)
     last = R.latest_per_key(s, ["domain_id"], "created_at", "scan_id")
     counts = s.groupBy("domain_id").agg(F.count("*").alias("n"))
-    domains = t(spark, sf, "customer").filter("c_custkey <= 300").select(F.col("c_custkey").alias("domain_id"), F.col("c_name").alias("name"))
+    domains = t(spark, sf, "customer").select(F.col("c_custkey").alias("domain_id"), F.col("c_name").alias("name"))
     out = domains.join(counts, "domain_id", "left").join(last, "domain_id", "left")
     return out.select("domain_id", "name", F.coalesce("n", F.lit(0)).alias("scans"), "scan_id", "status")
 
@@ -270,7 +270,7 @@ def catalogue() -> dict:
     return {
         "latest_per_key": (latest_per_key, LATEST),
         "topk_per_parent": (topk_per_parent, f"SELECT domain_id, scan_id, status, CAST(k AS INTEGER) AS rank FROM ({STARS}) WHERE k <= 5"),
-        "domain_latest_scan": (domain_latest_scan, f"WITH s AS ({STARS}), n AS (SELECT domain_id, count(*) AS n FROM s GROUP BY 1) SELECT c_custkey AS domain_id, c_name AS name, coalesce(n, 0) AS scans, scan_id, status FROM customer LEFT JOIN n ON n.domain_id = c_custkey LEFT JOIN s ON s.domain_id = c_custkey AND k = 1 WHERE c_custkey <= 300"),
+        "domain_latest_scan": (domain_latest_scan, f"WITH s AS ({STARS}), n AS (SELECT domain_id, count(*) AS n FROM s GROUP BY 1) SELECT c_custkey AS domain_id, c_name AS name, coalesce(n, 0) AS scans, scan_id, status FROM customer LEFT JOIN n ON n.domain_id = c_custkey LEFT JOIN s ON s.domain_id = c_custkey AND k = 1"),
         "completed_first": (completed_first, f"SELECT domain_id, scan_id, status FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY status = 'completed' DESC, created_at DESC, scan_id DESC) AS k FROM {S}) WHERE k = 1"),
         "offset_page": (offset_page, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 20 OFFSET 40"),
         "cursor_page": (cursor_page, "SELECT o_orderkey, o_totalprice, (SELECT count(*) > 20 FROM orders WHERE o_totalprice <= 200000) AS has_more FROM orders WHERE o_totalprice <= 200000 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 20"),

@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sitelens.plans import page_queries, relational_queries
+from sitelens.plans import page_queries, relational_queries, store_queries
 
 SF = "/root/testdata/sf0.001"
-CATALOGUE = page_queries.catalogue() | relational_queries.catalogue()
+CATALOGUE = page_queries.catalogue() | relational_queries.catalogue() | store_queries.catalogue()
 
 
 @pytest.fixture(scope="module")
