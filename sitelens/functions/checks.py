@@ -64,3 +64,23 @@ def links(q) -> dict[str, str]:
         "in_scope_bare": q.size(q.keep(hrefs, "x", in_scope(bare(of("x")), bare(P.host(q))))),
         "products": q.size(q.keep(hrefs, "x", product)),
     }
+
+
+def resolved(q, href: str, base: str = "url") -> str:
+    """A link as an absolute one without its fragment; null where it leads to no page.
+
+    Segments `.` and `..` are kept as they are."""
+    link = q.sub(f"trim({href})", "#.*$", "")
+    origin, scheme = q.first(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"), q.first(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)//")
+    folder, page_ = q.first(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*/)"), q.sub(base, "[?#].*$", "")
+    return (f"CASE WHEN {href} IS NULL OR {link} = '' THEN NULL WHEN {q.has(link, '(?i)^https?://')} THEN {link} WHEN {q.has(link, '^//')} THEN concat({scheme}, {link}) "
+            f"WHEN {q.has(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:')} THEN NULL WHEN {q.has(link, '^/')} THEN concat({origin}, {link}) WHEN {q.has(link, '^[?]')} THEN concat({page_}, {link}) "
+            f"ELSE concat({origin}, coalesce(nullif({folder}, ''), '/'), {link}) END")
+
+
+def site_links(q) -> dict[str, str]:
+    """The distinct pages of a page's own host that it links to, without a slash at the end."""
+    hrefs = q.all("h", r"""(?i)<a\s+[^>]*href\s*=\s*["']([^"']*)["']""")
+    own = q.keep(q.each(hrefs, "x", resolved(q, "x")), "y", f"y IS NOT NULL AND {P.host(q, 'y')} = {P.host(q)}")
+    found = q.sorted_distinct(q.each(own, "z", q.sub("z", "/$", "")))
+    return {"site_links": q.joined(found, " "), "n_site_links": q.size(found)}

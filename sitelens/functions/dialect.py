@@ -29,6 +29,7 @@ class Spark:
     def size(self, xs): return f"size({xs})"
     def slice(self, xs, n): return f"slice({xs}, 1, {n})"
     def distinct_size(self, xs): return f"size(array_distinct({xs}))"
+    def sorted_distinct(self, xs): return f"array_sort(array_distinct({xs}))"
     def joined(self, xs, by): return f"array_join({xs}, '{by}')"
     def sha256(self, c): return f"sha2({c}, 256)"
     def sum(self, xs): return f"aggregate({xs}, 0, (a, x) -> a + x)"
@@ -51,6 +52,7 @@ class Duck:
     def size(self, xs): return f"CAST(len({xs}) AS INTEGER)"
     def slice(self, xs, n): return f"list_slice({xs}, 1, {n})"
     def distinct_size(self, xs): return f"CAST(len(list_distinct({xs})) AS INTEGER)"
+    def sorted_distinct(self, xs): return f"list_sort(list_distinct({xs}))"
     def joined(self, xs, by): return f"coalesce(array_to_string({xs}, '{by}'), '')"
     def sha256(self, c): return f"sha256({c})"
     def sum(self, xs): return f"CAST(coalesce(list_sum({xs}), 0) AS INTEGER)"

@@ -31,6 +31,10 @@ def link_scope(spark, sf):
     return Q.project(views.pages(spark, sf), C.links(SPARK))
 
 
+def site_links(spark, sf):
+    return Q.project(views.pages(spark, sf), C.site_links(SPARK))
+
+
 def security_headers(spark, sf):
     """Which security headers a page has, how many of them are missing, and its server."""
     lines = F.split(F.expr(HEADERS), "\n")
@@ -161,6 +165,7 @@ def catalogue() -> dict:
     return {
         "page_checks": (page_checks, page_checks_sql()),
         "link_scope": (link_scope, Q.select(C.links(DUCK), views.pages_sql())),
+        "site_links": (site_links, Q.select(C.site_links(DUCK), views.pages_sql())),
         "security_headers": (security_headers, security_headers_sql()),
         "policy_probes": (policy_probes, policy_probes_sql()),
         "liveness": (liveness, liveness_sql()),

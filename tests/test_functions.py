@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens.functions import checks as C
 from sitelens.functions import pages as P
 from sitelens.functions import robots
 from sitelens.functions.dialect import SPARK
@@ -69,3 +70,23 @@ def test_replace_and_search(spark):
     new = spark.createDataFrame([(2, "c")], "k int, v string")
     assert {tuple(r) for r in R.replace_by(old, new, "k").collect()} == {(1, "a"), (2, "c")}
     assert R.search(old, ["v"], "a").count() == 0 and R.search(old, ["v"], "A", least=1).count() == 1
+
+
+@pytest.mark.parametrize("href, found", [
+    ("/a#b", "https://h.example/a"), ("//c.example/x", "https://c.example/x"), ("HTTP://d.example", "HTTP://d.example"), ("?p=2", "https://h.example/en/page?p=2"),
+    ("next", "https://h.example/en/next"), ("", None), ("#top", None), ("mailto:a@b.c", None), ("javascript:void(0)", None), (None, None),
+])
+def test_links_are_resolved(spark, href, found):
+    df = spark.createDataFrame([(href, "https://h.example/en/page?q=1#z")], "href string, url string")
+    assert df.selectExpr(C.resolved(SPARK, "href") + " AS x").first().x == found
+
+
+@pytest.mark.parametrize("host, of, inside", [("a.example", "a.example", True), ("b.a.example", "a.example", True), ("ba.example", "a.example", False), ("a.example", "b.a.example", False)])
+def test_scope(spark, host, of, inside):
+    assert one(spark, C.in_scope("h", "o"), h=host, o=of) is inside
+
+
+def test_challenge_titles_come_first(spark):
+    assert one(spark, C.challenge(SPARK), title="Just a Moment", h="captcha") == "challenge_title:just a moment"
+    assert one(spark, C.challenge(SPARK), title="Shop", h="a CAPTCHA") == "challenge_body:captcha"
+    assert one(spark, C.challenge(SPARK), title="Shop", h="wares") is None
