@@ -214,3 +214,19 @@ def test_quality_rules(spark, docs):
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and {"doc_id", "n_tokens"} <= set(out.columns)
+
+
+def test_language_model_keeps_every_context(spark, monkeypatch):
+    """The distributed tree in many buckets scores as one tree of all contexts does, however many there are."""
+    monkeypatch.setattr(lm_score, "MAX_CONTEXTS", 50, raising=False)
+    monkeypatch.setattr(lm_score, "CONTEXTS", 40, raising=False)
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdéz"), 1 + k % 9)) for k in rng.integers(0, 99, 30)) for _ in range(20)] + ["", None, "unseen Ω words"]
+    held = [k % 5 == 0 for k in range(len(texts))]
+    df = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in lm_score.scored(spark, df, F.col("held")).collect()}
+    of = lambda ws: np.concatenate([lm_score.codes(ws)[0] if ws else [], [lm_score.END_CODE]]).astype(np.uint64)
+    c, n = np.unique(np.concatenate([of(lm_score.tokens(t)) for t, h in zip(texts, held) if not h]), return_counts=True)
+    model = lm_score.Model(c, n, np.zeros(0), np.zeros(0))
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(model.byte_log(of(lm_score.tokens(t))).sum(), rel=1e-5)
