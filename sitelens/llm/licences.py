@@ -1,12 +1,11 @@
-"""Licence scan by a positional rare-token index (DataFrame functions only).
+"""Licence scan by a positional index of licence words (DataFrame functions only).
 
-Templates of licence texts and notices are indexed by word and position. For each file the
-licence words that it holds are looked up, those with the highest IDF over all documents first;
-the postings of these rare words are intersected by relative position (place in the file less
-place in the template), so a template is a candidate where enough rare words stand at the same
-distances as in it; a candidate counts only if a mandatory key phrase of the template stands
-in the file. Every step is an expression on the file's own row: nothing is shuffled but the
-document frequencies of the licence words, a table as long as the templates' vocabulary.
+Templates of licence texts and notices are indexed by word and position, without the words of STOP.
+All licence words that a file holds are looked up; their postings are intersected by relative position
+(place in the file less place in the template), so a template is a candidate where at least two of its
+words stand at the same distances as in it, whatever else the file holds; a candidate counts only if a
+mandatory key phrase of the template stands in the file. Its score is the share of its licence words that
+are aligned. Every step is an expression on the file's own row: nothing is shuffled.
 
 Defined results: a null or empty text has no words and no labels; ids may repeat or be null,
 every row is scanned alone; an empty table gives an empty result; other columns are ignored.
@@ -14,7 +13,6 @@ every row is scanned alone; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -46,8 +44,8 @@ TEMPLATES = (
 )
 #: Words of templates that say nothing about licences.
 STOP = frozenset("the of and to in is it a an or as by at for with this that you are can may not be any use file work 0 2 3 4 v no on such".split())
-#: Rarest licence words of a file that are looked up, and aligned words that make a candidate.
-LOOKED_UP, MIN_ALIGNED = 8, 2
+#: Aligned words that make a candidate.
+MIN_ALIGNED = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -69,37 +67,27 @@ def counted(docs: DataFrame) -> DataFrame:
     return norm.withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(spaces + 1).cast("long"))
 
 
-def frequencies(norm: DataFrame) -> tuple[int, dict[str, int]]:
-    """Documents, and how many hold each licence word; a row per licence word comes to the driver."""
-    held = F.array_intersect(F.split("norm", " "), F.array(*map(F.lit, vocabulary())))
-    rows = norm.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
-    found = {r["word"]: r["count"] for r in rows}
-    return found.pop("", 0), found
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): counts and places of base phrases, labels and score."""
     df = counted(docs)
-    n, found = frequencies(df)
-    idf = {w: math.log((n + 1) / (found.get(w, 0) + 0.5)) for w in vocabulary()}
-    ranked = sorted(idf, key=lambda w: (-idf[w], w))
-    # Licence words of the file, rarest first; only files that hold one are split into words.
-    marks = df.withColumn("held", F.array_intersect(F.array(*map(F.lit, ranked)), F.split("norm", " ")))
-    some = F.size("held") > 0
-    df = marks.withColumns({"words": F.when(some, F.split("norm", " ")), "rare": F.slice("held", 1, LOOKED_UP)})
+    known = vocabulary()
+    # Only files that hold a licence word are split into words.
+    some = F.size(F.array_intersect(F.array(*map(F.lit, known)), F.split("norm", " "))) > 0
+    df = df.withColumn("words", F.when(some, F.split("norm", " ")))
     starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: _any(
         _all(F.get("words", i + k) == w for k, w in enumerate(p.split())) for p in BASE))
     based = F.col("norm").rlike(r"\b(" + "|".join(map(re.escape, BASE)) + r")\b")
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda h: F.array_contains("rare", h["w"]))
-    df = df.withColumns({"starts": F.when(some & based, starts), "hits": F.when(some, hits)})
-    postings = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(q).alias("q")) for t, (_, _, text) in enumerate(TEMPLATES) for q, w in enumerate(text.split()) if w in idf))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("p"))), lambda h: h["w"].isin(known))
+    df = df.withColumns({"starts": F.when(F.col("words").isNotNull() & based, starts), "hits": hits})
+    places = {w: [(t, q) for t, (_, _, text) in enumerate(TEMPLATES) for q, x in enumerate(text.split()) if x == w] for w in known}
+    postings = F.create_map(*(c for w, at in places.items() for c in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in at)))))
     aligned = F.flatten(F.transform("hits", lambda h: F.transform(
-        F.filter(postings, lambda x: x["w"] == h["w"]), lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["q"]).alias("o")))))
+        F.element_at(postings, h["w"]), lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["q"]).alias("o")))))
     df = df.withColumn("aligned", F.sort_array(aligned))
     padded = F.concat(F.lit(" "), "norm", F.lit(" "))
     found_labels = []
     for t, (label, key, text) in enumerate(TEMPLATES):
-        most = min(LOOKED_UP, len({w for w in text.split() if w in idf}))
+        most = sum(w in places for w in text.split())
         best = F.aggregate(
             F.filter("aligned", _of_template(t)),
             F.struct(F.lit(None).cast("int").alias("o"), F.lit(0).alias("run"), F.lit(0).alias("best")),
