@@ -1,9 +1,11 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree of block elements (inline markup belongs to the block around it; links
-are counted). Parts that are no article by their element or by a word of their class, id or role
-are taken out with all below them: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments. Each remaining node has a composite text density: characters per
+are counted). Parts that are no article by their element, by being hidden or by a whole token of their
+class, id or role are taken out with all below them: menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles, comments. Where only the first or last word of a token says so, or the
+part stands in an article or main element, density decides: it is taken out if it is mostly links or
+less dense than the page, unless it holds most of the page's text. Each remaining node has a composite text density: characters per
 element, adjusted by how much of its text and how many of its elements are links. The densities of
 a node's children are summed; the node of the greatest sum holds the article. The least density on
 its path to the body is the threshold by which the enclosing and neighbouring nodes are judged:
@@ -54,32 +56,44 @@ CLOSED_BY = {
 BOUNDS = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "tr": frozenset(("table",)), "p": frozenset(("td", "th", "button", "table"))}
 #: Share of link text beyond which a container is a list of links.
 LINKS = 1 / 3
+#: Elements of text, which links alone tell from boilerplate.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split()) | INLINE
+#: What says that a part is no article: nothing, a word at a token's end, a whole token, element or hiding.
+NONE, WORD, TOKEN, SURE = range(4)
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "link_chars", "tags", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "unwanted", "linked", "chars", "link_chars", "tags", "link_tags", "density")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, unwanted: int = NONE, linked: bool = False):
+        self.tag, self.parent, self.unwanted, self.linked = tag, parent, unwanted, linked
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = 0.0
 
 
-def unwanted(tag: str, attributes: str) -> bool:
+def unwanted(tag: str, attributes: str) -> int:
     if tag in CONTAINERS or tag in ("html", "body"):
-        return False
+        return NONE
     if tag in DROPPED:
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(w.lower() in WORDS for _, value in _NAMED.findall(attributes) for w in _CAMEL.findall(value))
+        return SURE
+    found = NONE
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return SURE
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words = [w.lower() for w in _CAMEL.findall(token)]
+                if token.lower() in WORDS:
+                    found = TOKEN
+                elif words and (words[0] in WORDS or words[-1] in WORDS):
+                    found = max(found, WORD)
+    return found
 
 
 def parse(page: str) -> Node:
@@ -114,10 +128,10 @@ def parse(page: str) -> Node:
         elif tag in INLINE:
             if tag == "img":
                 add(" ")
-            elif not end and unwanted(tag, m[3]) and not m[3].endswith("/"):
-                node = Node(tag, node, True)
+            elif not end and (level := unwanted(tag, m[3])) >= TOKEN and not m[3].endswith("/"):
+                node = Node(tag, node, level, bool(link))
                 node.parent.children.append(node)
-            elif end and node.tag == tag and node.dropped:
+            elif end and node.tag == tag and node.unwanted:
                 node = node.parent
         elif end:
             up = node
@@ -162,23 +176,39 @@ def in_order(root: Node) -> list[Node]:
 def prune(root: Node) -> None:
     """Takes unwanted nodes out. One that holds an article or main element only by its class's
     word is a wrapper of the page and stays, and so does a header within an article."""
-    kept = set()
+    kept, doubtful = set(), []
     for node in in_order(root):
-        if node.tag in CONTAINERS and not any(x.dropped and x.tag in DROPPED for x in path(node)):
+        if node.tag in CONTAINERS and not any(x.unwanted and x.tag in DROPPED for x in path(node)):
             kept.update(map(id, path(node)))
-        elif node.dropped and node.tag == "header" and any(x.tag in CONTAINERS for x in path(node)):
-            node.dropped = False
+        elif node.unwanted and node.tag == "header" and any(x.tag in CONTAINERS for x in path(node)):
+            node.unwanted = NONE
+        elif node.unwanted == WORD or node.unwanted == TOKEN and any(x.tag in CONTAINERS for x in path(node)):
+            doubtful.append(node)
+            node.unwanted = NONE
+    take_out(root, kept)
+    if doubtful:
+        measure(root)
+        for node in doubtful:
+            dense = node.link_chars <= LINKS * node.chars and (node.tag in TEXT or node.density >= root.density)
+            if not dense and 2 * node.chars <= root.chars:
+                node.unwanted = SURE
+        take_out(root, kept)
+
+
+def take_out(root: Node, kept: set[int]) -> None:
     todo = [root]
     while todo:
         node = todo.pop()
-        node.children = [x for x in node.children if isinstance(x, str) or not x.dropped or id(x) in kept]
+        node.children = [x for x in node.children if isinstance(x, str) or not x.unwanted or id(x) in kept]
         todo += [x for x in node.children if isinstance(x, Node)]
 
 
 def measure(root: Node) -> None:
     nodes = in_order(root)
     for node in reversed(nodes):
-        linked = False
+        linked = node.linked
+        node.chars = node.link_chars = node.tags = node.link_tags = 0
+        node.density = 0.0
         for x in node.children:
             if isinstance(x, Node):
                 node.chars += x.chars
