@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +22,29 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of df with a reliable checkpoint in the shared folder.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir; a folder of
-    this machine is set only where the setting is absent, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine is
+    set only where the setting is absent, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitelens-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of df with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read again, so that its rows no longer change."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, small_batches, stored, table
 
 SHINGLE = 5
 #: Similarity of a link, in per cent.
@@ -300,6 +300,9 @@ def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are the first of their group."""
-    gone = grouped(docs).filter("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    """One row of each group, that of the least id (a null id is the last); ids may repeat or be null."""
+    docs = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = grouped(docs.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    own = docs.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("one"))
+    first = own.join(groups, "__row").groupBy("component_id").agg(F.min("one").alias("one")).select(F.col("one.__row").alias("__row"))
+    return docs.join(first, "__row", "left_semi").drop("__row")
