@@ -3,12 +3,13 @@
 A text's subwords are the runs of 2, 3 and 4 letters (as UTF-8 bytes, lower case, a space at either
 end of a word); each is hashed to a row of an embedding table, the rows are averaged and a softmax
 over the languages reads the average. Table and softmax are trained by stochastic gradient descent
-in numpy on a bounded sample of the labelled rows; a temperature and a rejection threshold are
-fitted on a part of the sample that training doesn't see. A prediction is rejected when its
+in numpy on a sample of the labelled rows of every language, about SAMPLE of each at most, in one task
+that keeps the sample's bags on its disk; a temperature and a rejection threshold are fitted on a part
+of the sample that training doesn't see. A prediction is rejected when its
 calibrated probability is under the threshold.
 
-As the softmax is linear, table and weights are multiplied out before they are sent to the
-executors: a row of scores per bucket, the same size whatever the corpus.
+As the softmax is linear, table and weights are multiplied out before they are sent to the executors
+where there are DIM languages at most: a row of DIM numbers per bucket, the same size whatever the corpus.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and rejected; without
 any labelled row all texts are; ids may repeat or be null; an empty table gives an empty result.
@@ -16,18 +17,23 @@ any labelled row all texts are; ids may repeat or be null; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import tempfile
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, small_batches, table
 
-#: Labelled rows that are learned from, per language, and languages at most; all rows where there are fewer.
-SAMPLE, MOST_LANGUAGES = 300, 100
+#: Labelled rows that are learned from, per language on average; all rows where there are fewer.
+SAMPLE = 1000
+#: Rows of the sample that are calibrated on at a time.
+CALIBRATED = 1024
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 16, 6, 0.3, 7
 #: Share of correctly predicted calibration rows that may be rejected, and the highest threshold.
 LOST, HIGHEST = 0.002, 0.5
@@ -69,17 +75,20 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """classes; scores: a row per bucket, with the softmax's weights multiplied in; bias; temperature; threshold."""
+    """classes; scores: a row per bucket, with the softmax's weights multiplied in unless these are in out; bias; temperature; threshold."""
 
-    def __init__(self, classes, scores, bias, temperature=1.0, threshold=0.0):
-        self.classes, self.scores, self.bias, self.temperature, self.threshold = classes, scores, bias, temperature, threshold
+    def __init__(self, classes, scores, bias, temperature=1.0, threshold=0.0, out=None):
+        self.classes, self.scores, self.bias, self.temperature, self.threshold, self.out = classes, scores, bias, temperature, threshold, out
+
+    def weighed(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.out is None else mean @ self.out) + self.bias
 
     def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.classes)), 0
+        total, n = np.zeros(self.scores.shape[1]), 0
         for b in buckets(text):
             total += self.scores[b].sum(0, dtype=np.float64)
             n += len(b)
-        return total / max(n, 1) + self.bias
+        return self.weighed(total / max(n, 1))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it is rejected."""
@@ -95,19 +104,42 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """rows: language, buckets and counts. Every fifth row is held back for calibration."""
-    classes = sorted({x for x, _, _ in rows})
+class Spool(Sequence):
+    """Rows of language, buckets and counts, in an order of their content; the numbers are in a file of the task."""
+
+    def __init__(self, rows: Iterator[tuple[str, np.ndarray, np.ndarray]]):
+        self.file, self.rows, end = tempfile.TemporaryFile(), [], 0
+        for lang, at, counts in rows:
+            data = at.astype(np.int32).tobytes() + counts.astype(np.int32).tobytes()
+            self.file.write(data)
+            self.rows.append((lang, len(at), xxhash.xxh3_128_digest(data), end))
+            end += 2 * len(at)
+        self.file.flush()
+        self.rows.sort()
+        self.numbers = np.memmap(self.file, np.int32, "r") if end else np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[str, np.ndarray, np.ndarray]:
+        lang, n, _, start = self.rows[k]
+        return lang, self.numbers[start : start + n], self.numbers[start + n : start + 2 * n]
+
+
+def train(rows: Sequence[tuple[str, np.ndarray, np.ndarray]], languages: Sequence[str]) -> Model:
+    """rows: language, buckets and counts; languages: those of the rows. Every fifth row is held back for calibration."""
+    classes = sorted(set(languages))
     if not classes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    place = {x: k for k, x in enumerate(classes)}
     rng = np.random.default_rng(SEED)
-    rows = [rows[k] for k in rng.permutation(len(rows))]
-    held, used = (rows[::5], [r for k, r in enumerate(rows) if k % 5]) if len(rows) >= 50 else (rows, rows)
+    order = rng.permutation(len(rows))
+    held, used = (order[::5], [k for n, k in enumerate(order) if n % 5]) if len(rows) >= 50 else (order, order)
     table_, out, bias = rng.normal(0, 1, (BUCKETS, DIM)), np.zeros((DIM, len(classes))), np.zeros(len(classes))
     steps, step = EPOCHS * len(used), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(used)):
-            lang, at, counts = used[k]
+            lang, at, counts = rows[used[k]]
             if not len(at):
                 continue
             rate = RATE * (1 - step / steps)
@@ -115,19 +147,27 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             share = counts / counts.sum()
             hidden = share @ table_[at]
             error = softmax(hidden @ out + bias)
-            error[classes.index(lang)] -= 1
+            error[place[lang]] -= 1
             to_hidden = out @ error
             out -= rate * np.outer(hidden, error) / max(hidden @ hidden, 0.1)
             bias -= 0.1 * rate * error
             # So scaled that the average itself moves by the step, however many subwords share it.
             table_[at] -= np.outer(share / (share @ share), 0.1 * rate * to_hidden)
-    model = Model(classes, (table_ @ out).astype(np.float32), bias)
-    known = [(classes.index(x), (model.scores[at].T @ counts) / max(counts.sum(), 1) + bias) for x, at, counts in held]
-    truth, logits = np.array([k for k, _ in known]), np.array([x for _, x in known])
-    loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
-    model.temperature = min((0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
-    p = softmax(logits / model.temperature)
-    right = p.max(1)[p.argmax(1) == truth]
+    if len(classes) <= DIM:
+        model = Model(classes, (table_ @ out).astype(np.float32), bias)
+    else:
+        model = Model(classes, table_.astype(np.float32), bias, out=out)
+
+    def known() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the held rows' languages, and their logits, some rows at a time."""
+        for start in range(0, len(held), CALIBRATED):
+            part = [rows[k] for k in held[start : start + CALIBRATED]]
+            yield np.array([place[x] for x, _, _ in part]), np.array([model.weighed((model.scores[at].T @ counts) / max(counts.sum(), 1)) for _, at, counts in part])
+
+    temperatures = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0)
+    loss = sum(np.array([-np.log(np.maximum(softmax(x / t)[np.arange(len(y)), y], 1e-12)).sum() for t in temperatures]) for y, x in known())
+    model.temperature = temperatures[int(np.argmin(loss))]
+    right = np.concatenate([p.max(1)[p.argmax(1) == y] for y, x in known() for p in [softmax(x / model.temperature)]])
     model.threshold = min(HIGHEST, float(np.quantile(right, LOST))) if len(right) else 0.0
     return model
 
@@ -135,18 +175,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def fit(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -> Model:
     """Learns from text and lang of a sample of docs (doc_id, text, lang) of at most SAMPLE rows a language on average.
 
-    The sample is drawn by a hash of the row, so that no language is gathered in one task.
+    The sample is drawn by a hash of the row, so that no language is gathered in one task; the sample itself is.
     """
     small_batches(spark)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.filter(may_learn) if may_learn is not None else known
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return train([])
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], min(1.0, SAMPLE / r["count"])).otherwise(chance)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < chance * 1_000_000
+    counts = known.groupBy("lang").agg(F.least(F.lit(1.0), SAMPLE / F.count("*")).alias("chance"))
+    known = known.join(F.broadcast(counts), "lang")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("chance") * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,12 +193,15 @@ def fit(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -
             )
 
     sample = known.filter(drawn).select("lang", "text").mapInArrow(run, "lang string, at array<int>, counts array<int>")
-    rows = [r for part in sample.limit(2 * SAMPLE * len(counts)).toArrow().to_batches() for r in bags(part)]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
-    model = train(rows)
-    del rows
-    pa.default_memory_pool().release_unused()
-    return model
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Spool(r for batch in batches if len(batch) for r in bags(batch))
+        if len(rows):
+            model = train(rows, [r[0] for r in rows.rows])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], [])
 
 
 def bags(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
