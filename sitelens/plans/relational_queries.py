@@ -232,7 +232,7 @@ def stream_hourly(spark, sf):
 
 
 def compare_reasons(spark, sf):
-    """Overall similarity of page pairs with a reason for its text, structure and headings."""
+    """The structure's part of the overall similarity of page pairs (no text score), with reasons for structure and headings."""
     from . import page_queries as Q
 
     df = Q.dom_pairs(spark, sf)
