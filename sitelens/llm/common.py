@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -28,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitelens-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -38,13 +41,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: What stored() has written and release() has not deleted.
+_stored: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that stored() has written; for when everything made of it is written."""
+    while _stored:
+        delete(spark, _stored.pop())
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing reads any more."""
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete(df.sparkSession, file.get())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder as Parquet and read again, so that its rows no longer change."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], n: int) -> list[str]:
+    """n names that no column has, in any case."""
+    taken, names = {c.lower() for c in columns}, (f"own_{k}" for k in itertools.count())
+    return list(itertools.islice((x for x in names if x not in taken), n))
+
+
 def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
