@@ -1,16 +1,18 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree of block elements (inline markup belongs to the block around it; links
-are counted). Parts that are no article by their element, by being hidden or by a whole token of their
-class, id or role are taken out with all below them: menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments. Where only the first or last word of a token says so, or the
-part stands in an article or main element, density decides: it is taken out if it is mostly links or
-less dense than the page, unless it holds most of the page's text. Each remaining node has a composite text density: characters per
+are counted) by a scanner that passes each character a bounded number of times. Parts that are no article by their
+element, by being hidden or by a whole token of their class, id or role are taken out with all below
+them: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments. Where only the
+first or last word of a token says so, or the part stands in an article or main element and its token may
+name a subject too, density decides: it is taken out if it is mostly links or less dense than the page,
+unless it holds most of the page's text. Each remaining node has a composite text density: characters per
 element, adjusted by how much of its text and how many of its elements are links. The densities of
-a node's children are summed; the node of the greatest sum holds the article. The least density on
-its path to the body is the threshold by which the enclosing and neighbouring nodes are judged:
+a node's children are summed; the node of the greatest sum, the deepest among equals, holds the article. The
+least density on its path to the body is the threshold by which the enclosing nodes are judged:
 while the parent is a part of the body, as dense as that and not mostly links, it's the article's
-container instead. An article or main element around the result is taken whole.
+container instead. Where that is an article element, its neighbours of the same element that are not
+mostly links are articles too.
 
 Text: character references decoded, white space within a block is one space, blocks in page order
 joined by two line feeds.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html as references
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +47,8 @@ WORDS = frozenset(
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social"
     " related recommended newsletter subscribe subscription signup login search toolbar pagination pager widget skip contentinfo complementary search dialog".split()
 )
+#: Those of them that name no subject of an article: a part with such a token is taken out wherever it stands.
+NEVER = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsored comments commentlist disqus replies cookie cookies consent gdpr navbar breadcrumb breadcrumbs pagination pager newsletter contentinfo".split())
 CONTAINERS = frozenset(("article", "main"))
 #: An open element of the key ends where one of the elements begins.
 CLOSED_BY = {
@@ -54,26 +59,32 @@ CLOSED_BY = {
 }
 #: Elements that an implied end doesn't reach beyond.
 BOUNDS = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "tr": frozenset(("table",)), "p": frozenset(("td", "th", "button", "table"))}
+#: The elements that an element ends, by its name; end tags of raw elements.
+CLOSES = {tag: [x for x, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
+_CLOSING = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 #: Share of link text beyond which a container is a list of links.
 LINKS = 1 / 3
 #: Elements of text, which links alone tell from boilerplate.
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split()) | INLINE
 #: What says that a part is no article: nothing, a word at a token's end, a whole token, element or hiding.
 NONE, WORD, TOKEN, SURE = range(4)
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_NEXT = re.compile(r">|=\s*[\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "unwanted", "linked", "chars", "link_chars", "tags", "link_tags", "density")
+    __slots__ = ("tag", "parent", "children", "unwanted", "linked", "chars", "link_chars", "tags", "link_tags", "density", "depth", "inside", "dropped", "holds")
 
     def __init__(self, tag: str, parent: Node | None, unwanted: int = NONE, linked: bool = False):
         self.tag, self.parent, self.unwanted, self.linked = tag, parent, unwanted, linked
         self.children: list[Node | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = 0.0
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = self.dropped = self.holds = False
 
 
 def unwanted(tag: str, attributes: str) -> int:
@@ -89,6 +100,8 @@ def unwanted(tag: str, attributes: str) -> int:
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _CAMEL.findall(token)]
+                if token.lower() in NEVER:
+                    return SURE
                 if token.lower() in WORDS:
                     found = TOKEN
                 elif words and (words[0] in WORDS or words[-1] in WORDS):
@@ -96,22 +109,75 @@ def unwanted(tag: str, attributes: str) -> int:
     return found
 
 
+def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it is an end tag, name and attributes of each tag; the name is empty for a comment
+    or declaration, which runs to the page's end where nothing ends it.
+
+    A quote opens a value only after an equals sign. A value that nothing closes ends with its tag, at the next `>`;
+    what has no `>` after it is text."""
+    at, last, quotes, broken = 0, page.rfind(">"), {q: page.rfind(q) for q in "\"'"}, False
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, "", ""
+        elif page[at : at + 1] in ("!", "?"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
+            yield start, at, False, "", ""
+        elif at <= last and (m := _NAME.match(page, at)):
+            place, end = m.end(), -1
+            while not broken and (found := _NEXT.search(page, place)):
+                if found[0] == ">":
+                    end = found.start()
+                    break
+                if quotes[found[0][-1]] < found.end():
+                    end = page.find(">", found.end())
+                    break
+                place = page.find(found[0][-1], found.end()) + 1
+            if end < 0:
+                # Quotes pair to the end of the page without a `>` outside of them; from here on they count for nothing.
+                broken, end = True, page.find(">", m.end())
+            if end >= 0:
+                at = end + 1
+                yield start, at, bool(m[1]), m[2].lower(), page[m.end() : end]
+
+
 def parse(page: str) -> Node:
     """The tree of block elements. Links are the marks \\0 and \\1 in text, line breaks are spaces."""
     root = node = Node("html", None)
-    at = 0
-    link = 0
+    open_ = Counter(("html",))
+    at = link = 0
+    endless = set()  # raw elements that nothing ends any more
 
     def add(text: str) -> None:
         if text:
             node.children.append(text)
 
-    while m := _MARKUP.search(page, at):
-        add(references.unescape(page[at : m.start()]).replace("\0", " ").replace("\1", " "))
-        at = m.end()
-        if not m[2]:
+    def text_to(end: int) -> None:
+        add(references.unescape(page[at:end]).replace("\0", " ").replace("\1", " "))
+
+    def leave(up: Node) -> None:
+        """Goes on in a node above."""
+        nonlocal node
+        while node is not up:
+            open_[node.tag] -= 1
+            node = node.parent
+
+    def enter(child: Node) -> None:
+        nonlocal node
+        node = child
+        open_[child.tag] += 1
+
+    for start, after, end, tag, attributes in markup(page):
+        if start < at:  # in the content of a raw element
             continue
-        tag, end = m[2].lower(), bool(m[1])
+        text_to(start)
+        at = after
+        if not tag:
+            continue
+        alone = attributes.endswith("/")
         if tag == "a":
             if link or end:
                 add("\1" * link)
@@ -120,42 +186,50 @@ def parse(page: str) -> Node:
                 add("\0")
                 link = 1
         elif tag in RAW and not end:
-            if not m[3].endswith("/"):
-                closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = closing.end() if closing else (len(page) if tag in ("script", "style") else at)
+            if not alone:
+                closing = None if tag in endless else _CLOSING[tag].search(page, at)
+                if closing:
+                    at = page.find(">", closing.end()) + 1 or len(page)
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
         elif tag == "br":
             add(" ")
         elif tag in INLINE:
             if tag == "img":
                 add(" ")
-            elif not end and (level := unwanted(tag, m[3])) >= TOKEN and not m[3].endswith("/"):
-                node = Node(tag, node, level, bool(link))
-                node.parent.children.append(node)
+            elif not end and (level := unwanted(tag, attributes)) >= TOKEN and not alone:
+                child = Node(tag, node, level, bool(link))
+                node.children.append(child)
+                enter(child)
             elif end and node.tag == tag and node.unwanted:
-                node = node.parent
+                leave(node.parent)
         elif end:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
+            if open_[tag] and tag != "html":
+                up = node
+                while up.tag != tag:
+                    up = up.parent
                 add("\1" * link)
-                link, node = 0, up.parent
-        elif tag in ("html", "body") and tag in (x.tag for x in path(node)):
+                link = 0
+                leave(up.parent)
+        elif tag in ("html", "body") and open_[tag]:
             continue
         else:
             add("\1" * link)
             link = 0
-            for open_ in path(node):
-                if tag in CLOSED_BY.get(open_.tag, ()):
-                    node = open_.parent
-                    break
-                if open_.tag in BOUNDS.get(tag, ()) or open_.tag not in INLINE and open_.tag not in CLOSED_BY:
-                    break
-            child = Node(tag, node, unwanted(tag, m[3]))
+            if any(open_[x] for x in CLOSES.get(tag, ())):
+                for x in path(node):
+                    if tag in CLOSED_BY.get(x.tag, ()):
+                        leave(x.parent)
+                        break
+                    if x.tag in BOUNDS.get(tag, ()) or x.tag not in INLINE and x.tag not in CLOSED_BY:
+                        break
+            child = Node(tag, node, unwanted(tag, attributes))
             node.children.append(child)
-            if tag not in VOID and not m[3].endswith("/"):
-                node = child
-    add(references.unescape(page[at:]).replace("\0", " ").replace("\1", " "))
+            if tag not in VOID and not alone:
+                enter(child)
+    text_to(len(page))
     return root
 
 
@@ -176,30 +250,38 @@ def in_order(root: Node) -> list[Node]:
 def prune(root: Node) -> None:
     """Takes unwanted nodes out. One that holds an article or main element only by its class's
     word is a wrapper of the page and stays, and so does a header within an article."""
-    kept, doubtful = set(), []
-    for node in in_order(root):
-        if node.tag in CONTAINERS and not any(x.unwanted and x.tag in DROPPED for x in path(node)):
-            kept.update(map(id, path(node)))
-        elif node.unwanted and node.tag == "header" and any(x.tag in CONTAINERS for x in path(node)):
+    nodes, doubtful = in_order(root), []
+    for node in nodes:
+        up = node.parent
+        node.inside = bool(up and (up.inside or up.tag in CONTAINERS))
+        node.dropped = bool(up and up.dropped) or bool(node.unwanted and node.tag in DROPPED)
+        node.holds = node.tag in CONTAINERS and not node.dropped
+    for node in reversed(nodes):
+        if node.holds and node.parent:
+            node.parent.holds = True
+    for node in nodes:
+        if node.holds and node.tag in CONTAINERS:
+            continue
+        if node.unwanted and node.tag == "header" and node.inside:
             node.unwanted = NONE
-        elif node.unwanted == WORD or node.unwanted == TOKEN and any(x.tag in CONTAINERS for x in path(node)):
+        elif node.unwanted == WORD or node.unwanted == TOKEN and node.inside:
             doubtful.append(node)
             node.unwanted = NONE
-    take_out(root, kept)
+    take_out(root)
     if doubtful:
         measure(root)
         for node in doubtful:
             dense = node.link_chars <= LINKS * node.chars and (node.tag in TEXT or node.density >= root.density)
             if not dense and 2 * node.chars <= root.chars:
                 node.unwanted = SURE
-        take_out(root, kept)
+        take_out(root)
 
 
-def take_out(root: Node, kept: set[int]) -> None:
+def take_out(root: Node) -> None:
     todo = [root]
     while todo:
         node = todo.pop()
-        node.children = [x for x in node.children if isinstance(x, str) or not x.unwanted or id(x) in kept]
+        node.children = [x for x in node.children if isinstance(x, str) or not x.unwanted or x.holds]
         todo += [x for x in node.children if isinstance(x, Node)]
 
 
@@ -237,9 +319,10 @@ def measure(root: Node) -> None:
         node.density = c / t * max(0.0, math.log(max(1.0, c / max(lc, 1) * t / max(lt, 1))) / base) if base > 0 else 0.0
 
 
-def article(root: Node) -> Node:
+def article(root: Node) -> list[Node]:
+    """The nodes that hold the article, in page order."""
     total = lambda node: sum(x.density for x in node.children if isinstance(x, Node))
-    best = max(in_order(root), key=total)  # the first in page order among equals
+    best = max(in_order(root), key=lambda node: (total(node), node.depth))  # the first in page order among equals
     threshold = min((x.density for x in path(best) if x.tag != "html"), default=0.0)
     found = best
     for x in path(best.parent):
@@ -247,10 +330,9 @@ def article(root: Node) -> Node:
             break
         if x.density >= threshold and x.link_chars <= LINKS * x.chars:
             found = x
-    for x in path(found):
-        if x.tag in CONTAINERS:
-            return x
-    return found
+    if found.tag not in CONTAINERS or found.parent is None:
+        return [found]
+    return [x for x in found.parent.children if x is found or isinstance(x, Node) and x.tag == found.tag and x.link_chars <= LINKS * x.chars]
 
 
 def blocks(node: Node) -> list[str]:
@@ -284,11 +366,7 @@ def extract(page: str | None) -> str:
     root = parse(page)
     prune(root)
     measure(root)
-    containers = [x for x in in_order(root) if x.tag in CONTAINERS]
-    node = article(root)
-    if node.tag == "html" and len(containers) == 1:
-        node = containers[0]
-    return "\n\n".join(blocks(node))
+    return "\n\n".join(x for node in article(root) for x in blocks(node))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
