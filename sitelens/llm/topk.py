@@ -1,18 +1,19 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Queries go in blocks of bounded size, each broadcast once; the candidates never move. Every task
-sorts its candidates by length into buckets. A query's k-th best score so far, over its own length
-and the bucket's greatest, is the local cosine that a vector of the bucket must reach: above 1 the
-bucket and all after it are skipped; where it is low, only vectors too short are left out (length
-pruning); where it is high, a list of the bucket sorted by the query's largest coordinate bounds the
+Queries go in blocks of bounded size, each broadcast once; the candidates never move. Where there are several
+blocks they run one after the other, and a block's answers are written before the next is fetched, so that the
+driver holds one block at a time. Every task sorts its candidates by length into buckets. A query's k-th best
+score so far, over its own length and the bucket's greatest, is the local cosine that a vector of the bucket
+must reach: above 1 the bucket and all after it are skipped; where it is low, the bucket is cut at the length that
+the score needs (length pruning); where it is high, a list of the bucket sorted by the query's largest coordinate bounds the
 angle (coordinate pruning). What is left is verified by exact products. Thresholds begin with the
 scores among the block's own vectors, so a task passes on few rows beyond the answers.
 
 Components x count as floor(256 * x), x as a double. Products are exact: in doubles while every sum
 is below 2 ** 53, else in Python's integers.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components, and rows
-without an id, take no part; vectors of different lengths are not compared; a query never gets
+Defined results: vectors that are null, empty, or hold null or non-finite components (256 * x included), and rows
+without an id, take no part; scores beyond 2 ** 62 - 1 either way count as that; vectors of different lengths are not compared; a query never gets
 candidates of its own id; equal scores rank by the smaller id; rows that repeat an id are candidates
 of their own, and queries of their own.
 """
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parts, table
+from .common import cut, parts, table
 
 K, EVERY, SCALE = 5, 50, 256
 #: Query vectors in a block: it takes 8 bytes a component in the driver and in every worker.
@@ -47,10 +49,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows, as integers."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)), np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
+    with np.errstate(over="ignore"):
+        plain = np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT
+    if plain:
         return (a @ b.T).astype(np.int64)
     exact = lambda x: np.array([[int(v) for v in r] for r in x], object)
-    return (exact(a) @ exact(b).T).astype(np.int64)
+    return np.clip(exact(a) @ exact(b).T, NONE + 1, -NONE - 1).astype(np.int64)
 
 
 class Best:
@@ -107,11 +111,17 @@ def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, vectors: np.n
         if not len(alive):
             return
         by_coordinate = (cosine >= COORDINATES_FROM) & (q_len[alive] > 0)
-        for q in np.split(alive[~by_coordinate], range(256, len(alive), 256)):
+        # Queries that need like lengths go together, and see the vectors of the bucket that are as long.
+        by_length = ~by_coordinate
+        needed = cosine[by_length] * own_len[0]
+        order = np.argsort(-needed, kind="stable")
+        for at in np.split(order, range(256, len(order), 256)):
+            q = alive[by_length][at]
+            long_enough = slice(0, np.searchsorted(-own_len, -needed[at].min() * (1 - 1e-9), "right") if len(q) and needed[at].min() > 0 else None)
             if len(q):
-                scores = products(queries[q], own)
-                scores[query_ids[q][:, None] == own_ids[None]] = NONE
-                best.add(q, scores, own_ids)
+                scores = products(queries[q], own[long_enough])
+                scores[query_ids[q][:, None] == own_ids[None, long_enough]] = NONE
+                best.add(q, scores, own_ids[long_enough])
         if by_coordinate.any():
             unit = own / np.maximum(own_len, 1e-300)[:, None]
             lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -132,8 +142,10 @@ def search(best: Best, queries: np.ndarray, query_ids: np.ndarray, vectors: np.n
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id and the integer components of the vectors that take part, as doubles."""
-    x = F.transform("embedding", lambda v: F.floor(F.lit(float(SCALE)) * v.cast("double")).cast("double"))
-    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+    scaled = lambda v: F.lit(float(SCALE)) * v.cast("double")
+    # A double of 2 ** 53 or more is whole, and may be too great for floor()'s integer.
+    x = F.transform("embedding", lambda v: F.when(F.abs(scaled(v)) >= EXACT, scaled(v)).otherwise(F.floor(scaled(v)).cast("double")))
+    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(scaled(v)) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.coalesce(sound, F.lit(False))
     return vectors.filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
@@ -153,21 +165,22 @@ def by_length(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def searched(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """Exact top k of every query: query_id, rank, vec_id, score. Both: quantised()."""
     q = queries.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)))
-    n = q.count()
-    blocks = -(-n // BLOCK)
-    found = None
+    blocks = -(-q.count() // BLOCK)
+    found = spark.createDataFrame([], "query long, query_id long, vec_id long, score long")
     # One pass over the candidates for each block of queries; a block's rows are picked by hash.
     for b in range(blocks):
         low, high = (1 << 30) * b // blocks, (1 << 30) * (b + 1) // blocks
-        own = found_in(spark, q.filter((F.col("h") >= low) & (F.col("h") < high)).select("vec_id", "x").toArrow(), candidates, k, b)
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        own, sent = found_in(spark, q.filter((F.col("h") >= low) & (F.col("h") < high)).select("vec_id", "x").toArrow(), candidates, k, b)
+        if blocks > 1:
+            own = cut(own)
+            sent.destroy()
+        found = found.unionByName(own) if b else own
     ranked = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def found_in(spark: SparkSession, block, candidates: DataFrame, k: int, number: int) -> DataFrame:
+def found_in(spark: SparkSession, block, candidates: DataFrame, k: int, number: int) -> tuple[DataFrame, Broadcast]:
+    """The k best of each task for each query of a block (vec_id, x), and the block as sent to the tasks."""
     groups = {}
     for ids, x in by_length(block) if block.num_rows else ():
         order = np.lexsort((*x.T[::-1], ids))
@@ -205,7 +218,7 @@ def found_in(spark: SparkSession, block, candidates: DataFrame, k: int, number:
             key = (np.int64(number) << 40) + (np.int64(d) << 20) + r
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, groups[d][0][r], b.ids[r, c], b.scores[r, c])], names=["query", "query_id", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    return candidates.mapInArrow(run, "query long, query_id long, vec_id long, score long"), sent
 
 
 def op7_topk(spark, sf_dir: str) -> DataFrame:
