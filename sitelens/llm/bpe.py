@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,8 +170,8 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def encoded(spark: SparkSession, docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_tokens, digests of the ids and of the decoded text, and the ids themselves."""
+def encoded(spark: SparkSession, docs: DataFrame, path: str | None = None, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_tokens, digests of the ids and of the decoded text, the ids themselves, and the columns of keep."""
     small_batches(spark)
     with open(path or default_path(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # as long as the vocabulary file
@@ -189,11 +190,12 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str | None = None, with_
             if with_ids:
                 columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=[*names, *keep])
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema += "".join(f", {c} {dict(docs.dtypes)[c]}" for c in keep)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep)).mapInArrow(run, schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
@@ -201,4 +203,12 @@ def op2_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encoded(spark, docs, with_ids=False)
+    """doc_id, text, its ids, their number and digests, and place: the row's order in the files that docs was read
+    from (their number, then the row's), so that a training order is kept. A null text has no tokens; rows are
+    encoded alone, whatever their ids; other columns are left out."""
+    try:
+        number = F.try_to_number(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1), F.lit("9" * 9)).cast("long")
+        docs = docs.select("doc_id", "text", (F.coalesce(number, F.lit(0)) * (1 << 40) + F.col("_metadata.row_index")).alias("place"))
+    except AnalysisException:  # not read from files
+        docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    return encoded(spark, docs, keep=("place", "text"))

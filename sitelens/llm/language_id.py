@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, table
+from .common import crc_mod, fresh, small_batches, table
 
 #: Labelled rows that are learned from, per language on average; all rows where there are fewer.
 SAMPLE = 1000
@@ -234,6 +234,8 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is not rejected."""
+    """The documents whose language is not rejected; a text that is null or has no letter is, and without any labelled
+    row all are. Rows are judged alone, whatever their ids; other columns stay, whatever their names."""
+    found = fresh(docs.columns, 1)[0]
     model = fit(spark, docs)
-    return docs.withColumn("__language", predictor(spark, model)("text")).filter("not __language.rejected").drop("__language")
+    return docs.withColumn(found, predictor(spark, model)("text")).filter(~F.col(found)["rejected"]).drop(found)

@@ -3,21 +3,21 @@
 Each source has a training target, in words, and a weight schedule over training time 0..1.
 The schedule is linear, so its integral (the cumulative token demand) is a quadratic that is
 inverted in closed form: the word that is the k-th of its source's target is trained on at the
-time at which the source's cumulative demand reaches k. Documents get the time of their middle
-word, and a range sort on that time gives the training order.
+time at which the source's cumulative demand reaches k. Every copy of a document gets the time of its
+middle word, and a range sort on that time gives the training order.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source
-of its own, ordered last; rows that repeat an id are rows of their own; an empty table gives an
-empty result; other columns of the input are ignored.
+of its own, ordered last; rows that repeat an id are rows of their own, and rows without an id stand by their
+text; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_words, cut, table
+from .common import count_words, cut, fresh, parts, stored, table
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,20 +53,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -
     return s.select("source", "source_size", "kind", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: size, its source's size and target, words taken, and its training time.
+def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: size, its source's size and target, words taken, and the training times of its copies
+    (position: of the first), with the columns of keep.
 
     Documents of a source stand in the order of the md5 of their ids. Every document is taken
     floor(target / source size) times; the rest of the target is taken from the front of that
     order, the last document of it in part. Running totals go through sums of small ranges of
     the order, so a source with a third of all rows is spread over 4096 window groups.
     """
-    sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")).cast("binary"))
+    sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("order"), *keep)
     sized = sized.withColumns({
         "skey": F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")),
-        "range": F.conv(F.substring(key, 1, SPLIT_DIGITS), 16, 10).cast("int"),
-        "order": key,
+        "range": F.conv(F.substring("order", 1, SPLIT_DIGITS), 16, 10).cast("int"),
     })
     sized = cut(sized)
     ranges = sized.groupBy("skey", "source", "range").agg(F.sum("size").alias("words"))
@@ -82,38 +82,49 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int
     rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")
     part = F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
     docs = docs.withColumn("taken", (F.col("whole") * F.col("size") + part).cast("long"))
-    # The middle of the document's first copy, as a share of its source's target, and its time.
-    share = F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("start") + F.col("size") / 2) / F.col("target"))).otherwise(1.0)
     a = F.element_at(F.array(*(F.lit(float(x)) for x, _ in schedules)), F.col("kind") + 1)
     b = F.element_at(F.array(*(F.lit(float(x)) for _, x in schedules)), F.col("kind") + 1)
-    demand = share * (a + b) / 2
-    # (b - a) / 2 * t * t + a * t = demand, in the form that also holds for b = a
-    time = 2 * demand / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * (b - a) * demand)))
-    return docs.select("doc_id", "source", "size", "source_size", "target", "taken", F.round(time, 9).alias("position"))
+
+    def time(copy: Column) -> Column:
+        # The middle of a copy, as a share of its source's target.
+        middle = (F.col("start") + copy * F.col("source_size") + F.col("size") / 2) / F.col("target")
+        demand = F.when(F.col("target") > 0, F.least(F.lit(1.0), middle)).otherwise(1.0) * (a + b) / 2
+        # (b - a) / 2 * t * t + a * t = demand, in the form that also holds for b = a
+        return F.round(2 * demand / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * (b - a) * demand))), 9)
+
+    last = F.col("whole") - F.when(part > 0, 0).otherwise(1)
+    copies = F.when(last >= 0, F.transform(F.sequence(F.lit(0).cast("long"), last), time)).otherwise(F.array().cast("array<double>"))
+    return docs.select(*keep, "doc_id", "source", "size", "source_size", "target", "taken", time(F.lit(0)).alias("position"), copies.alias("positions"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents, range-sorted by training position."""
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    last = F.coalesce(F.try_element_at("positions", F.lit(-1)), "position")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position", last.alias("last_position")).orderBy("position", "doc_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as many times as it takes it, to the nearest whole copy."""
-    columns = docs.columns
-    times = mix(docs).filter("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__n"), F.col("position").alias("__at")
-    )
-    times = times.filter("__n > 0").groupBy("__id").agg(F.max("__n").alias("__n"), F.min("__at").alias("__at"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), "__n"))).select(*(F.col(f"`{c}`") for c in columns))
+    """The documents that the mix takes, each as many times as it takes it, to the nearest whole copy, in
+    training order: partitions hold successive spans of training time, each sorted.
+
+    A text without words is never taken; rows that repeat an id, or have none, are mixed row by row; equal times
+    stand by id; an empty table gives an empty result; other columns stay, whatever their names."""
+    row, at = fresh(docs.columns, 2)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    copies = F.slice("positions", 1, F.greatest(F.lit(0), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")))
+    times = mix(docs.select("doc_id", "source", "text", row), keep=(row,)).filter("taken > 0").select(row, F.explode(copies).alias(at))
+    n = parts(docs)
+    out = docs.join(times, row).repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col(at) * n)).cast("int"))
+    return out.sortWithinPartitions(at, "doc_id").select(*columns)
 
 
 #: The same in DuckDB's SQL.
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS o FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), k AS (
@@ -136,10 +147,13 @@ WITH d AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), x AS (
   SELECT *, CASE kind WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE kind WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS b,
-         CASE WHEN target > 0 THEN least(1.0::DOUBLE, (start + CAST(size AS DOUBLE) / 2) / target) ELSE 1.0::DOUBLE END AS share FROM p
-), y AS (SELECT *, share * (a + b) / 2 AS demand FROM x)
-SELECT doc_id, size, source_size, target,
-       CAST(whole * size + greatest(0, least(size, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) - start)) AS BIGINT) AS taken,
-       round(2 * demand / (a + sqrt(greatest(0.0, a * a + 2 * (b - a) * demand))), 9) AS position
-FROM y
+         greatest(0, least(size, CAST(floor(target - whole * source_size + 0.5) AS BIGINT) - start)) AS part FROM p
+), c AS (
+  SELECT *, CASE WHEN target > 0 THEN least(1.0::DOUBLE, (start + CAST(size AS DOUBLE) / 2) / target) ELSE 1.0::DOUBLE END * (a + b) / 2 AS demand,
+         CASE WHEN target > 0 THEN least(1.0::DOUBLE, (start + greatest(0, whole - CASE WHEN part > 0 THEN 0 ELSE 1 END) * source_size + CAST(size AS DOUBLE) / 2) / target) ELSE 1.0::DOUBLE END * (a + b) / 2 AS last_demand FROM x
+)
+SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken,
+       round(2 * demand / (a + sqrt(greatest(0.0, a * a + 2 * (b - a) * demand))), 9) AS position,
+       round(2 * last_demand / (a + sqrt(greatest(0.0, a * a + 2 * (b - a) * last_demand))), 9) AS last_position
+FROM c
 """

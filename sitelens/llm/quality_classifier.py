@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, small_batches, table
+from .common import crc_mod, cut, fresh, small_batches, table
 
 #: Weight of the pooled covariance and of the identity's multiple in a class's covariance.
 POOLED, ROUND = 0.05, 0.02
@@ -158,7 +158,10 @@ def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier predicts label 1 for."""
+    """The documents that the classifier predicts label 1 for; all, where no labels of both classes are known and
+    there is one of label 1 or none. Rows are judged alone, whatever their ids; a null text counts as empty; other
+    columns stay, whatever their names."""
+    found = fresh(docs.columns, 1)[0]
     model = fit(spark, measured(docs), table(spark, sf_dir, "labels"))
     sent = spark.sparkContext.broadcast(model)
 
@@ -166,4 +169,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(sent.value.scores(np.array([statistics(t) for t in texts]).reshape(-1, STATISTICS)))
 
-    return docs.withColumn("__quality", run("text")).filter(F.col("__quality") >= THRESHOLD).drop("__quality")
+    return docs.withColumn(found, run("text")).filter(F.col(found) >= THRESHOLD).drop(found)

@@ -11,7 +11,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from sitelens.llm import bpe, html_text, language_id, licences, lm_score, mixing, near_dedup, quality_classifier, quality_rules, topk
 
 SF = "/root/testdata/sf0.001"
@@ -211,10 +210,6 @@ def test_quality_rules(spark, docs):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 50 and {"doc_id", "n_tokens"} <= set(out.columns)
-
 
 def test_language_model_keeps_every_context(spark, monkeypatch):
     """The distributed tree in many buckets scores as one tree of all contexts does, however many there are."""
