@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.llm import bpe, language_id, mixing, near_dedup, quality_classifier
-from sitelens.llm.common import table
+from sitelens.llm.common import delete, release, shared_folder, table
 
 #: (name, function); a function takes (spark, docs, sf_dir).
 STAGES = [
@@ -21,23 +21,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of this machine only where it names none."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="sitelens-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet and read again."""
+    """Applies the stages to documents; each result is written as Parquet and read again, and deleted once the
+    next one is written. The last one's files stay, as the result reads them."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        release(spark)
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
