@@ -94,6 +94,8 @@ class Bpe:
             if (symbols[k - 1], symbols[k]) not in inside:
                 out.append(self.fragments[tuple(symbols[start:k])])
                 start = k
+        if not start:  # an uncut word is remembered as a word only
+            return self.encode_fragment(tuple(symbols))
         out.append(self.fragments[tuple(symbols[start:])])
         return b"".join(out)
 
@@ -171,7 +173,8 @@ def default_path() -> str:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str | None = None, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_tokens, digests of the ids and of the decoded text, the ids themselves, and the columns of keep."""
+    """(doc_id, text) -> doc_id, n_tokens, digests of the ids and of the decoded text, the ids themselves (as little-endian
+    unsigned 32-bit integers), and the columns of keep."""
     small_batches(spark)
     with open(path or default_path(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # as long as the vocabulary file
@@ -188,12 +191,12 @@ def encoded(spark: SparkSession, docs: DataFrame, path: str | None = None, with_
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                columns.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=[*names, *keep])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     schema += "".join(f", {c} {dict(docs.dtypes)[c]}" for c in keep)
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep)).mapInArrow(run, schema)
 
@@ -203,7 +206,7 @@ def op2_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, text, its ids, their number and digests, and place: the row's order in the files that docs was read
+    """doc_id, text, its ids (see encoded), their number and digests, and place: the row's order in the files that docs was read
     from (their number, then the row's), so that a training order is kept. A null text has no tokens; rows are
     encoded alone, whatever their ids; other columns are left out."""
     try:

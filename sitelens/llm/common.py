@@ -41,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keyed(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number of its own for each row, that stays the same whenever docs is read.
+
+    Files give the same rows in the same order each time; anything else is written first."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
 #: What stored() has written and release() has not deleted.
 _stored: list[str] = []
 

@@ -22,7 +22,6 @@ import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -217,10 +216,10 @@ def predictor(spark: SparkSession, model: Model):
     """A column function: text -> struct(lang, score, rejected)."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame([sent.value.predict(t) for t in texts], columns=["lang", "score", "rejected"])
+    @F.arrow_udf("lang string, score double, rejected boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [sent.value.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=["lang", "score", "rejected"])
 
     return run
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import count_words, cut, fresh, parts, stored, table
+from .common import count_words, cut, fresh, keyed, parts, table
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -112,7 +112,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stand by id; an empty table gives an empty result; other columns stay, whatever their names."""
     row, at = fresh(docs.columns, 2)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    docs = keyed(docs, row)
     copies = F.slice("positions", 1, F.greatest(F.lit(0), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")))
     times = mix(docs.select("doc_id", "source", "text", row), keep=(row,)).filter("taken > 0").select(row, F.explode(copies).alias(at))
     n = parts(docs)

@@ -35,14 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, fresh, small_batches, stored, table
+from .common import cut, forget, fresh, keyed, small_batches, table
 
 SHINGLE = 5
 #: Similarity of a link, in per cent.
 PERCENT = 75
 MINHASHES, TREES, PATHS, STEP, DEPTH = 128, 8, 4, 2, 2
 #: Classes that a node compares at once, and their shingles.
-LEAF, LEAF_SHINGLES = 2000, 8_000_000
+LEAF, LEAF_SHINGLES = 2000, 2_000_000
 #: Estimated similarity from which a pair is confirmed: four standard errors under the link's.
 MAYBE = 0.6
 #: Ids that may be broadcast to pick the documents of possible links (8 bytes each); more are joined by a shuffle.
@@ -409,7 +409,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group, that of the least id (a null id is the last, equal ids by row); ids may repeat or be
     null, and texts without words are groups of their own; other columns stay, whatever their names."""
     row, one = fresh(docs.columns, 2)
-    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    docs = keyed(docs, row)
     groups = grouped(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
     own = docs.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias(one))
     first = own.join(groups, row).groupBy("component_id").agg(F.min(one).alias(one)).select(F.col(one)["row"].alias(row))

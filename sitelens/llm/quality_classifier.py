@@ -17,7 +17,7 @@ import operator
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,11 +100,16 @@ def solve(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Model:
     return Model(sums[1][0] / n, classes)
 
 
+def matrix(x: pa.Array) -> np.ndarray:
+    """A row of statistics for each of an array's lists."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and statistics of every row of docs."""
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t) for t in texts])
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", run("text").alias("x"))
@@ -116,16 +121,19 @@ def fit(spark: SparkSession, rows: DataFrame, labels: DataFrame, may_learn: Colu
     labels = labels.filter(may_learn) if may_learn is not None else labels
     known = rows.join(labels, "doc_id").select("quality", "x")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, list] = {}
-        for part in parts:
-            for k, group in part.groupby("quality"):
-                x = np.array(group["x"].tolist())
+        for batch in batches:
+            quality, every = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for k in np.unique(quality).tolist():
+                x = every[quality == k]
                 new = (float(len(x)), x.sum(0), x.T @ x)
                 totals[k] = [a + b for a, b in zip(totals[k], new)] if k in totals else list(new)
-        yield pd.DataFrame([(int(k), n, s.tolist(), q.ravel().tolist()) for k, (n, s, q) in totals.items()], columns=["k", "n", "s", "q"])
+        rows = [(k, n, s, q.ravel()) for k, (n, s, q) in totals.items()]
+        kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["k", "n", "s", "q"])
 
-    each = known.mapInPandas(run, "k int, n double, s array<double>, q array<double>")
+    each = known.select(F.col("quality").cast("int").alias("quality"), "x").mapInArrow(run, "k int, n double, s array<double>, q array<double>")
     sums = {}
     by = each.select("k", "n", F.posexplode(F.concat("s", "q")).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     d, found = STATISTICS, by.collect()
@@ -141,9 +149,9 @@ def scorer(spark: SparkSession, model: Model):
     """A column function: statistics -> score."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.scores(np.array(x.tolist()).reshape(-1, STATISTICS)))
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array(sent.value.scores(matrix(x)))
 
     return run
 
@@ -165,8 +173,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(spark, measured(docs), table(spark, sf_dir, "labels"))
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.scores(np.array([statistics(t) for t in texts]).reshape(-1, STATISTICS)))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(sent.value.scores(np.array([statistics(t.as_py()) for t in texts]).reshape(-1, STATISTICS)))
 
     return docs.withColumn(found, run("text")).filter(F.col(found) >= THRESHOLD).drop(found)
