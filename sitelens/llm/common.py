@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold, so that batches of long texts stay small.
-BATCH_ROWS = 500
+#: Rows and bytes that an Arrow batch may hold, so that batches of long texts or large groups stay small.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: The ASCII white space that separates words.
 WHITE = r"\x20\x09-\x0D"
 
@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -4,7 +4,8 @@ Counts of a text become about a dozen transformed statistics. Each class has a G
 whose covariance is shrunk towards the pooled one and towards a multiple of the identity; a score is
 the difference of the two log densities (Mahalanobis distances by cached Cholesky factors) and the
 classes' log shares, through the logistic function. Means and covariances come from sums over all
-labelled rows, a row per task, so nothing that grows with the corpus reaches the driver.
+labelled rows, a row per task, so nothing that grows with the corpus reaches the driver; the sums are of whole
+multiples of 1 / GRID, so that they are the same in whatever order the rows come.
 
 Defined results: a null text counts as empty, and empty texts get a score like others; without labels
 of both classes the score is the share of label 1 (1 without any label); ids may repeat or be null;
@@ -30,6 +31,8 @@ THRESHOLD = 0.3
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOLS, _STOPS, _COMMAS = b"#*$%&|<>{}[]=+~^_\\/@", b".?", b",;:"
 STATISTICS = 14
+#: Parts of one that statistics are summed in.
+GRID = 1 << 14
 USUAL = 20
 
 
@@ -126,22 +129,22 @@ def fit(spark: SparkSession, rows: DataFrame, labels: DataFrame, may_learn: Colu
         for batch in batches:
             quality, every = batch.column(0).to_numpy(), matrix(batch.column(1))
             for k in np.unique(quality).tolist():
-                x = every[quality == k]
-                new = (float(len(x)), x.sum(0), x.T @ x)
+                x = np.rint(every[quality == k] * GRID).astype(np.int64)
+                new = (len(x), x.sum(0), x.T @ x)
                 totals[k] = [a + b for a, b in zip(totals[k], new)] if k in totals else list(new)
         rows = [(k, n, s, q.ravel()) for k, (n, s, q) in totals.items()]
-        kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["k", "n", "s", "q"])
 
-    each = known.select(F.col("quality").cast("int").alias("quality"), "x").mapInArrow(run, "k int, n double, s array<double>, q array<double>")
+    each = known.select(F.col("quality").cast("int").alias("quality"), "x").mapInArrow(run, "k int, n long, s array<long>, q array<long>")
     sums = {}
-    by = each.select("k", "n", F.posexplode(F.concat("s", "q")).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    by = each.select("k", "n", F.posexplode(F.concat("s", "q")).alias("i", "v")).groupBy("k", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n"))
     d, found = STATISTICS, by.collect()
     for k in (0, 1):
         own = {r["i"]: r for r in found if r["k"] == k}
         if own:
-            v = np.array([own[i]["v"] for i in range(d + d * d)])
-            sums[k] = (own[0]["n"], v[:d], v[d:].reshape(d, d))
+            s, q = ([float(own[i]["v"]) / unit for i in range(*at)] for unit, at in ((GRID, (0, d)), (GRID * GRID, (d, d + d * d))))
+            sums[k] = (float(own[0]["n"]), np.array(s), np.array(q).reshape(d, d))
     return solve(sums)
 
 
