@@ -7,7 +7,7 @@ from . import values as V
 
 
 def any_of(q, c: str, patterns: list[str]) -> str:
-    return "(" + " OR ".join(q.has(c, f"(?i){p}") for p in patterns) + ")"
+    return q.has(c, "(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def n_of(q, c: str, patterns: list[str]) -> str:

@@ -35,6 +35,29 @@ def compared(q) -> str:
     return stripped(q, "h", ("script", "style", "noscript", "svg", "nav", "footer"), fold=True)
 
 
+def readable(q) -> str:
+    """The text for readers that take structure: blocks on lines of their own, links' numbers and addresses named."""
+    h = "h"
+    for tag in ("script", "style"):
+        h = q.sub(h, rf"(?is)<{tag}\b.*?</{tag}>", "")
+    h = q.sub(h, r"(?s)<!--.*?-->", "")
+    for tag in ("noscript", "svg", "head"):
+        h = q.sub(h, rf"(?is)<{tag}\b.*?</{tag}>", "")
+    h = f"trim({q.sub(h, chr(92) + 's+', ' ')})"
+    one = q.group(1)
+    for p, r in ((r"""(?i)href=["']tel:([^"']+)["']""", f"PHONE: {one} "), (r"""(?i)href=["']mailto:([^"']+)["']""", f"EMAIL: {one} "), (r"""(?i)\stel=["']([^"']+)["']""", f" PHONE: {one} "),
+                 (r"""(?i)href=["']https?://(?:api\.)?whatsapp\.com/send\?phone=\s*(\d+)["']""", f"WHATSAPP: +{one} "), (r"""(?i)href=["']https?://wa\.me/(\d+)["']""", f"WHATSAPP: +{one} ")):
+        h = q.sub(h, p, r)
+    h = f"replace({q.sub(h, '(?i)<(h[1-6]|div|section|article|p|li|tr|footer|header)[^>]*>', '@@')}, '@@', chr(10))".replace("'@@'", q.quoted("\x01"))
+    h = q.sub(h, "<[^>]+>", " ")
+    for name, c in REFERENCES:
+        h = f"replace({h}, '{name}', '{c}')"
+    h = f"replace({h}, '&#39;', {apostrophe(q)})"
+    h = q.sub(q.sub(h, r"[ \t]+", " "), r"\n\s*\n", chr(2))
+    h = f"replace({q.sub(f'replace({h}, {q.quoted(chr(2))}, chr(10))', r'\n ', chr(2))}, {q.quoted(chr(2))}, chr(10))"
+    return q.sub(h, r"^\s+|\s+$", "")
+
+
 def words(q, text: str) -> str:
     return q.size(q.keep(q.split(text, r"\s+"), "w", "w <> ''"))
 
@@ -43,29 +66,52 @@ def host(q, url: str = "url") -> str:
     return f"lower({q.first(url, r'^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)')})"
 
 
+#: Headings, and blocks of the body, that a page's features keep.
+HEADINGS, BLOCKS = 20, 20
+
+
+def heading_list(q) -> str:
+    """The texts of the first headings without markup in them, h1 before h2 before h3."""
+    own = lambda k: q.slice(q.keep(q.each(q.all("h", rf"(?i)<h{k}[^>]*>([^<]*)</h{k}>"), "x", q.sub("x", r"^\s+|\s+$", "")), "y", "y <> ''"), HEADINGS)
+    return q.slice(q.concat(*map(own, (1, 2, 3))), HEADINGS)
+
+
+def block_list(q) -> str:
+    """The first block elements of the body, by name."""
+    body = f"CASE WHEN {q.has('h', '(?is)<body[^>]*>.*</body>')} THEN {q.first('h', '(?is)<body[^>]*>(.*)</body>')} ELSE h END"
+    return q.slice(q.each(q.all(body, r"(?i)<(header|main|section|article|aside|footer|nav|div)[^>]*>"), "x", "lower(x)"), BLOCKS)
+
+
 def features(q) -> dict[str, str]:
+    """Over h and t, the text as comparisons take it; lists stay lists."""
     count = lambda p: f"CAST({q.count('h', p)} AS INTEGER)"
-    headings = q.all("h", r"(?i)<h[1-3][^>]*>([^<]+)</h[1-3]>")
+    depth = f"least({count('(?i)<div')}, 50)"
     out = {
-        "title": q.first("h", r"(?i)<title[^>]*>([^<]*)</title>"),
+        "title": f"CASE WHEN {q.has('h', '(?i)<title[^>]*>[^<]*</title>')} THEN trim({q.first('h', '(?i)<title[^>]*>([^<]*)</title>')}) END",
         "word_count": words(q, "t"),
         "text_length": "CAST(length(t) AS INTEGER)",
         "html_sha256": q.sha256("h"),
         "text_sha256": q.sha256("t"),
-        "heading_texts": q.joined(q.slice(q.each(headings, "x", "lower(trim(x))"), 20), "|"),
-        "links": count(r"(?i)<a\s+[^>]*href"),
-        "forms": count(r"(?i)<form[\s>]"),
-        "buttons": count(r"(?i)<button[\s>]"),
-        "inputs": count(r"(?i)<input[\s>]"),
-        "images": count(r"(?i)<img[\s>]"),
-        "passwords": count(r"""(?i)<input[^>]+type\s*=\s*["']?password"""),
-        "max_depth": f"least({count('(?i)<div')}, 50)",
-        "generator": q.first("h", r"""(?i)<meta[^>]*name=["']generator["'][^>]*content=["']([^"']+)["']"""),
-        "blocks": q.joined(q.slice(q.each(q.all("h", r"(?i)<(header|nav|main|section|article|aside|footer|div)[\s>]"), "x", "lower(x)"), 20), ","),
+        **{f"h{k}": count(rf"(?i)<h{k}[^>]*>[^<]*</h{k}>") for k in (1, 2, 3)},
+        "headings": heading_list(q),
+        "links": count(r"""(?i)<a\s+[^>]*href\s*=\s*["'][^"']*["'][^>]*>"""),
+        "forms": count("(?i)<form"),
+        "buttons": count("(?i)<button"),
+        "inputs": count("(?i)<input"),
+        "images": count("(?i)<img"),
+        "passwords": count(r"""(?i)<input[^>]*type\s*=\s*["']password["']"""),
+        "max_depth": depth,
+        "avg_depth": f"CAST(floor({depth} / CAST(2 AS DOUBLE) + 0.5) AS INTEGER)",
+        "generator": f"nullif({q.first('h', V.GENERATOR)}, '')",
+        "blocks": block_list(q),
     }
     return out | {f"tag_{t}": count(rf"(?i)<{t}[\s>]") for t in V.TAGS}
 
 
+def flat_features(q) -> dict[str, str]:
+    return {c: q.joined(c, "|") if c in ("headings", "blocks") else c for c in features(q)}
+
+
 def signals(q) -> dict[str, str]:
     """Redirects, forms, third parties, content and policy links; flags as booleans."""
     has, count = (lambda p, c="h": q.has(c, p)), (lambda p, c="h": f"CAST({q.count(c, p)} AS INTEGER)")
@@ -98,93 +144,25 @@ def signals(q) -> dict[str, str]:
     }
 
 
-def rules(q) -> dict[str, list[tuple[str, str, str, str]]]:
-    """By risk type: (key, points, condition, reason) over signals()."""
-    p, s, c = ({k: str(v) for k, v in x.items()} for x in (V.PHISHING, V.SHELL, V.COMPLIANCE))
-    shop = "payment"
-    return {
-        "phishing": [
-            ("login_external", p["login_external"], "login_form AND external_actions > 0", "Login form posts to another site"),
-            ("password_external", p["password_external"], "NOT login_form AND passwords > 0 AND external_actions > 0", "Password field with an external form action"),
-            ("password", p["password"], "passwords > 0 AND external_actions = 0", "Password field on the page"),
-            ("meta_refresh", p["meta_refresh"], "meta_refresh", "Meta refresh"),
-            ("js_redirect", p["js_redirect"], "js_redirect", "Script redirect"),
-            ("no_https", p["no_https"], "NOT https", "No HTTPS"),
-            ("eval", p["eval"], "evaluates", "Script evaluates text"),
-            ("obfuscated", p["obfuscated"], "obfuscated", "Very long inline script"),
-            ("external_action", p["external_action"], "external_actions > 0 AND NOT login_form", "External form action"),
-        ],
-        "shell_company": [
-            ("words", s["words"], "word_count < 150", "Very little text"),
-            ("no_contact_about", s["no_contact_about"], "NOT contact AND NOT about", "Neither contact nor about page"),
-            ("urgency", s["urgency"], "urgency >= 3", "Pressing language"),
-            ("discount", s["discount"], "discount >= 3", "Many discounts"),
-            ("impersonation", s["impersonation"], "impersonation", "Claims to be official"),
-        ],
-        "compliance": [
-            ("no_privacy", c["no_privacy"], "NOT privacy_link", "No privacy policy"),
-            ("no_terms", c["no_terms"], "NOT terms_link", "No terms"),
-            ("no_refund", c["no_refund"], f"{shop} AND NOT refund_link", "Shop without refund policy"),
-            ("no_shipping", c["no_shipping"], shop, "Shop without shipping policy"),
-            ("no_contact", c["no_contact"], "NOT contact", "No contact details"),
-            ("no_about", c["no_about"], "NOT about", "No about page"),
-            ("payment", c["payment"], f"{shop} AND (NOT privacy_link OR NOT terms_link)", "Takes payment without policies"),
-        ],
-    }
-
-
-def score(rows: list[tuple[str, str, str, str]]) -> str:
-    return "least(100, " + " + ".join(f"CASE WHEN {cond} THEN {points} ELSE 0 END" for _, points, cond, _ in rows) + ")"
-
-
-def risk(q) -> dict[str, str]:
-    return {k: f"CAST({score(rows)} AS INTEGER)" for k, rows in rules(q).items()}
-
-
-OVERALL = "CAST(floor(0.6 * greatest(phishing, shell_company, compliance) + 0.4 * ((phishing + shell_company + compliance) / CAST(3 AS DOUBLE)) + 0.5) AS INTEGER)"
-PRIMARY = "CASE WHEN phishing >= shell_company AND phishing >= compliance THEN 'phishing' WHEN shell_company >= compliance THEN 'shell_company' ELSE 'compliance' END"
-CONFIDENCE = "CAST(greatest(0, least(90, 70 - CASE WHEN word_count < 150 THEN 15 ELSE 0 END)) AS INTEGER)"
-
-
-def ai(q) -> dict[str, str]:
-    """Deterministic likelihood that a page was generated: markup and search-engine scores, over h."""
-    head = "substr(h, 1, 50000)"
-    builders = [(rf"(?i)generator[\"']?\s*[:=]\s*[\"']?{n}", s) for n, s in V.GENERATORS] + [(f"(?i){p}", s) for p, s in V.BUILDERS]
-    builder = "greatest(0, " + ", ".join(f"CASE WHEN {q.has(head, p)} THEN {s} ELSE 0 END" for p, s in builders) + ")"
-    markers = " + ".join(f"CASE WHEN {q.has('h', '(?i)' + p)} THEN {s} ELSE 0 END" for p, s in V.AI_MARKERS)
-    title = q.first("h", r"(?i)<title[^>]*>([^<]+)</title>")
-    seo = [
-        f"CASE WHEN {q.has('h', r'(?i)<title[^>]*>.{10,}</title>')} THEN CASE WHEN {q.has(f'trim({title})', r'(?i)^(?:Home|Welcome|Untitled|My App|Vite App|React App)$')} THEN 5 ELSE 20 END ELSE 0 END",
-        f"""CASE WHEN {q.has('h', r'''(?i)<meta[^>]*name=["']description["'][^>]*content=["'][^"']{50,}["']''')} THEN 20 WHEN {q.has('h', r'''(?i)<meta[^>]*name=["']description["']''')} THEN 5 ELSE 0 END""",
-        f"""CASE WHEN {q.has('h', r'''(?i)<meta[^>]*property=["']og:''')} THEN 15 ELSE 0 END""",
-        f"""CASE WHEN {q.has('h', r'''(?i)<meta[^>]*name=["']twitter:''')} THEN 10 ELSE 0 END""",
-        f"""CASE WHEN {q.has('h', r'''(?i)<link[^>]*rel=["']canonical["']''')} THEN 10 ELSE 0 END""",
-        f"""CASE WHEN {q.has('h', r'''(?i)<script[^>]*type=["']application/ld\+json["']''')} THEN 15 ELSE 0 END""",
-        f"CASE WHEN {q.has('h', r'(?i)<(?:header|main|footer|article|section|nav)[^>]*>')} THEN 10 ELSE 0 END",
-    ]
-    return {"markup": f"CAST(least(100, {builder} + {markers}) AS INTEGER)", "seo": f"CAST(least(100, {' + '.join(seo)}) AS INTEGER)"}
-
-
-INFRASTRUCTURE = "CAST(least(100, floor((100 - seo) * 0.25 + 0.5)) AS INTEGER)"
-AI_SCORE = "CAST(floor(0.55 * 50 + 0.25 * markup + 0.20 * infrastructure + 0.5) AS INTEGER)"
-AI_CONFIDENCE = "CAST(greatest(0, 20 - CASE WHEN length(t) < 500 THEN 30 WHEN length(t) < 1000 THEN 15 ELSE 0 END) AS INTEGER)"
+#: Characters of a text that may hold a price, and of a price as shown.
+PRICE_SOURCE, PRICE_SHOWN = 200, 50
 
 
-def contacts(q) -> dict[str, str]:
-    emails = q.keep(q.all("t", V.EMAIL, 0), "x", "NOT " + q.has("x", r"(?i)example\.com|test\.|localhost|noreply|no-reply"))
-    phones = q.keep(q.all("t", V.PHONE, 0), "x", f"length({q.sub('x', '[^0-9]', '')}) BETWEEN 7 AND 15")
-    social = lambda n: q.first("h", rf"""(?i)href=["']([^"']*{n}[^"']*)["']""")
-    return {"emails": q.joined(emails, ","), "n_phones": q.size(phones), "linkedin": social(r"linkedin\.com"), "facebook": social(r"facebook\.com")}
+def priced(q, c: str) -> str:
+    """Which of the ordered price patterns is the first that a text has, from 0; null without one or for a longer text."""
+    clean = f"trim({q.sub(c, chr(92) + 's+', ' ')})"
+    return f"CASE WHEN length({c}) > {PRICE_SOURCE} THEN NULL " + " ".join(f"WHEN {q.has(clean, p)} THEN {k}" for k, (p, _) in enumerate(V.price_patterns())) + " END"
 
 
-def price(q, c: str) -> dict[str, str]:
-    """Currency and amount by the first of the ordered patterns that matches."""
-    number = r"([\d,]+\.?\d*)"
-    tried = [("(?i)" + s.replace("$", r"\$") + r"\s*" + number, k) for s, k in V.CURRENCY_SIGNS]
-    tried += [(f"(?i){k}" + r"\s*" + number, k) for k in V.CURRENCY_CODES] + [(f"(?i){number}" + r"\s*" + k, k) for k in V.CURRENCY_SUFFIXES]
-    currency = "CASE " + " ".join(f"WHEN {q.has(c, p)} THEN '{k}'" for p, k in tried) + " END"
-    text = "CASE " + " ".join(f"WHEN {q.has(c, p)} THEN {q.first(c, p)}" for p, _ in tried) + " END"
-    return {"currency": currency, "amount": f"try_cast(replace({text}, ',', '') AS DOUBLE)"}
+def price(q, c: str, k: str) -> dict[str, str]:
+    """Currency, amount and text of a price, where k is priced() of the text; commas and points before three digits
+    separate thousands."""
+    tried = V.price_patterns()
+    clean = f"trim({q.sub(c, chr(92) + 's+', ' ')})"
+    pattern = q.at(q.array(*(q.pattern(p) for p, _ in tried)), k)
+    digits = q.sub_first(q.ungrouped(q.ungrouped(f"regexp_extract({clean}, {pattern}, 1)", ","), "."), ",", ".")
+    return {"currency": q.at(q.array(*(f"'{x}'" for _, x in tried)), k), "amount": f"try_cast({q.first(digits, '^([0-9]*[.]?[0-9]*)')} AS DOUBLE)",
+            "price_text": f"substr(trim(regexp_extract({clean}, {pattern}, 0)), 1, {PRICE_SHOWN})"}
 
 
 def urls(q, u: str = "url") -> dict[str, str]:

@@ -4,34 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Snippets that pages get by page_id modulo 12, so that every signal occurs.
-SNIPPETS = [
-    '<form action="https://collect.example.org/in"><input type="email"><input type="password"><input type="submit"></form>',
-    '<form action="/login"><input type="password"><button>Log in</button></form>',
-    '<meta http-equiv="refresh" content="0; url=https://other.example.org/">',
-    '<script>window.location.href = "https://other.example.org/";</script>',
-    '<script>eval("1 + 1"); atob("eA==")</script>',
-    '<div><p>Generated by AI with webflow. Lorem ipsum.</p></div>',
-    '<script src="https://cdn1.example.org/a.js"></script><script src="https://cdn2.example.org/b.js"></script><script src="/own.js"></script>',
-    "<p>Hurry, limited time! 50% off, free shipping and clearance sale. Order now: checkout by PayPal or credit card, authorized dealer.</p>",
-    '<footer><a href="/privacy-policy">Privacy Policy</a><a href="/terms">Terms of Service</a><a href="/refund-policy">Refund Policy</a><a href="/datenschutz">Datenschutz</a></footer>',
-    '<div class="product"><a href="/products/red-shoe">Red shoe</a><del>$50.00</del><ins>$39.50</ins></div><div class="product"><a href="/products/hat?color=1">Hat</a><span>EUR 12,50</span></div>',
-    '<address>Mail sales@shop.example.org or noreply@shop.example.org, call +1 (706) 555-3138, <a href="https://www.linkedin.com/company/x">LinkedIn</a> <a href="https://facebook.com/x">Facebook</a></address>',
-    '<meta name="generator" content="WordPress"><h2>About us</h2><h3>Team</h3><img src="/a.png"><button>Go</button><table><tr><td>1</td></tr></table>',
-]
-
-
-def augmented_html() -> str:
-    cases = " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SNIPPETS))
-    return f"replace(html, '</body>', concat(CASE page_id % 12 {cases} END, '</body>'))"
-
-
 def pages_sql() -> str:
-    return f"SELECT page_id, url, {augmented_html()} AS h FROM pages"
+    return "SELECT page_id, url, html AS h FROM pages"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", "url", f"{augmented_html()} AS h")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("page_id", "url", "html AS h")
 
 
 #: Events as scans: (scan_id, domain_id, status, created_at).
