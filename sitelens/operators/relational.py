@@ -6,8 +6,6 @@ placed explicitly, and times come in as parameters, so results are the same on e
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +31,6 @@ def offset_page(df: DataFrame, order: list[Column], page: int = 1, size: int = 2
     return df.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
 
 
-def total_pages(total: int, size: int) -> int:
-    return math.ceil(total / max(1, min(100, size)))
-
-
 def cursor_page(df: DataFrame, key: str, unique: str, after: tuple | None, size: int = 20) -> DataFrame:
     """Rows after a cursor (key descending, then unique descending), and whether more follow.
 
@@ -59,11 +53,6 @@ def search(df: DataFrame, columns: list[str], text: str, case: bool = False, lea
     return df.filter(found)
 
 
-def same_pair(a: str, b: str, x: str, y: str) -> Column:
-    """Whether the unordered pairs (a, b) and (x, y) are equal."""
-    return (F.least(a, b) == F.least(x, y)) & (F.greatest(a, b) == F.greatest(x, y))
-
-
 def mode_first_seen(df: DataFrame, parent: str, value: str, pos: str) -> DataFrame:
     """The most frequent value of a parent; of equally frequent ones that seen first, then the greatest."""
     counts = df.groupBy(parent, value).agg(F.count("*").alias("n"), F.min(pos).alias("first"))

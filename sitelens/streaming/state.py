@@ -21,24 +21,32 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; one of this machine only where the session runs on it alone."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(named or tempfile.mkdtemp(prefix='sitelens-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and returns its output."""
+def appended(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Runs a stream of final rows over what is there now and returns them."""
+    at = folder(spark)
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").format("parquet").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def merged(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream of changing rows over what is there now: each batch writes the keys that it changed, and the last
+    batch of a key holds."""
     at = folder(spark)
-    if mode == "append":
-        stream.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").format("parquet").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
-        return spark.read.parquet(f"{at}/out")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        batch.withColumn("batch_number", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{at}/out/batch={last}")
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_number").alias("x")).select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest)).select(*stream.columns)
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -56,3 +64,10 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Events of each type by hour, with a watermark for late rows."""
     out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def status(events: DataFrame) -> DataFrame:
+    """The state of each user's work: an end (completed or failed) stands, by the latest one; before it the latest step."""
+    step = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "processing").otherwise("pending")
+    ended = F.col("event_type").isin("purchase", "error")
+    return events.groupBy("user_id").agg(F.max_by(step, F.struct(ended, "ts", "event_id")).alias("status"), F.max("ts").alias("seen"))
