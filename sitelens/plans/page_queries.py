@@ -39,171 +39,6 @@ def page_query(columns, text=P.plain):
     return lambda spark, sf: project(texts(spark, sf, text), columns(SPARK)), select(columns(DUCK), with_text(DUCK, text))
 
 
-def scored(q, source):
-    """signals, the three scores, then overall, type and confidence; source: SQL or a DataFrame with t."""
-    overall = {"overall": P.OVERALL, "primary_type": P.PRIMARY, "confidence": P.CONFIDENCE}
-    types = tuple(P.rules(q))
-    if isinstance(source, str):
-        inner = select(P.risk(q) | {"word_count": "word_count"}, select(P.signals(q), source))
-        return select({t: t for t in types} | overall, inner)
-    inner = project(project(source, P.signals(q)), P.risk(q) | {"word_count": "word_count"})
-    return project(inner, {t: t for t in types} | overall)
-
-
-def risk_scores(spark, sf):
-    return scored(SPARK, texts(spark, sf))
-
-
-def applied(q) -> list[tuple[int, str, str, str, str]]:
-    flat = [(kind, *rule) for kind, rows in P.rules(q).items() for rule in rows]
-    return [(n, kind, points, cond, f"[{kind}] {reason}") for n, (kind, _, points, cond, reason) in enumerate(flat)]
-
-
-def risk_reasons(spark, sf):
-    """The five weightiest reasons of a page; equal points keep the order of the rules."""
-    items = [f"CASE WHEN {cond} THEN named_struct('p', -{points}, 'n', {n}, 'r', '{reason}') END" for n, _, points, cond, reason in applied(SPARK)]
-    df = project(texts(spark, sf), P.signals(SPARK)).selectExpr("page_id", f"slice(array_sort(array_compact(array({', '.join(items)}))), 1, 5) AS x")
-    return df.selectExpr("page_id", "posexplode(x) AS (i, x)").selectExpr("page_id", "CAST(i + 1 AS INT) AS rank", "x.r AS reason", "-x.p AS points")
-
-
-def risk_reasons_sql() -> str:
-    signals = select(P.signals(DUCK), with_text(DUCK))
-    rows = " UNION ALL ".join(f"SELECT page_id, {n} AS n, {points} AS points, '{reason}' AS reason FROM s WHERE {cond}" for n, _, points, cond, reason in applied(DUCK))
-    return f"WITH s AS MATERIALIZED ({signals}), r AS ({rows}) SELECT * EXCLUDE (n) FROM (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY points DESC, n) AS INTEGER) AS rank, reason, points, n FROM r) WHERE rank <= 5"
-
-
-def ai_likelihood(spark, sf):
-    df = project(texts(spark, sf), P.ai(SPARK), ("page_id", "t"))
-    df = df.selectExpr("page_id", "t", "markup", "seo", f"{P.INFRASTRUCTURE} AS infrastructure")
-    return df.selectExpr("page_id", "markup", "seo", "infrastructure", f"{P.AI_SCORE} AS ai_score", f"{P.AI_CONFIDENCE} AS confidence")
-
-
-def ai_likelihood_sql() -> str:
-    inner = select(P.ai(DUCK), with_text(DUCK), ("page_id", "t"))
-    inner = f"SELECT *, {P.INFRASTRUCTURE} AS infrastructure FROM ({inner})"
-    return f"SELECT page_id, markup, seo, infrastructure, {P.AI_SCORE} AS ai_score, {P.AI_CONFIDENCE} AS confidence FROM ({inner})"
-
-
-SIGNAL_ROWS = {
-    "meta_refresh": "warning", "js_redirect": "warning", "login_form": "warning", "evaluates": "risk_hint",
-    "obfuscated": "risk_hint", "impersonation": "warning", "payment": "info", "https": "info",
-}
-
-
-def signal_log(spark, sf):
-    """Signals as rows of name, value and severity: flags that are raised warn, others inform."""
-    df = project(texts(spark, sf), P.signals(SPARK))
-    rows = [f"named_struct('name', '{n}', 'value', CAST({n} AS STRING), 'severity', CASE WHEN {n} THEN '{s}' ELSE 'info' END)" for n, s in SIGNAL_ROWS.items()]
-    return df.selectExpr("page_id", f"inline(array({', '.join(rows)}))")
-
-
-def signal_log_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT page_id, '{n}' AS name, CAST({n} AS VARCHAR) AS value, CASE WHEN {n} THEN '{s}' ELSE 'info' END AS severity FROM s" for n, s in SIGNAL_ROWS.items())
-    return f"WITH s AS MATERIALIZED ({select(P.signals(DUCK), with_text(DUCK))}) {rows}"
-
-
-ANCHOR = r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["'][^>]*>([^<]*)</a>"""
-
-
-def anchors(spark, sf) -> DataFrame:
-    """page_id, host, pos, href, label of every plain anchor, in page order."""
-    q = SPARK
-    df = views.pages(spark, sf).selectExpr("page_id", f"{P.host(q)} AS host", f"arrays_zip({q.all('h', ANCHOR, 1)}, {q.all('h', ANCHOR, 2)}) AS x")
-    return df.selectExpr("page_id", "host", "posexplode(x) AS (pos, x)").selectExpr("page_id", "host", "pos", "x['0'] AS href", "trim(x['1']) AS label")
-
-
-def anchors_sql() -> str:
-    q = DUCK
-    return (
-        f"SELECT page_id, host, CAST(pos - 1 AS INTEGER) AS pos, hrefs[pos] AS href, trim(labels[pos]) AS label FROM (SELECT page_id, {P.host(q)} AS host, {q.all('h', ANCHOR, 1)} AS hrefs, {q.all('h', ANCHOR, 2)} AS labels, "
-        f"unnest(range(1, len({q.all('h', ANCHOR, 1)}) + 1)) AS pos FROM ({views.pages_sql()}))"
-    )
-
-
-def link_kind(q) -> str:
-    target = P.host(q, "href")
-    return f"CASE WHEN href LIKE '/%' OR href LIKE '#%' OR href LIKE '?%' THEN 'internal' WHEN {q.has('href', '(?i)^https?://')} THEN CASE WHEN contains({target}, host) THEN 'internal' ELSE 'external' END ELSE 'internal' END"
-
-
-def link_classing(spark, sf):
-    df = anchors(spark, sf).selectExpr("page_id", f"{link_kind(SPARK)} AS kind")
-    return df.groupBy("page_id").agg(F.count_if(F.col("kind") == "internal").alias("internal"), F.count_if(F.col("kind") == "external").alias("external"))
-
-
-def link_classing_sql() -> str:
-    return f"SELECT page_id, count(*) FILTER (WHERE kind = 'internal') AS internal, count(*) FILTER (WHERE kind = 'external') AS external FROM (SELECT page_id, {link_kind(DUCK)} AS kind FROM ({anchors_sql()})) GROUP BY page_id"
-
-
-def policy_rank(q, kind: str) -> str:
-    text, href = dict(V.POLICY_ANCHORS)[kind], dict(V.POLICY_HREFS)[kind]
-    return f"CASE WHEN {q.has('label', text)} THEN 100 ELSE 0 END + CASE WHEN {q.has('href', href)} THEN 50 ELSE 0 END"
-
-
-KINDS = [k for k, _ in V.POLICY_ANCHORS]
-#: Candidates of a page and policy that go on to verification.
-CANDIDATES = 3
-
-
-def policy_candidates(spark, sf):
-    """Anchors that may be policies, ranked by words of label and address, three for each policy."""
-    ranks = ", ".join(f"named_struct('policy', '{k}', 'score', {policy_rank(SPARK, k)})" for k in KINDS)
-    df = anchors(spark, sf).selectExpr("page_id", "pos", "href", "label", f"inline(array({ranks}))").filter("score > 0")
-    df = df.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id, policy ORDER BY score DESC, pos) AS INT) AS rank")
-    return df.filter(f"rank <= {CANDIDATES}").select("page_id", "policy", "rank", "href", "label", "score")
-
-
-def policy_candidates_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT page_id, pos, href, label, '{k}' AS policy, {policy_rank(DUCK, k)} AS score FROM a" for k in KINDS)
-    return f"WITH a AS MATERIALIZED ({anchors_sql()}), c AS ({rows}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id, policy ORDER BY score DESC, pos) AS INTEGER) AS rank FROM c WHERE score > 0) SELECT page_id, policy, rank, href, label, score FROM r WHERE rank <= {CANDIDATES}"
-
-
-def policy_summary(spark, sf):
-    """Policies that a page links to and those that it lacks."""
-    best = policy_candidates(spark, sf).filter("rank = 1").groupBy("page_id").pivot("policy", KINDS).agg(F.first("href"))
-    missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(k).isNull(), k) for k in KINDS))), ",")
-    return views.pages(spark, sf).select("page_id").join(best, "page_id", "left").select("page_id", *KINDS, missing.alias("missing"))
-
-
-def policy_summary_sql() -> str:
-    picks = ", ".join(f"max(href) FILTER (WHERE policy = '{k}') AS {k}" for k in KINDS)
-    missing = "concat_ws(',', " + ", ".join(f"CASE WHEN {k} IS NULL THEN '{k}' END" for k in KINDS) + ")"
-    return f"WITH b AS (SELECT page_id, {picks} FROM ({policy_candidates_sql()}) WHERE rank = 1 GROUP BY page_id) SELECT p.page_id, {', '.join(KINDS)}, {missing} AS missing FROM pages p LEFT JOIN b ON p.page_id = b.page_id"
-
-
-CARD = r"""(?is)<a\s[^>]*href\s*=\s*["']([^"']*/products?/[^"']*)["'][^>]*>([^<]*)</a>(?:<del>[^<]*</del>)?<(?:ins|span)>([^<]*)<"""
-FIRST = "x['0']"
-#: Products of a page at most, in page order.
-PRODUCTS = 200
-
-
-def skus(spark, sf):
-    """Products of a page: address without query, title, currency, amount and confidence."""
-    q = SPARK
-    df = views.pages(spark, sf).selectExpr("page_id", f"arrays_zip({q.all('h', CARD, 1)}, {q.all('h', CARD, 2)}, {q.all('h', CARD, 3)}) AS x")
-    df = df.selectExpr("page_id", "posexplode(x) AS (pos, x)").selectExpr("page_id", "pos", f"{q.sub(FIRST, r'[?#].*$', '')} AS product_url", "trim(x['1']) AS title", "x['2'] AS c")
-    df = df.selectExpr("page_id", "pos", "product_url", "title", *named(P.price(q, "c")))
-    return _accepted(df)
-
-
-def _accepted(df: DataFrame) -> DataFrame:
-    df = df.selectExpr("*", "row_number() OVER (PARTITION BY page_id, product_url ORDER BY pos) AS k").filter("k = 1")
-    df = df.selectExpr("*", "row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n").filter(f"n <= {PRODUCTS}")
-    return df.selectExpr("page_id", "product_url", "title", "currency", "amount", f"{CONFIDENCE} AS confidence")
-
-
-CONFIDENCE = "CAST(least(95, 30 + CASE WHEN currency IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN length(title) >= 5 THEN 20 WHEN length(title) >= 3 THEN 10 ELSE 0 END + CASE WHEN amount IS NOT NULL THEN 5 ELSE 0 END) AS INT)"
-
-
-def skus_sql() -> str:
-    q = DUCK
-    inner = f"SELECT page_id, {q.all('h', CARD, 1)} AS u, {q.all('h', CARD, 2)} AS ti, {q.all('h', CARD, 3)} AS pr, unnest(range(1, len({q.all('h', CARD, 1)}) + 1)) AS pos FROM ({views.pages_sql()})"
-    rows = f"SELECT page_id, pos, {q.sub('u[pos]', r'[?#].*$', '')} AS product_url, trim(ti[pos]) AS title, pr[pos] AS c FROM ({inner})"
-    priced = select(P.price(q, "c"), rows, ("page_id", "pos", "product_url", "title"))
-    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, product_url ORDER BY pos) AS k FROM ({priced})) WHERE k = 1"
-    capped = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM ({first})) WHERE n <= {PRODUCTS}"
-    return f"SELECT page_id, product_url, title, currency, amount, {CONFIDENCE} AS confidence FROM ({capped})"
-
-
 PRICE_TEXTS = ["concat('$', p_retailprice)", "concat('US$ ', p_size)", "concat('EUR ', p_size, '.50')", "concat(p_size, ' USD')", "concat('£1,', 100 + p_size, '.25')", "p_name"]
 
 
@@ -212,120 +47,8 @@ def price_texts() -> str:
 
 
 def price_parse(spark, sf):
-    df = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", f"{price_texts()} AS c")
-    return project(df, P.price(SPARK, "c"), ("p_partkey",))
-
-
-def similarity_terms(spark, sf) -> DataFrame:
-    """(id, blk, term, tf, n): term shares of documents' words of three letters or more."""
-    df = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS id", "concat(lang, '/', doc_id % 100) AS blk", f"explode({TOKENS}) AS term")
-    df = df.groupBy("blk", "id", "term").count()
-    total = df.groupBy("blk", "id").agg(F.sum("count").alias("n"))
-    return df.join(total, ["blk", "id"]).select("blk", "id", "term", (F.col("count") / F.col("n")).alias("tf"))
-
-
-TOKENS = "filter(split(regexp_replace(lower(text), r'[^a-z0-9\\s]', ' '), r'\\s+'), w -> length(w) > 2)"
-#: What a term of one document only weighs against a shared one: ln(3 / 2) + 1.
-RARE = 1.4054651081081644
-
-
-def tfidf_pairs(spark, sf):
-    """TF-IDF cosine of document pairs of a block, by one inner join on terms.
-
-    A shared term weighs 1 and any other RARE, so each document's norm follows from its own sum of
-    squares and the sums over shared terms. Blocks bound the pairs: language and id modulo 100.
-    """
-    t = similarity_terms(spark, sf)
-    own = t.groupBy("blk", "id").agg(F.sum(F.col("tf") * F.col("tf")).alias("s"))
-    pairs = own.alias("a").join(own.alias("b"), (F.col("a.blk") == F.col("b.blk")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select(F.col("a.blk").alias("blk"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.s").alias("sa"), F.col("b.s").alias("sb"))
-    x, y = t.alias("x"), t.alias("y")
-    shared = x.join(y, (F.col("x.blk") == F.col("y.blk")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id")))
-    shared = shared.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.sum(F.col("x.tf") * F.col("y.tf")).alias("d"), F.sum(F.col("x.tf") * F.col("x.tf")).alias("qa"), F.sum(F.col("y.tf") * F.col("y.tf")).alias("qb"))
-    df = pairs.join(shared, ["a", "b"], "left").na.fill(0.0, ["d", "qa", "qb"])
-    k2 = RARE * RARE
-    norm = F.sqrt((k2 * F.col("sa") + (1 - k2) * F.col("qa")) * (k2 * F.col("sb") + (1 - k2) * F.col("qb")))
-    return df.select("a", "b", F.round(F.when(norm > 0, F.col("d") / norm).otherwise(0.0), 6).alias("cosine"))
-
-
-TFIDF_SQL = r"""
-WITH w AS (SELECT doc_id AS id, concat(lang, '/', doc_id % 100) AS blk, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2)) AS term FROM documents),
-c AS (SELECT blk, id, term, count(*) AS n FROM w GROUP BY ALL),
-t AS (SELECT blk, id, term, n / CAST(sum(n) OVER (PARTITION BY blk, id) AS DOUBLE) AS tf FROM c),
-d AS (SELECT DISTINCT blk, id FROM t),
-p AS (SELECT a.blk, a.id AS a, b.id AS b FROM d a JOIN d b ON a.blk = b.blk AND a.id < b.id),
-df AS (SELECT p.a, p.b, t.term, count(*) AS df FROM p JOIN t ON t.id = p.a OR t.id = p.b WHERE t.blk = p.blk GROUP BY ALL),
-v AS (SELECT df.a, df.b, df.term, coalesce(x.tf, 0) * (ln(3.0 / (df + 1)) + 1) AS va, coalesce(y.tf, 0) * (ln(3.0 / (df + 1)) + 1) AS vb FROM df LEFT JOIN t x ON x.id = df.a AND x.term = df.term LEFT JOIN t y ON y.id = df.b AND y.term = df.term)
-SELECT a, b, round(sum(va * vb) / sqrt(sum(va * va) * sum(vb * vb)), 6) AS cosine FROM v GROUP BY a, b
-"""
-
-
-def structure(q) -> dict[str, str]:
-    f = P.features(q)
-    logs = lambda *xs: q.array(*(f"ln(1.0D + {x})" if q.name == "spark" else f"ln(1.0::DOUBLE + {x})" for x in xs))
-    double = lambda x: f"CAST({x} AS DOUBLE)"
-    vector = [f"ln(CAST(1 + {f['word_count']} AS DOUBLE))", f"ln(CAST(1 + {f['links']} AS DOUBLE))", *(double(f["tag_" + t]) for t in ("h1", "h2", "h3")),
-              double(f"least({f['forms']}, 10)"), double(f"least({f['buttons']}, 50)"), double(f"least({f['max_depth']}, 30)"), double(f"floor({f['max_depth']} / 2.0 + 0.5)"), f"ln(CAST(1 + {f['images']} AS DOUBLE))"]
-    return {
-        "tags": logs(*(f["tag_" + t] for t in V.TAGS)), "shape": q.array(*vector), "word_count": f["word_count"],
-        "block_set": f"{'array_distinct' if q.name == 'spark' else 'list_distinct'}({q.split(f['blocks'], ',')})",
-        "heading_set": f"{'array_distinct' if q.name == 'spark' else 'list_distinct'}({q.split(f['heading_texts'], r'[|]')})",
-    }
-
-
-def dom_pairs(spark, sf):
-    """Structural similarity of page pairs of a block: cosines of tags and shape, overlaps of blocks and headings."""
-    df = project(texts(spark, sf), structure(SPARK), ("page_id", "page_id % 50 AS blk"))
-    a, b = df.alias("a"), df.alias("b")
-    pairs = a.join(b, (F.col("a.blk") == F.col("b.blk")) & (F.col("a.page_id") < F.col("b.page_id")))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-    def cosine(c):
-        x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
-        norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-        return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
-
-    jaccard = lambda c: F.size(F.array_intersect(f"a.{c}", f"b.{c}")) / F.size(F.array_union(f"a.{c}", f"b.{c}"))
-    total = 0.4 * cosine("tags") + 0.3 * cosine("shape") + 0.2 * jaccard("block_set") + 0.1 * jaccard("heading_set")
-    return pairs.select(F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.floor(100 * F.round(total, 9) + 0.5).cast("int").alias("dom_score"), F.round(jaccard("heading_set"), 6).alias("headings"))
-
-
-def dom_pairs_sql() -> str:
-    cosine = lambda c: f"CASE WHEN list_dot_product(a.{c}, a.{c}) > 0 AND list_dot_product(b.{c}, b.{c}) > 0 THEN list_dot_product(a.{c}, b.{c}) / (sqrt(list_dot_product(a.{c}, a.{c})) * sqrt(list_dot_product(b.{c}, b.{c}))) ELSE 0.0 END"
-    jaccard = lambda c: f"(len(list_intersect(a.{c}, b.{c})) / CAST(len(list_distinct(list_concat(a.{c}, b.{c}))) AS DOUBLE))"
-    total = f"0.4::DOUBLE * {cosine('tags')} + 0.3::DOUBLE * {cosine('shape')} + 0.2::DOUBLE * {jaccard('block_set')} + 0.1::DOUBLE * {jaccard('heading_set')}"
-    return f"WITH f AS MATERIALIZED ({select(structure(DUCK), with_text(DUCK), ('page_id', 'page_id % 50 AS blk'))}) SELECT a.page_id AS a, b.page_id AS b, CAST(floor(100 * round({total}, 9) + 0.5) AS INTEGER) AS dom_score, round({jaccard('heading_set')}, 6) AS headings FROM f a JOIN f b ON a.blk = b.blk AND a.page_id < b.page_id"
-
-
-def embedding_cosine(spark, sf):
-    """Cosine of vector pairs of a block (label and id modulo 20)."""
-    df = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id", "concat(label, '/', vec_id % 20) AS blk", "transform(embedding, x -> CAST(x AS DOUBLE)) AS v")
-    df = df.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    a, b = df.alias("a"), df.alias("b")
-    dot = F.aggregate(F.zip_with("a.v", "b.v", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    out = a.join(b, (F.col("a.blk") == F.col("b.blk")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return out.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(dot / (F.col("a.norm") * F.col("b.norm")), 6).alias("cosine"))
-
-
-EMBEDDING_SQL = """
-WITH f AS (SELECT vec_id, concat(label, '/', vec_id % 20) AS blk, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine FROM f a JOIN f b ON a.blk = b.blk AND a.vec_id < b.vec_id
-"""
-
-
-def text_signature(spark, sf):
-    """Word count, distinct words, diversity, vowel and digit shares of a document."""
-    df = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "lower(text) AS s", f"{TOKENS} AS w")
-    return df.selectExpr("doc_id", "size(w) AS n_words", "size(array_distinct(w)) AS n_distinct", "round(size(array_distinct(w)) / greatest(size(w), 1), 6) AS diversity",
-                         "round(try_divide(regexp_count(s, '[aeiou]'), length(s)), 6) AS vowels", "round(try_divide(regexp_count(s, '[0-9]'), length(s)), 6) AS digits")
-
-
-SIGNATURE_SQL = r"""
-WITH w AS (SELECT doc_id, lower(text) AS s, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2) AS w FROM documents)
-SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct, round(len(list_distinct(w)) / CAST(greatest(len(w), 1) AS DOUBLE), 6) AS diversity,
- round(len(regexp_extract_all(s, '[aeiou]')) / CAST(nullif(length(s), 0) AS DOUBLE), 6) AS vowels, round(len(regexp_extract_all(s, '[0-9]')) / CAST(nullif(length(s), 0) AS DOUBLE), 6) AS digits FROM w
-"""
+    df = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", f"{price_texts()} AS c").selectExpr("*", f"{P.priced(SPARK, 'c')} AS k")
+    return project(df, P.price(SPARK, "c", "k"), ("p_partkey",))
 
 
 def text_queries(spark, sf):
@@ -344,23 +67,10 @@ def domain_rollup(spark, sf):
 def catalogue() -> dict:
     """name -> (query, SQL)."""
     return {
-        "page_features": page_query(P.features),
+        "page_features": (lambda spark, sf: project(project(texts(spark, sf, P.compared), P.features(SPARK)), P.flat_features(SPARK)), select(P.flat_features(DUCK), select(P.features(DUCK), with_text(DUCK, P.compared)))),
         "page_text_extract": (text_queries, f"SELECT page_id, t AS plain, {P.compared(DUCK)} AS compared FROM ({with_text(DUCK)})"),
         "url_normalize": (url_normalize, select(P.urls(DUCK), "SELECT * FROM pages")),
         "domain_rollup": (domain_rollup, f"SELECT host, count(*) AS pages, CAST(sum(n) AS BIGINT) AS words, CAST(max(size) AS BIGINT) AS longest FROM (SELECT {P.host(DUCK)} AS host, {P.words(DUCK, 't')} AS n, length(h) AS size FROM ({with_text(DUCK)})) GROUP BY host"),
-        "link_classing": (link_classing, link_classing_sql()),
         "page_signals": page_query(P.signals),
-        "signal_log": (signal_log, signal_log_sql()),
-        "risk_scores": (risk_scores, scored(DUCK, with_text(DUCK))),
-        "risk_reasons": (risk_reasons, risk_reasons_sql()),
-        "ai_likelihood": (ai_likelihood, ai_likelihood_sql()),
-        "contact_candidates": page_query(P.contacts),
-        "policy_candidates": (policy_candidates, policy_candidates_sql()),
-        "policy_summary": (policy_summary, policy_summary_sql()),
-        "sku_extract": (skus, skus_sql()),
-        "price_parse": (price_parse, select(P.price(DUCK, "c"), f"SELECT p_partkey, {price_texts()} AS c FROM part", ("p_partkey",))),
-        "tfidf_pair_similarity": (tfidf_pairs, TFIDF_SQL),
-        "dom_pair_similarity": (dom_pairs, dom_pairs_sql()),
-        "embedding_cosine": (embedding_cosine, EMBEDDING_SQL),
-        "text_signature": (text_signature, SIGNATURE_SQL),
+        "price_parse": (price_parse, select(P.price(DUCK, "c", "k"), f"SELECT *, {P.priced(DUCK, 'c')} AS k FROM (SELECT p_partkey, {price_texts()} AS c FROM part)", ("p_partkey",))),
     }

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
-from ..functions import robots
 from ..functions.dialect import DUCK, SPARK
 from ..operators import relational as R
 from ..sources import views
@@ -107,9 +106,9 @@ def text_search(spark, sf):
 
 
 def range_filters(spark, sf):
-    """Half-open range, list, null test and threshold in one filter, all pushed to the scan."""
-    df = views.view(spark, sf, views.LOGS).filter((F.col("status_code") >= 200) & (F.col("status_code") < 400) | F.col("status_code").isNull())
-    return df.filter(F.col("domain_id").isin(*range(1, 40))).select("log_id", "domain_id", "status_code")
+    """Half-open range, list, null test and threshold in one filter over stored columns, all pushed to the scan."""
+    df = t(spark, sf, "events").filter(F.col("user_id").isin(*range(1, 40)) & F.col("event_type").isNotNull() & ((F.col("value") >= 20) & (F.col("value") < 40) | F.col("value").isNull()))
+    return df.select("event_id", "user_id", "value")
 
 
 def pair_lookup(spark, sf):
@@ -121,11 +120,11 @@ def pair_lookup(spark, sf):
 
 
 def set_operations(spark, sf):
-    """Users by types of events: union, intersection and difference of two types, per day."""
-    e = t(spark, sf, "events").withColumn("day", F.date_trunc("day", "ts"))
-    df = e.groupBy("day").agg(F.collect_set(F.when(F.col("event_type") == "view", F.col("user_id"))).alias("a"), F.collect_set(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("b"))
-    size = lambda c: F.size(c).cast("int")
-    return df.select("day", size(F.array_union("a", "b")).alias("either"), size(F.array_intersect("a", "b")).alias("both"), size(F.array_except("a", "b")).alias("only_view"))
+    """Users by types of events: union, intersection and difference of two types, per day, from one row a user and day."""
+    e = t(spark, sf, "events").filter(F.col("event_type").isin("view", "purchase")).groupBy(F.date_trunc("day", "ts").alias("day"), "user_id")
+    df = e.agg(F.bool_or(F.col("event_type") == "view").alias("a"), F.bool_or(F.col("event_type") == "purchase").alias("b"))
+    size = lambda c: F.count_if(F.expr(c)).cast("int")
+    return df.groupBy("day").agg(size("a or b").alias("either"), size("a and b").alias("both"), size("a and not b").alias("only_view"))
 
 
 def json_pick(spark, sf):
@@ -167,97 +166,17 @@ def notes_split(spark, sf):
     return df.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"), F.count_if(F.col("role") != "user").alias("answered"), last.cast("long").alias("last_length"))
 
 
-ROBOTS = "concat('User-agent: bot\nDisallow: /x', page_id, '\nUser-agent: *\nDisallow: /', CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'private' ELSE 'en' END, '\nAllow: /en/', page_id % 7, '\nCrawl-delay: ', page_id % 5, '\nSitemap: https://', page_id % 4, '.example.org/sitemap.xml')"
-
-
-def robots_rules(spark, sf):
-    rule = robots.rules(F.col("content"))
-    path = F.expr(P.urls(SPARK)["path"])
-    df = t(spark, sf, "pages").withColumns({"content": F.expr(ROBOTS.replace("\n", "\\n")), "path": path}).withColumn("r", rule)
-    return df.select("page_id", F.array_join("r.allow", ",").alias("allow"), F.array_join("r.disallow", ",").alias("disallow"), F.array_join("r.sitemaps", ",").alias("sitemaps"),
-                     F.col("r.delay_ms").alias("delay_ms"), robots.allowed(F.col("path"), F.col("r")).alias("allowed"))
-
-
-def robots_sql() -> str:
-    # The fixture's only section for every agent holds one line of each kind, so plain patterns read it.
-    path = P.urls(DUCK)["path"]
-    content = ROBOTS
-    return f"""WITH c AS (SELECT page_id, {path} AS path, {content.replace(chr(10), "' || chr(10) || '")} AS content FROM pages),
- s AS (SELECT *, regexp_extract(content, 'User-agent: \\*\\nDisallow: (.*)\\n', 1) AS d, regexp_extract(content, 'Allow: (.*)\\n', 1) AS a FROM c)
- SELECT page_id, a AS allow, d AS disallow, regexp_extract(content, 'Sitemap: (.*)$', 1) AS sitemaps, CAST(regexp_extract(content, 'Crawl-delay: (.*)\\n', 1) AS INTEGER) * 1000 AS delay_ms,
- starts_with(path, a) OR NOT starts_with(path, d) AS allowed FROM s"""
-
-
-SITEMAP = "concat('<urlset><url><loc> ', url, ' </loc></url><url><loc>https://a.example.org/contact/', page_id, '</loc></url></urlset>')"
-
-
-def sitemap_parse(spark, sf):
-    df = t(spark, sf, "pages").select("page_id", robots.locations(F.expr(SITEMAP)).alias("x"))
-    return df.select("page_id", F.posexplode("x").alias("pos", "loc")).withColumn("contact", F.col("loc").rlike("(?i)/contact"))
-
-
-def frontier(spark, sf):
-    """Addresses to fetch of each host: contact, about and policy pages first, fifty at most."""
-    df = t(spark, sf, "pages").selectExpr("page_id", "url", f"{P.host(SPARK)} AS host")
-    df = df.groupBy("host", "url").agg(F.min("page_id").alias("pos"))
-    first = F.when(F.col("url").rlike("(?i)(contact|about|privacy|terms)"), 0).when(F.col("url").rlike("(?i)/en/"), 1).otherwise(2)
-    return R.top_per_parent(df.withColumn("class", first), "host", [F.asc("class"), F.asc("pos")], 50).select("host", "url", "class", "rank")
-
-
-
-
-def age_tiers(spark, sf):
-    """Registration dates in two formats, ages in days and their points."""
-    day = F.to_date("o_orderdate")
-    text = F.concat(F.lit("Registrar: R\nCreation Date: "), F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "dd.MM.yyyy")).otherwise("unknown"))
-    found = F.regexp_extract(text, r"(?i)(?:creation date|created on|registered on):\s*(\S+)", 1)
-    df = t(spark, sf, "orders").select("o_orderkey", F.coalesce(F.try_to_timestamp(found, F.lit("yyyy-MM-dd")), F.try_to_timestamp(found, F.lit("dd.MM.yyyy"))).alias("at"))
-    days = F.floor((F.unix_seconds(F.to_timestamp(F.lit("1999-01-01 00:00:00"))) - F.unix_seconds(F.col("at").cast("timestamp"))) / 86400).cast("int")
-    df = df.withColumn("days", days)
-    d = F.col("days")
-    points = F.when(d.isNull(), 0).when(d < 30, 30).when(d < 90, 18).when(d < 180, 12).when(d < 365, 8).when(d < 730, 5).otherwise(0)
-    return df.select("o_orderkey", "days", points.alias("points"), (F.round(d / 365.25, 1) + 0.0).alias("years"))
-
-
 def stream_latest(spark, sf):
-    return state.drained(spark, state.latest(state.source(spark, sf, "events")), "complete")
+    return state.merged(spark, state.latest(state.source(spark, sf, "events")), ["user_id", "event_type"])
 
 
 def stream_dedupe(spark, sf):
-    return state.drained(spark, state.first_requests(state.source(spark, sf, "events"), "400 days"), "append")
+    return state.appended(spark, state.first_requests(state.source(spark, sf, "events")))
 
 
 def stream_hourly(spark, sf):
-    return state.drained(spark, state.hourly(state.source(spark, sf, "events")), "complete")
-
-
-def compare_reasons(spark, sf):
-    """The structure's part of the overall similarity of page pairs (no text score), with reasons for structure and headings."""
-    from . import page_queries as Q
-
-    df = Q.dom_pairs(spark, sf)
-    level = lambda c, names: F.when(F.col(c) >= 70, names[0]).when(F.col(c) >= 50, names[1]).when(F.col(c) >= 30, names[2]).otherwise(names[3])
-    heading = F.when(F.col("headings") >= 0.5, "similar headings").when(F.col("headings") >= 0.2, "some shared headings").otherwise("different headings")
-    return df.select("a", "b", F.floor(0.35 * F.col("dom_score") + 0.5).cast("int").alias("overall"), level("dom_score", ["similar", "moderate", "some patterns", "different"]).alias("structure"), heading.alias("heading"))
-
-
-def compare_sql() -> str:
-    from . import page_queries as Q
-
-    return f"SELECT a, b, CAST(floor(0.35::DOUBLE * dom_score + 0.5::DOUBLE) AS INTEGER) AS overall, CASE WHEN dom_score >= 70 THEN 'similar' WHEN dom_score >= 50 THEN 'moderate' WHEN dom_score >= 30 THEN 'some patterns' ELSE 'different' END AS structure, CASE WHEN headings >= 0.5 THEN 'similar headings' WHEN headings >= 0.2 THEN 'some shared headings' ELSE 'different headings' END AS heading FROM ({Q.dom_pairs_sql()})"
-
-
-def sku_summary(spark, sf):
-    from . import page_queries as Q
-
-    has = lambda c: F.count_if(F.col(c).isNotNull() & (F.col(c).cast("string") != "")).alias(f"with_{c}")
-    return Q.skus(spark, sf).groupBy("page_id").agg(F.count("*").alias("n"), has("title"), has("amount"), F.round(F.avg("amount"), 4).alias("average"))
-
-
-def sku_summary_sql() -> str:
-    from . import page_queries as Q
-
-    return f"SELECT page_id, count(*) AS n, count(*) FILTER (WHERE title <> '') AS with_title, count(*) FILTER (WHERE amount IS NOT NULL) AS with_amount, round(avg(amount), 4) AS average FROM ({Q.skus_sql()}) GROUP BY page_id"
+    """Hours that the watermark has passed."""
+    return state.appended(spark, state.hourly(state.source(spark, sf, "events")))
 
 
 LATEST = "SELECT user_id, event_type, value, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"
@@ -281,22 +200,16 @@ def catalogue() -> dict:
         "mode_first_seen": (mode_first_seen, f"WITH c AS (SELECT order_id, currency, count(*) AS n, min(pos) AS f FROM {O} GROUP BY 1, 2) SELECT order_id, currency, n FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY n DESC, f, currency DESC) AS k FROM c) WHERE k = 1"),
         "discount_summary": (discount_summary, f"SELECT currency, count(*) AS n, round(avg(amount), 4) AS average, round(avg(CASE WHEN on_sale AND original > 0 THEN (original - amount) / original * 100 END), 4) AS discount, count(*) FILTER (WHERE on_sale) AS sales, CAST(floor(100.0::DOUBLE * count(*) FILTER (WHERE amount > 1000) / count(*) + 0.5) AS INTEGER) AS dear_percent FROM {O} GROUP BY 1"),
         "text_search_ci": (text_search, "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'an') OR contains(lower(p_type), 'an')"),
-        "range_filters": (range_filters, f"SELECT log_id, domain_id, status_code FROM {L} WHERE (status_code >= 200 AND status_code < 400 OR status_code IS NULL) AND domain_id BETWEEN 1 AND 39"),
+        "range_filters": (range_filters, "SELECT event_id, user_id, value FROM events WHERE user_id BETWEEN 1 AND 39 AND event_type IS NOT NULL AND (value >= 20 AND value < 40 OR value IS NULL)"),
         "pair_lookup": (pair_lookup, "SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"),
-        "set_operations": (set_operations, "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'purchase') AS p FROM events GROUP BY 1, 2) SELECT day, CAST(count(*) FILTER (WHERE v OR p) AS INTEGER) AS either, CAST(count(*) FILTER (WHERE v AND p) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE v AND NOT p) AS INTEGER) AS only_view FROM d GROUP BY 1"),
+        "set_operations": (set_operations, "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'purchase') AS p FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2) SELECT day, CAST(count(*) FILTER (WHERE v OR p) AS INTEGER) AS either, CAST(count(*) FILTER (WHERE v AND p) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE v AND NOT p) AS INTEGER) AS only_view FROM d GROUP BY 1"),
         "json_pick": (json_pick, "WITH j AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_type, CAST(sum(k) AS BIGINT) AS total, count(*) FILTER (WHERE k IS NULL) AS missing FROM j GROUP BY 1"),
         "nested_history": (nested_history, f"SELECT domain_id, string_agg(scan_id || ':' || status, ',' ORDER BY k) AS history FROM ({STARS}) WHERE k <= 3 GROUP BY 1"),
         "state_pivot": (state_pivot, "WITH p AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1) SELECT *, CASE WHEN error > 0 AND purchase > 0 THEN 'completed' WHEN error > 0 THEN 'failed' ELSE 'pending' END AS effective FROM p"),
         "cascade_delete": (cascade_delete, "WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) SELECT 'customer' AS name, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)"),
         "page_hash_dupes": (hash_dupes, "SELECT sha256(coalesce(text, '')) AS sha, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"),
         "notes_split": (notes_split, "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS asked, count(*) FILTER (WHERE role <> 'user') AS answered, arg_max(length(text), turn) FILTER (WHERE role = 'assistant') AS last_length FROM conversations GROUP BY 1"),
-        "robots_rules": (robots_rules, robots_sql()),
-        "sitemap_parse": (sitemap_parse, "WITH x AS (SELECT page_id, [trim(url), 'https://a.example.org/contact/' || page_id] AS l FROM pages) SELECT page_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS loc, regexp_matches(l[i + 1], '(?i)/contact') AS contact FROM x, (VALUES (0), (1)) v(i)"),
-        "crawl_frontier": (frontier, f"WITH u AS (SELECT {P.host(DUCK)} AS host, url, min(page_id) AS pos FROM pages GROUP BY 1, 2), c AS (SELECT *, CASE WHEN regexp_matches(url, '(?i)(contact|about|privacy|terms)') THEN 0 WHEN regexp_matches(url, '(?i)/en/') THEN 1 ELSE 2 END AS class FROM u), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY host ORDER BY class, pos) AS INTEGER) AS rank FROM c) SELECT host, url, class, rank FROM r WHERE rank <= 50"),
-        "domain_age_tiers": (age_tiers, "WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS INTEGER) END AS days FROM orders) SELECT o_orderkey, days, CASE WHEN days IS NULL THEN 0 WHEN days < 30 THEN 30 WHEN days < 90 THEN 18 WHEN days < 180 THEN 12 WHEN days < 365 THEN 8 WHEN days < 730 THEN 5 ELSE 0 END AS points, round(days / 365.25::DOUBLE, 1) + 0.0::DOUBLE AS years FROM a"),
-        "compare_reasons": (compare_reasons, compare_sql()),
-        "sku_summary": (sku_summary, sku_summary_sql()),
         "stream_latest": (stream_latest, LATEST),
         "stream_dedupe": (stream_dedupe, "SELECT DISTINCT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events"),
-        "stream_hourly": (stream_hourly, "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+        "stream_hourly": (stream_hourly, "SELECT * FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS"),
     }

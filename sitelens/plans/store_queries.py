@@ -122,31 +122,6 @@ def effective_status(spark, sf):
     return last.join(data, "domain_id", "left").select("domain_id", "scan_id", status.alias("status"))
 
 
-def compare_confidence(spark, sf):
-    """The confidence of comparing each page with the next, from both artifacts' failures, words and text."""
-    reason = F.expr("CASE page_id % 9 WHEN 3 THEN 'robots' WHEN 5 THEN 'challenge' WHEN 7 THEN 'non_html' WHEN 8 THEN 'timeout' END")
-    sides = Q.project(Q.texts(spark, sf), {"words": P.words(SPARK, "t")}).withColumn("reason", reason)
-    a, b = (sides.select(*(F.col(c).alias(f"{x}_{c}") for c in sides.columns)) for x in "ab")
-    pairs = a.join(b, F.col("b_page_id") == F.col("a_page_id") + 1)
-    return pairs.select("a_page_id", "b_page_id", F.expr(confidence()).cast("int").alias("confidence"))
-
-
-def confidence() -> str:
-    p = V.COMPARISON
-    either = lambda r: f"coalesce(a_reason = '{r}', false) OR coalesce(b_reason = '{r}', false)"
-    cases = " ".join(f"WHEN {either(r)} THEN {p[r]}" for r in ("robots", "challenge", "non_html"))
-    failed = f"CASE {cases} WHEN a_reason IS NOT NULL OR b_reason IS NOT NULL THEN {p['other']} ELSE 0 END"
-    few, none = (f"CASE WHEN least(a_words, b_words) < {n} THEN {points} ELSE 0 END" for n, points in ((V.FEW_WORDS, p["few_words"]), (1, p["no_text"])))
-    return f"greatest(0, least({p['highest']}, {p['start']} - {failed} - {few} - {none}))"
-
-
-def compare_confidence_sql() -> str:
-    reason = "CASE page_id % 9 WHEN 3 THEN 'robots' WHEN 5 THEN 'challenge' WHEN 7 THEN 'non_html' WHEN 8 THEN 'timeout' END"
-    side = f"SELECT page_id, {P.words(DUCK, 't')} AS words, {reason} AS reason FROM ({Q.with_text(DUCK)})"
-    both = "SELECT a.page_id AS a_page_id, b.page_id AS b_page_id, a.words AS a_words, b.words AS b_words, a.reason AS a_reason, b.reason AS b_reason FROM s a JOIN s b ON b.page_id = a.page_id + 1"
-    return f"WITH s AS MATERIALIZED ({side}) SELECT a_page_id, b_page_id, CAST({confidence()} AS INTEGER) AS confidence FROM ({both})"
-
-
 def domain_search(spark, sf):
     """The five domains found that were scanned last, with their number of scans."""
     s = scans(spark, sf).groupBy("domain_id").agg(F.count("*").alias("scans"), F.max("created_at").alias("last"))
@@ -174,7 +149,6 @@ def catalogue() -> dict:
         "replace_by_key": (replaced, f"SELECT order_id, pos, currency FROM {O} x WHERE currency = 'EUR' OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = x.order_id AND l_returnflag = 'N')"),
         "review_flag": (review_flag, "SELECT conv_id, flag, CASE WHEN flag THEN text END AS note, CASE WHEN flag THEN turn END AS at FROM (SELECT *, coalesce(length(text) % 2 = 0, false) AS flag, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k FROM conversations WHERE role = 'user') WHERE k = 1"),
         "effective_status": (effective_status, f"SELECT domain_id, scan_id, CASE WHEN status = 'failed' AND domain_id IN (SELECT user_id FROM events WHERE event_type IN ('purchase', 'signup')) THEN 'completed' ELSE status END AS status FROM ({STARS}) WHERE k = 1"),
-        "compare_confidence": (compare_confidence, compare_confidence_sql()),
         "domain_search": (domain_search, f"SELECT c_custkey AS domain_id, c_name AS name, count(*) AS scans, max(created_at) AS last FROM customer JOIN {S} ON domain_id = c_custkey WHERE contains(c_name, '00') GROUP BY 1, 2 ORDER BY last DESC, domain_id DESC LIMIT 5"),
         "json_response": (json_response, "SELECT n_nationkey, CAST(to_json({'id': n_nationkey, 'name': n_name, 'region': {'id': n_regionkey}}) AS VARCHAR) AS body FROM nation"),
     }
