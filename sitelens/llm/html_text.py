@@ -49,6 +49,9 @@ WORDS = frozenset(
 )
 #: Those of them that name no subject of an article: a part with such a token is taken out wherever it stands.
 NEVER = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsored comments commentlist disqus replies cookie cookies consent gdpr navbar breadcrumb breadcrumbs pagination pager newsletter contentinfo".split())
+#: Words that make such a token together with them, as in `comment-list`, and those that need another.
+PARTS = frozenset("list area section container banner box bar slot block unit links items notice popup form buttons".split())
+CLEAR = NEVER | frozenset("comment reply respond subscribe signup promo".split())
 CONTAINERS = frozenset(("article", "main"))
 #: An open element of the key ends where one of the elements begins.
 CLOSED_BY = {
@@ -100,7 +103,7 @@ def unwanted(tag: str, attributes: str) -> int:
         if name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _CAMEL.findall(token)]
-                if token.lower() in NEVER:
+                if token.lower() in NEVER or len(words) > 1 and CLEAR.issuperset(w for w in words if w not in PARTS) and not PARTS.issuperset(words):
                     return SURE
                 if token.lower() in WORDS:
                     found = TOKEN

@@ -36,6 +36,8 @@ def test_markup(page, text):
     # Subjects that sound like page parts stay, reader comments and adverts go.
     (f'<article><div class="social history"><p>{LONG}</p></div><section class="search-results-analysis"><p>{MORE}</p></section></article>', f"{LONG}\n\n{MORE}"),
     (f"<article><p>{LONG}</p><div class=comments><p>{MORE}</p><p>{MORE}</p></div><div class='ad'><p>{MORE}</p></div></article>", LONG),
+    *((f'<div><div><p>{LONG}</p><p>{MORE}</p></div><div class="{c}"><p>{MORE} c</p><p>{MORE} d</p></div></div>', f"{LONG}\n\n{MORE}") for c in ("comment-list", "x comments-area", "cookie-banner", "newsletter-signup", "adContainer")),
+    *((f'<div><div><p>{LONG}</p></div><div class="{c}"><p>{MORE}</p></div></div>', f"{LONG}\n\n{MORE}") for c in ("comments-on-policy", "list-section", "content-area", "box notice-text")),
 ])
 def test_density_finds_the_article(page, text):
     assert html_text.extract(page) == text
