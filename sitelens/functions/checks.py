@@ -34,6 +34,8 @@ def page(q) -> dict[str, str]:
         "contact_page": f"(NOT {any_of(q, 'h', V.MISSING_PAGE)} AND {n_of(q, 'h', V.CONTACT_MARKS)} >= 3)",
         "challenge": challenge(q),
         "challenge_mark": f"({marks} OR (contains(h, 'Enable JavaScript') AND length(h) < 10000))",
+        "challenge_policy": any_of(q, "h", V.POLICY_CHALLENGES),
+        "challenge_browser": "(" + " OR ".join(f"contains(h, '{m}')" for m in V.WAITING_MARKS) + " OR (contains(h, 'Cloudflare') AND contains(h, 'Ray ID')))",
         "parked": any_of(q, "title", V.PARKED),
         "shop_title": "(" + " OR ".join(f"contains(lower(title), '{w}')" for w in V.SHOP_WORDS) + ")",
         "truncated": "(length(h) >= 20380)",

@@ -171,6 +171,6 @@ def urls(q, u: str = "url") -> dict[str, str]:
     domain = q.first(clean, r"^[^/?#]+", 0)
     return {
         "clean_url": clean, "domain": domain, "domain_id": f"substr({q.sha256(domain)}, 1, 16)", "host": host(q, u),
-        "tld": q.first(domain, r"([^.]*)$"), "path": q.first(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"),
+        "site": f"coalesce(nullif({q.sub(host(q, u), r'^www[.]', '')}, ''), {domain})", "tld": q.first(domain, r"([^.]*)$"), "path": q.first(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"),
         "normalized": f"CASE WHEN {q.has(f'trim({u})', '^[a-zA-Z][a-zA-Z0-9+.-]*:')} THEN trim({u}) ELSE concat('https://', trim({u})) END",
     }

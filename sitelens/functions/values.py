@@ -144,6 +144,7 @@ CONFIDENCE = {"base": 70, "robots_sitemap_checked": 10, "policy_pages_checked":
 CHALLENGE_TITLES = ["attention required", "cloudflare", "just a moment", "please wait", "checking your browser", "ddos protection", "access denied", "security check"]
 CHALLENGE_BODIES = ["verify you are human", "checking your browser", "ray id", "please enable javascript", "enable cookies", "complete the security check", "prove you are not a robot", "captcha"]
 CHALLENGE_MARKS = ["Just a moment...", "_cf_chl_opt", "challenge-platform"]
+WAITING_MARKS = ["Just a moment", "Checking your browser", "cf-browser-verification", "challenge-platform", "_cf_chl_opt", "Attention Required"]
 
 # Marks of pages that scripts draw, and of content behind a click.
 SCRIPTED = [r"__NEXT_DATA__|_next\/static|react-root", r"__VUE_|vue-app|nuxt", "ng-app|angular|ng-version", "data-reactroot|data-v-|ng-binding", 'lazy-load|data-src|loading="lazy"', 'aria-expanded="false"|data-toggle="collapse"|accordion']

@@ -26,12 +26,8 @@ def latest(spark: SparkSession, path: str, keys: list[str], at: str, unique: str
     return R.latest_per_key(spark.read.parquet(path), keys, at, unique)
 
 
-def replace_run(rows: DataFrame, path: str, key: str, keep_if_empty: bool = True) -> None:
-    """Replaces the rows of every run that rows has; a run without rows keeps its old ones, unless it is to be emptied.
-
-    An empty run is one that stands in rows with the key alone."""
-    if not keep_if_empty:
-        raise ValueError("an empty run cannot be told from one that is not there")
+def replace_run(rows: DataFrame, path: str, key: str) -> None:
+    """Replaces the rows of every run that rows has; a run without rows keeps its old ones."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 

@@ -246,9 +246,9 @@ def history_page(spark, sf):
     df = df.filter("score >= 40").join(names, F.col("o_custkey") == F.col("c_custkey"))
     found = R.search(df, ["c_name", "other"], "hi")
     size, page = 20, 2
-    total = found.agg(F.count("*").alias("total")).select("total", F.ceil(F.col("total") / size).cast("long").alias("pages"))
+    total = found.agg(F.count("*").alias("total"))
     rows = R.offset_page(found.select("id", "score"), [F.desc("score"), F.desc("id")], page, size)
-    return rows.join(F.broadcast(total))
+    return rows.withColumn("total", total.scalar()).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
 
 
 HISTORY_SQL = "WITH f AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) % 101 AS INTEGER) AS score FROM orders JOIN customer ON o_custkey = c_custkey WHERE floor(o_totalprice) % 101 >= 40 AND (contains(lower(c_name), 'hi') OR contains(lower(o_orderpriority), 'hi'))) SELECT id, score, (SELECT count(*) FROM f) AS total, CAST(ceil((SELECT count(*) FROM f) / 20.0) AS BIGINT) AS pages FROM f ORDER BY score DESC, id DESC LIMIT 20 OFFSET 20"
@@ -259,9 +259,9 @@ def offer_page(spark, sf):
     o = views.view(spark, sf, views.OFFERS).select(F.concat_ws("-", F.col("order_id").cast("string"), F.col("pos").cast("string")).alias("id"), "title", F.when(F.col("pos") != 3, F.round("amount", 4)).alias("amount"), F.lit(None).cast("int").alias("confidence"), F.lit(0).alias("created"))
     found = R.search(o, ["title"], "an")
     rows = R.offset_page(found.select("id", "title", "amount", "confidence", "created"), sort_order("amount"), 1, 50).select("id", "amount")
-    whole = o.agg(F.count_if(F.col("amount").isNotNull()).alias("with_price")).join(F.broadcast(found.agg(F.count("*").alias("total"), F.round(F.avg("amount"), 4).alias("average"))))
-    percent = F.when(F.col("total") > 0, F.floor(100 * F.col("with_price") / F.col("total") + 0.5)).otherwise(0).cast("long")
-    return rows.join(F.broadcast(whole.select("total", "with_price", "average", percent.alias("percent"))))
+    one = lambda df, c: df.agg(c).scalar()
+    out = rows.withColumns({"total": one(found, F.count("*")), "with_price": one(o, F.count_if(F.col("amount").isNotNull())), "average": one(found, F.round(F.avg("amount"), 4))})
+    return out.withColumn("percent", F.when(F.col("total") > 0, F.floor(100 * F.col("with_price") / F.col("total") + 0.5)).otherwise(0).cast("long"))
 
 
 OFFER_SQL = f"WITH o AS (SELECT concat_ws('-', order_id, pos) AS id, title, CASE WHEN pos <> 3 THEN round(amount, 4) END AS amount FROM ({views.OFFERS})), f AS (SELECT * FROM o WHERE contains(lower(title), 'an')), s AS (SELECT count(*) AS total, round(avg(amount), 4) AS average, (SELECT count(amount) FROM o) AS with_price FROM f) SELECT id, amount, total, with_price, average, CAST(CASE WHEN total > 0 THEN floor(100.0::DOUBLE * with_price / total + 0.5) ELSE 0 END AS BIGINT) AS percent FROM (SELECT id, amount FROM f ORDER BY amount DESC NULLS FIRST, id LIMIT 50), s"
@@ -530,6 +530,19 @@ def stored_runs(spark, sf):
 STORED_SQL = f"SELECT 'log' AS name, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events UNION ALL SELECT 'latest', count(*), CAST(sum(event_id) AS BIGINT) FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 UNION ALL SELECT 'offers', count(*), CAST(sum(order_id) AS BIGINT) FROM ({views.OFFERS}) WHERE (order_id % 8 < 3) = (currency = 'EUR')"
 
 
+def comparison_readback(spark, sf):
+    """Comparisons as they are stored, with reasons and numbers as JSON, and read back; the readable reasons come first to last."""
+    df = compare_queries.compare_full(spark, sf)
+    stored = df.select("a", "b", "overall", F.to_json(F.array(*(f"reason_{k}" for k in range(1, 6)))).alias("reasons"), F.to_json(F.struct("text_score", "dom_score", "confidence")).alias("scores"))
+    read = stored.withColumns({"reasons": F.from_json("reasons", "array<string>"), "scores": F.from_json("scores", "text_score int, dom_score int, confidence int")})
+    return read.select("a", "b", "overall", "scores.text_score", "scores.dom_score", "scores.confidence", F.size("reasons").alias("n"), F.array_join("reasons", "|").alias("reasons"))
+
+
+def comparison_readback_sql() -> str:
+    reasons = ", ".join(f"{e} AS {c}" for c, e in compare_queries.reasons().items())
+    return f"{compare_queries.compared_sql()} SELECT a, b, overall, text_score, dom_score, confidence, 5 AS n, concat_ws('|', reason_1, reason_2, reason_3, reason_4, reason_5) AS reasons FROM (SELECT *, {reasons} FROM m)"
+
+
 def signature_store(spark, sf):
     """The signature of each document: the stored one where there is one, else a new one; here every stored one has 55 numbers."""
     new = compare_queries.text_signature(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by("value", F.struct(F.col("place") == 0)).alias("words"))
@@ -591,6 +604,7 @@ def catalogue() -> dict:
         "fenced_json": (fenced_json, FENCED_SQL),
         "data_points": (data_points, data_points_sql()),
         "stored_runs": (stored_runs, STORED_SQL),
+        "comparison_readback": (comparison_readback, comparison_readback_sql()),
         "signature_store": (signature_store, SIGNATURE_STORE_SQL),
         "stream_status": (stream_status, STATUS_SQL),
         "stream_stale": (stream_stale, STALE_SQL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +153,9 @@ def cascade_delete(spark, sf):
     kept = R.cascade_delete({"customer": (c, "c_custkey"), "orders": (o, "o_custkey")}, gone, "c_custkey")
     lines = t(spark, sf, "lineitem").join(kept["orders"].select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     one = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
-    return one(kept["customer"], "customer").unionAll(one(kept["orders"], "orders")).unionAll(one(lines, "lineitem"))
+    own = R.cascade_delete({"events": (t(spark, sf, "events"), "user_id"), "conversations": (t(spark, sf, "conversations"), "conv_id")}, gone, "c_custkey")
+    tables = {**kept, "lineitem": lines, **own}
+    return reduce(DataFrame.unionAll, (one(df, name) for name, df in tables.items()))
 
 
 def hash_dupes(spark, sf):
@@ -206,7 +210,7 @@ def catalogue() -> dict:
         "json_pick": (json_pick, "WITH j AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_type, CAST(sum(k) AS BIGINT) AS total, count(*) FILTER (WHERE k IS NULL) AS missing FROM j GROUP BY 1"),
         "nested_history": (nested_history, f"SELECT domain_id, string_agg(scan_id || ':' || status, ',' ORDER BY k) AS history FROM ({STARS}) WHERE k <= 3 GROUP BY 1"),
         "state_pivot": (state_pivot, "WITH p AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1) SELECT *, CASE WHEN error > 0 AND purchase > 0 THEN 'completed' WHEN error > 0 THEN 'failed' ELSE 'pending' END AS effective FROM p"),
-        "cascade_delete": (cascade_delete, "WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) SELECT 'customer' AS name, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)"),
+        "cascade_delete": (cascade_delete, "WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) SELECT 'customer' AS name, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'events', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE conv_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
         "page_hash_dupes": (hash_dupes, "SELECT sha256(coalesce(text, '')) AS sha, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"),
         "notes_split": (notes_split, "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS asked, count(*) FILTER (WHERE role <> 'user') AS answered, arg_max(length(text), turn) FILTER (WHERE role = 'assistant') AS last_length FROM conversations GROUP BY 1"),
         "stream_latest": (stream_latest, LATEST),

@@ -9,12 +9,10 @@ from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
 from ..operators import relational as R
-from ..sources import views
+from ..sources import ingest, views
 from . import page_queries as Q
 from .relational_queries import STARS, L, O, S, scans, t
 
-# A page's headers as text, a line each; names in any case.
-HEADERS = "concat('Server: web', page_id % 3, chr(10), CASE page_id % 4 WHEN 0 THEN concat('Strict-Transport-Security: max-age=1', chr(10), 'X-Frame-Options: DENY') WHEN 1 THEN 'content-security-policy: default-src' WHEN 2 THEN concat('X-Content-Type-Options: nosniff', chr(10), 'REFERRER-POLICY: origin') ELSE 'X-Powered-By: engine' END)"
 TITLE = r"(?i)<title[^>]*>([^<]*)</title>"
 
 
@@ -37,9 +35,9 @@ def site_links(spark, sf):
 
 def security_headers(spark, sf):
     """Which security headers a page has, how many of them are missing, and its server."""
-    lines = F.split(F.expr(HEADERS), "\n")
+    lines = F.filter(F.split("headers", "\n"), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.regexp_replace(x, "^[^:]*:", ""))))
-    df = t(spark, sf, "pages").select("page_id", F.map_from_entries(pairs).alias("m"))
+    df = ingest.read(spark, sf, "fetches").select("page_id", F.map_from_entries(pairs).alias("m"))
     has = {k: F.map_contains_key("m", name) for k, name in V.SECURITY_HEADERS.items()}
     missing = sum(((~c).cast("int") for c in has.values()), F.lit(0))
     return df.select("page_id", *(c.alias(k) for k, c in has.items()), missing.alias("missing"), F.try_element_at("m", F.lit("server")).alias("server"), F.try_element_at("m", F.lit("x-powered-by")).alias("powered_by"))
@@ -49,7 +47,7 @@ def security_headers_sql() -> str:
     has = {k: f"list_contains(names, '{name}')" for k, name in V.SECURITY_HEADERS.items()}
     value = lambda name: f"(list_filter(ls, lambda x: starts_with(lower(x), '{name}:')))[1]"
     missing = " + ".join(f"CAST(NOT {c} AS INTEGER)" for c in has.values())
-    inner = f"SELECT page_id, ls, list_transform(ls, lambda x: lower(trim(split_part(x, ':', 1)))) AS names FROM (SELECT page_id, string_split({HEADERS}, chr(10)) AS ls FROM pages)"
+    inner = f"SELECT page_id, ls, list_transform(ls, lambda x: lower(trim(split_part(x, ':', 1)))) AS names FROM (SELECT page_id, string_split(headers, chr(10)) AS ls FROM ({ingest.sql('fetches', 'duck')}))"
     return f"SELECT page_id, {', '.join(f'{c} AS {k}' for k, c in has.items())}, {missing} AS missing, trim(split_part({value('server')}, ':', 2)) AS server, trim(split_part({value('x-powered-by')}, ':', 2)) AS powered_by FROM ({inner})"
 
 

@@ -49,6 +49,11 @@ def merged(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_number").alias("x")).select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest)).select(*stream.columns)
 
 
+def polled(stream: DataFrame, put, at: str, every: str = "3 seconds"):
+    """A running query that looks for new rows at an interval and hands each batch of changed ones to put(batch, number)."""
+    return stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(put).trigger(processingTime=every).start()
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The latest value of each user and type, by time and then id: state of one row a key."""
     best = F.max_by(F.struct("value", "ts", "event_id"), F.struct("ts", "event_id")).alias("x")
