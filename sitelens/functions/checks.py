@@ -56,7 +56,7 @@ def in_scope(host: str, of: str) -> str:
 
 def links(q) -> dict[str, str]:
     """How many links of a page are in its host's scope, with and without www., and lead to products."""
-    hrefs = q.all("h", r"""(?i)<a\s+[^>]*href\s*=\s*["']([^"']*)["']""")
+    hrefs = q.all("h", V.LINK_HREF)
     bare = lambda x: q.sub(x, r"^www\.", "")
     of = lambda x: f"coalesce(nullif({P.host(q, x)}, ''), {P.host(q)})"
     product = f"(NOT {any_of(q, path(q, 'x'), V.NEVER_PRODUCT)} AND {any_of(q, path(q, 'x'), V.PRODUCT_PATHS)})"
@@ -82,7 +82,7 @@ def resolved(q, href: str, base: str = "url") -> str:
 
 def site_links(q) -> dict[str, str]:
     """The distinct pages of a page's own host that it links to, without a slash at the end."""
-    hrefs = q.all("h", r"""(?i)<a\s+[^>]*href\s*=\s*["']([^"']*)["']""")
+    hrefs = q.all("h", V.LINK_HREF)
     own = q.keep(q.each(hrefs, "x", resolved(q, "x")), "y", f"y IS NOT NULL AND {P.host(q, 'y')} = {P.host(q)}")
     found = q.sorted_distinct(q.each(own, "z", q.sub("z", "/$", "")))
     return {"site_links": q.joined(found, " "), "n_site_links": q.size(found)}

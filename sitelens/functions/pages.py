@@ -79,7 +79,7 @@ def heading_list(q) -> str:
 def block_list(q) -> str:
     """The first block elements of the body, by name."""
     body = f"CASE WHEN {q.has('h', '(?is)<body[^>]*>.*</body>')} THEN {q.first('h', '(?is)<body[^>]*>(.*)</body>')} ELSE h END"
-    return q.slice(q.each(q.all(body, r"(?i)<(header|main|section|article|aside|footer|nav|div)[^>]*>"), "x", "lower(x)"), BLOCKS)
+    return q.slice(q.each(q.all(body, V.BLOCK_TAGS), "x", "lower(x)"), BLOCKS)
 
 
 def features(q) -> dict[str, str]:
@@ -94,12 +94,12 @@ def features(q) -> dict[str, str]:
         "text_sha256": q.sha256("t"),
         **{f"h{k}": count(rf"(?i)<h{k}[^>]*>[^<]*</h{k}>") for k in (1, 2, 3)},
         "headings": heading_list(q),
-        "links": count(r"""(?i)<a\s+[^>]*href\s*=\s*["'][^"']*["'][^>]*>"""),
+        "links": count(V.COMPARED_LINK),
         "forms": count("(?i)<form"),
         "buttons": count("(?i)<button"),
         "inputs": count("(?i)<input"),
         "images": count("(?i)<img"),
-        "passwords": count(r"""(?i)<input[^>]*type\s*=\s*["']password["']"""),
+        "passwords": count(V.COMPARED_PASSWORD),
         "max_depth": depth,
         "avg_depth": f"CAST(floor({depth} / CAST(2 AS DOUBLE) + 0.5) AS INTEGER)",
         "generator": f"nullif({q.first('h', V.GENERATOR)}, '')",
@@ -115,22 +115,22 @@ def flat_features(q) -> dict[str, str]:
 def signals(q) -> dict[str, str]:
     """Redirects, forms, third parties, content and policy links; flags as booleans."""
     has, count = (lambda p, c="h": q.has(c, p)), (lambda p, c="h": f"CAST({q.count(c, p)} AS INTEGER)")
-    actions = q.all("h", r"""(?i)<form[^>]+action\s*=\s*["']?([^"'\s>]+)""")
-    sources = q.all("h", r"""(?i)<script[^>]+src\s*=\s*["']([^"']+)["']""")
+    actions = q.all("h", V.FORM_ACTION)
+    sources = q.all("h", V.SCRIPT_SOURCE)
     outside = lambda xs: q.keep(q.each(xs, "x", host(q, "x")), "y", f"y <> '' AND y <> {host(q)}")
-    inline = q.all("h", r"(?i)<script[^>]*>([^<]*)</script>")
+    inline = q.all("h", V.INLINE_SCRIPT)
     return {
         "host": host(q),
         "https": q.has("url", "(?i)^https://"),
-        "meta_refresh": has(r"""(?i)<meta[^>]+http-equiv\s*=\s*["']?refresh"""),
-        "js_redirect": q.has("substr(h, 1, 50000)", V.JS_REDIRECT),
-        "passwords": count(r"""(?i)<input[^>]+type\s*=\s*["']?password"""),
-        "emails": count(r"""(?i)<input[^>]+type\s*=\s*["']?email"""),
-        "login_form": "(" + has(r"""(?i)<input[^>]+type\s*=\s*["']?password""") + " AND (" + has(r"""(?i)<input[^>]+type\s*=\s*["']?submit""") + " OR " + has(r"(?i)<button[^>]*>") + "))",
+        "meta_refresh": has(V.META_REFRESH),
+        "js_redirect": q.has(f"substr(h, 1, {V.REDIRECT_WINDOW})", V.JS_REDIRECT),
+        "passwords": count(V.PASSWORD_INPUT),
+        "emails": count(V.EMAIL_INPUT),
+        "login_form": "(" + has(V.PASSWORD_INPUT) + " AND (" + has(V.SUBMIT_INPUT) + " OR " + has(r"(?i)<button[^>]*>") + "))",
         "external_actions": q.distinct_size(outside(actions)),
         "script_hosts": f"least({q.distinct_size(outside(sources))}, 20)",
-        "obfuscated": f"{q.size(q.keep(inline, 'x', 'length(x) > 10000'))} > 0",
-        "evaluates": has(r"\b(?:eval|atob)\s*\("),
+        "obfuscated": f"{q.size(q.keep(inline, 'x', f'length(x) > {V.LONG_SCRIPT}'))} > 0",
+        "evaluates": has(V.EVALUATES),
         "urgency": count(V.URGENCY, "t"),
         "discount": count(V.DISCOUNT, "t"),
         "payment": has(V.PAYMENT, "t"),

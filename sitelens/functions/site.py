@@ -33,8 +33,8 @@ def page(q) -> dict[str, str]:
     """What the home page shows: forms, scripts, content. Null html is no page."""
     s = P.signals(q)
     outside = lambda xs: q.keep(q.each(xs, "x", P.host(q, "x")), "y", f"y <> '' AND y <> {P.host(q)}")
-    actions = q.all("h", r"""(?i)<form[^>]+action\s*=\s*["']?([^"'\s>]+)""")
-    sources = q.all("h", r"""(?i)<script[^>]+src\s*=\s*["']([^"']+)["']""")
+    actions = q.all("h", V.FORM_ACTION)
+    sources = q.all("h", V.SCRIPT_SOURCE)
     return {
         "url": "url",
         "input_host": P.host(q),

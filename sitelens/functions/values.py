@@ -6,6 +6,22 @@ TAGS = ["div", "span", "p", "a", "img", "ul", "ol", "li", "h1", "h2", "h3", "h4"
 # The tag that names a page's generator.
 GENERATOR = r"""(?i)<meta[^>]*name\s*=\s*["']generator["'][^>]*content\s*=\s*["']([^"']*)["']"""
 
+# What signals and features look for in markup.
+META_REFRESH = r"""(?i)<meta[^>]+http-equiv\s*=\s*["']?refresh"""
+PASSWORD_INPUT = r"""(?i)<input[^>]+type\s*=\s*["']?password"""
+EMAIL_INPUT = r"""(?i)<input[^>]+type\s*=\s*["']?email"""
+SUBMIT_INPUT = r"""(?i)<input[^>]+type\s*=\s*["']?submit"""
+FORM_ACTION = r"""(?i)<form[^>]+action\s*=\s*["']?([^"'\s>]+)"""
+SCRIPT_SOURCE = r"""(?i)<script[^>]+src\s*=\s*["']([^"']+)["']"""
+INLINE_SCRIPT = r"(?i)<script[^>]*>([^<]*)</script>"
+EVALUATES = r"\b(?:eval|atob)\s*\("
+LINK_HREF = r"""(?i)<a\s+[^>]*href\s*=\s*["']([^"']*)["']"""
+COMPARED_LINK = r"""(?i)<a\s+[^>]*href\s*=\s*["'][^"']*["'][^>]*>"""
+COMPARED_PASSWORD = r"""(?i)<input[^>]*type\s*=\s*["']password["']"""
+BLOCK_TAGS = r"(?i)<(header|main|section|article|aside|footer|nav|div)[^>]*>"
+#: Characters of a page in which script redirects are looked for, and of an inline script that is too long.
+REDIRECT_WINDOW, LONG_SCRIPT = 50_000, 10_000
+
 # Words of urgency, discounts, payment and impersonation.
 URGENCY = r"(?i)\b(urgent|act now|limited time|hurry|expires|last chance|don't miss|only \d+ left|ending soon|order now|buy now|limited offer)\b"
 DISCOUNT = r"(?i)\b(\d{2,3}%\s*off|free shipping|clearance|sale|save \d{2,3}%|was \$\d+.*now \$\d+|reduced|markdown|blowout)\b"

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
-from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
 from ..sources import views
 

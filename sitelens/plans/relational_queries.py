@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import pages as P
-from ..functions.dialect import DUCK, SPARK
 from ..operators import relational as R
 from ..sources import views
 from ..streaming import state

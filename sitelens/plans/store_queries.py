@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
-from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
 from ..operators import relational as R
