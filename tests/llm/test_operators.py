@@ -220,7 +220,7 @@ def test_language_model_keeps_every_context(spark, monkeypatch):
     held = [k % 5 == 0 for k in range(len(texts))]
     df = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, held boolean")
     got = {r.doc_id: r.score for r in lm_score.scored(spark, df, F.col("held")).collect()}
-    of = lambda ws: np.concatenate([lm_score.codes(ws)[0] if ws else [], [lm_score.END_CODE]]).astype(np.uint64)
+    of = lambda ws: np.concatenate([lm_score.codes(ws)[0] if ws else np.zeros(0, np.uint64), np.array([lm_score.END_CODE], np.uint64)])
     c, n = np.unique(np.concatenate([of(lm_score.tokens(t)) for t, h in zip(texts, held) if not h]), return_counts=True)
     model = lm_score.Model(c, n, np.zeros(0), np.zeros(0))
     for k, t in enumerate(texts):
