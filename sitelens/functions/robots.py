@@ -46,7 +46,7 @@ def rules(content: Column, reader: Reader = LAYERED) -> Column:
         ours = (agent == "*") | (agent.contains(reader.agent) if reader.agent else F.lit(False))
         path = F.lower(value) if reader.fold else value
         rule = a["on"] & line.contains(":") & (F.lit(reader.empty) | (value != ""))
-        delay = F.expr("cast(null as double)") if not number else F.nullif(F.regexp_extract(value, number, 1), F.lit("")).cast("double")
+        delay = F.nullif(F.regexp_extract(value, number, 1), F.lit("")).cast("double")
         return F.struct(
             F.when(name == "user-agent", ours).otherwise(a["on"]).alias("on"),
             F.when(rule & (name == "allow"), F.array_append(a["allow"], path)).otherwise(a["allow"]).alias("allow"),

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sitelens.functions import registration, robots
+from sitelens.functions import registration, robots, rules
 from sitelens.plans import compare_queries, record_queries, site_queries
 from sitelens.sources import ingest
 from pyspark.sql import functions as F
@@ -111,5 +111,25 @@ def test_robots_readers(spark):
     assert len(r.d.sitemaps) == 2 and len(r.l.sitemaps) == 1
 
 
+@pytest.mark.parametrize("scores, overall, primary", [((35, 10, 5), 28, "phishing"), ((0, 0, 0), 0, "phishing"), ((10, 50, 50), 45, "shell_company"), ((100, 100, 100), 100, "phishing"), ((5, 5, 30), 23, "compliance")])
+def test_overall_scores(spark, scores, overall, primary):
+    df = spark.createDataFrame([scores], "phishing int, shell_company int, compliance int")
+    assert tuple(df.selectExpr(rules.OVERALL, rules.PRIMARY).first()) == (overall, primary)
+
+
+@pytest.mark.parametrize("days, points", [(-1, 30), (29, 30), (30, 18), (89, 18), (90, 12), (179, 12), (180, 8), (364, 8), (365, 5), (729, 5), (730, 0), (None, 0)])
+def test_age_tiers(spark, days, points):
+    assert spark.createDataFrame([(days,)], "days int").selectExpr(record_queries.age_points() + " AS x").first().x == points
+
+
+@pytest.mark.parametrize("a, b, words, confidence", [
+    ((True, None, "t"), (True, None, "t"), 150, 80), ((False, "robots_disallow", ""), (True, None, "t"), 150, 0), ((False, "challenge_title:just a moment", "t"), (False, "robots", "t"), 150, 0), ((False, "challenge_body:captcha", "t"), (True, None, "t"), 149, 0),
+    ((False, "timeout", "t"), (True, None, "t"), 150, 30), ((True, None, "t"), (True, None, "t"), 10, 60), ((True, None, ""), (True, None, "t"), 150, 50),
+])
+def test_confidence_of_comparisons(spark, a, b, words, confidence):
+    df = spark.createDataFrame([(*a, *b, words, words)], "a_ok boolean, a_reason string, a_text string, b_ok boolean, b_reason string, b_text string, a_word_count int, b_word_count int")
+    assert df.selectExpr(f"{compare_queries.confidence()} AS x").first().x == confidence
+
+
 def test_a_batch_is_bounded():
     assert [record_queries.batch_size(x) for x in (None, 5, 80)] == [10, 5, 50]
