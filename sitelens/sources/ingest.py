@@ -7,6 +7,8 @@ stand-in is one SQL text over `pages` that Spark and DuckDB both run.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.values import COMMON_PATHS, PROBED_PATHS
@@ -64,13 +66,16 @@ def sql(name: str, engine: str) -> str:
         quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("\n", "\\n") + "'"
     else:
         quoted = lambda s: "'" + s.replace("\n", "' || chr(10) || '") + "'"
-    return (
+    text = (
         text.replace("{text}", "STRING" if engine == "spark" else "VARCHAR").replace("{n}", str(len(ROBOTS)))
         .replace("{files}", " ".join(f"WHEN {k} THEN {quoted(x)}" for k, x in enumerate(ROBOTS)))
         .replace("{hops}", ", ".join(f"({k})" for k in range(13)))
         .replace("{common}", ", ".join(f"({k}, '{p}')" for k, p in enumerate(p for x in COMMON_PATHS.values() for p in x)))
         .replace("{paths}", ", ".join(f"({k}, '{p}')" for k, p in enumerate(PROBED_PATHS)))
     )
+    if engine == "spark":  # literal rows beside each page, without a join
+        text = re.sub(r"CROSS JOIN \(VALUES (.*?)\) v\(([^)]*)\)", lambda m: f"LATERAL VIEW inline(array({m[1].replace('(', 'struct(')})) v AS {m[2]}", text, flags=re.S)
+    return text
 
 
 def exists(spark: SparkSession, path: str) -> bool:
