@@ -345,6 +345,35 @@ def scan_status(spark, sf):
 
 SCAN_STATUS_SQL = f"SELECT o_orderkey AS id, coalesce(s.status, l.status) AS status FROM orders LEFT JOIN ({S}) s ON s.scan_id = o_orderkey LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY created_at DESC, scan_id DESC) AS k FROM {S}) WHERE k = 1) l ON l.domain_id = o_orderkey"
 
+def rescans(spark, sf):
+    """What asking for a rescan by a scan's or a domain's id appends: a pending scan of the domain, unless one still runs;
+    with how many it has and which one its results are replaced by. An id that is neither appends nothing."""
+    s = scans(spark, sf)
+    last = R.latest_per_key(s, ["domain_id"], "created_at", "scan_id")
+    counts = s.groupBy("domain_id").agg(F.count("*").alias("scans"))
+    asked = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    found = R.resolve(asked, s.withColumn("d", F.col("domain_id")), last.withColumn("d", F.col("domain_id")), "id", "scan_id", "domain_id", "d").filter("d IS NOT NULL")
+    once = found.groupBy(F.col("d").alias("domain_id")).agg(F.min("id").alias("asked_by"))
+    running = F.col("status").isin("pending", "processing") & (F.col("created_at") > F.expr(f"timestamp'{AS_OF}' - interval {RUNNING}"))
+    df = once.join(last, "domain_id").filter(~running).join(counts, "domain_id")
+    return df.select("domain_id", "asked_by", F.col("scan_id").alias("replaces"), "scans", F.lit("pending").alias("status"))
+
+
+RESCAN_SQL = f"WITH s AS ({S}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY created_at DESC, scan_id DESC) AS k FROM s) WHERE k = 1), a AS (SELECT coalesce(s.domain_id, l.domain_id) AS d, min(o_orderkey) AS asked_by FROM orders LEFT JOIN s ON s.scan_id = o_orderkey LEFT JOIN l ON l.domain_id = o_orderkey GROUP BY 1) SELECT l.domain_id, asked_by, l.scan_id AS replaces, (SELECT count(*) FROM s x WHERE x.domain_id = l.domain_id) AS scans, 'pending' AS status FROM a JOIN l ON l.domain_id = a.d WHERE NOT (l.status IN ('pending', 'processing') AND l.created_at > TIMESTAMP '{AS_OF}' - INTERVAL 5 MINUTES)"
+
+
+def comparisons_left(spark, sf):
+    """Comparisons after those of some pages are deleted, whichever side the page stands on, and how many each page keeps."""
+    df = compare_queries.tfidf_pairs(spark, sf).select("a", "b")
+    gone = t(spark, sf, "labels").filter("quality = 0").select("doc_id").distinct()
+    for side in "ab":
+        df = df.join(gone.withColumnRenamed("doc_id", side), side, "left_anti")
+    sides = df.select(F.col("a").alias("doc_id")).unionAll(df.select("b"))
+    return sides.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+COMPARISONS_LEFT_SQL = f"WITH c AS ({compare_queries.tfidf_sql()}), g AS (SELECT doc_id FROM labels WHERE quality = 0), k AS (SELECT a, b FROM c WHERE a NOT IN (SELECT doc_id FROM g) AND b NOT IN (SELECT doc_id FROM g)) SELECT doc_id, count(*) AS n FROM (SELECT a AS doc_id FROM k UNION ALL SELECT b FROM k) GROUP BY 1"
+
 # Words and colours that scores are shown by (greatest score, text), the last for all above.
 SHADES = [(30, "success"), (50, "warning"), (70, "caution"), (None, "destructive")]
 RISKS = [(20, "Very Low"), (40, "Low"), (60, "Moderate"), (80, "High"), (None, "Very High")]
@@ -593,6 +622,8 @@ def catalogue() -> dict:
         "preferences": (preferences, PREFERENCES_SQL),
         "new_scans": (new_scans, new_scans_sql()),
         "scan_status": (scan_status, SCAN_STATUS_SQL),
+        "rescans": (rescans, RESCAN_SQL),
+        "comparisons_left": (comparisons_left, COMPARISONS_LEFT_SQL),
         "scores_shown": (scores_shown, scores_shown_sql()),
         "crawl_frontier": (crawl_frontier, crawl_frontier_sql()),
         "internal_links": (internal_links, internal_links_sql()),
