@@ -6,10 +6,11 @@ task of its own, and gives one row for each link; everything else is columns ove
 
 from __future__ import annotations
 
+import html as references
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
+from .markup import RawEnds, attributes, tags
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element that ends where one of these begins.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}, "a": {"a"},
             "p": set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())}
+#: The elements that an element ends, by its name.
+ENDS = {tag: [x for x, by in ENDED_BY.items() if tag in by] for tag in set().union(*ENDED_BY.values())}
 SCOPES = frozenset("ul ol dl table select div section article body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEAR = frozenset("li div p span footer section".split())
@@ -32,11 +36,14 @@ LONGEST_URL, LONGEST_PRICE = 2000, 200
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "words", "skipped", "footer", "footer_like")
+    __slots__ = ("tag", "attrs", "parent", "children", "words", "skipped", "footer", "footer_like", "shows", "cards", "policies")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
+        self.shows: bool | None = None
+        self.cards: list[Element | None] | None = None
+        self.policies: frozenset[str] = frozenset()
         self.words = frozenset(attrs.get("class", "").split())
         up = parent
         self.skipped = bool(up and up.skipped) or tag in ("nav", "header", "footer") or bool(self.words & SKIPPED_CLASSES) or attrs.get("role") in SKIPPED_ROLES
@@ -74,41 +81,55 @@ class Element:
         return "".join(x for x in self.walk() if isinstance(x, str))
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.node = Element("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        for x in self.node.up():
-            if tag in ENDED_BY.get(x.tag, ()):
-                self.node = x.parent
-                break
-            if x.tag in SCOPES:
-                break
-        child = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.node)
-        self.node.children.append(child)
-        if tag not in VOID:
-            self.node = child
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for x in self.node.up():
-            if x.tag == tag and x.parent is not None:
-                self.node = x.parent
-                break
-
-    def handle_data(self, data):
-        self.node.children.append(data)
+#: Elements whose content is text, and those of them in which references count.
+RAW, REFERRING = frozenset(("script", "style", "title", "textarea")), frozenset(("title", "textarea"))
 
 
 def parse(page: str | None) -> Element:
-    builder = _Builder()
-    builder.feed(page or "")
-    builder.close()
-    return builder.root
+    page = page or ""
+    root = node = Element("", {}, None)
+    open_: Counter[str] = Counter()
+    ends, at = RawEnds(page), 0
+
+    def leave(up: Element) -> None:
+        nonlocal node
+        while node is not up:
+            open_[node.tag] -= 1
+            node = node.parent
+
+    for start, after, end, tag, text in tags(page):
+        if start < at:  # in the content of a raw element
+            continue
+        if start > at:
+            node.children.append(references.unescape(page[at:start]))
+        at = after
+        if not tag:
+            continue
+        if end:
+            if open_[tag]:
+                leave(next(x for x in node.up() if x.tag == tag).parent)
+            continue
+        if any(open_[x] for x in ENDS.get(tag, ())):
+            for x in node.up():
+                if tag in ENDED_BY.get(x.tag, ()):
+                    leave(x.parent)
+                    break
+                if x.tag in SCOPES:
+                    break
+        child = Element(tag, {k: references.unescape(v) for k, v in reversed(list(attributes(text)))}, node)
+        node.children.append(child)
+        if tag in RAW:
+            found = ends.after(tag, at)
+            inner = page[at : found[0]] if found else page[at:] if tag in ("script", "style") else ""
+            if inner:
+                child.children.append(references.unescape(inner) if tag in REFERRING else inner)
+            at = found[1] if found else at + len(inner)
+        elif tag not in VOID:
+            node = child
+            open_[tag] += 1
+    if at < len(page):
+        node.children.append(references.unescape(page[at:]))
+    return root
 
 
 def encoded(part: str, marks: str) -> str:
@@ -183,20 +204,37 @@ def is_priced(x: Element) -> bool:
 def card_of(anchor: Element) -> Element:
     """The card that a link belongs to: the nearest element of the first kind that is above it, else one of five
     elements above with a price and an image, else the link."""
-    found: list[Element | None] = [None] * len(CARDS)
-    for x in anchor.up():
-        for k, test in enumerate(CARDS):
-            if found[k] is None and test(x):
-                found[k] = x
-    for x in found:
+    for x in cards_above(anchor):
         if x is not None:
             return x
     for n, x in enumerate(anchor.up()):
-        if 1 <= n <= 5 and x.first(is_priced) and x.first(lambda y: y.tag == "img"):
+        if n > 5:
+            break
+        if n and shows_product(x):
             return x
     return anchor
 
 
+def cards_above(element: Element) -> list[Element | None]:
+    """Of each kind of card the nearest that the element is or stands in; worked out once for an element."""
+    new = []
+    for x in element.up():
+        if x.cards is not None:
+            break
+        new.append(x)
+    for x in reversed(new):
+        above = x.parent.cards if x.parent else [None] * len(CARDS)
+        x.cards = [x if test(x) else y for test, y in zip(CARDS, above)]
+    return element.cards
+
+
+def shows_product(x: Element) -> bool:
+    """Whether a price and an image stand below; found out once for an element."""
+    if x.shows is None:
+        x.shows = x.first(is_priced) is not None and x.first(lambda y: y.tag == "img") is not None
+    return x.shows
+
+
 def titles_of(card: Element) -> list[str]:
     """Texts that may be a product's title, best first; the link's own come after them."""
     out = []
@@ -262,26 +300,25 @@ def image_of(card: Element, base: str) -> str | None:
 _ANCHOR_WORDS = [(k, re.compile(p, re.I)) for k, p in V.POLICY_ANCHORS]
 
 
-def near_policies(root: Element) -> dict[int, list[str]]:
-    """By element, the policies whose words stand in a text that has the element as its nearest container."""
-    out: dict[int, list[str]] = {}
+def mark_policies(root: Element) -> None:
+    """Gives each element the policies whose words stand in a text that has it, or one above it, as its nearest container."""
     body = root.first(lambda x: x.tag == "body") or root
-    for parent in (body, *body.below(lambda x: True)):
-        if parent is body:  # texts of the body itself have no element around them
-            continue
-        for text in parent.children:
-            if isinstance(text, str):
-                found = [k for k, p in _ANCHOR_WORDS if p.search(text.strip())]
-                if found:
-                    container = next((x for x in parent.up() if x.tag in NEAR), parent)
-                    out.setdefault(id(container), []).extend(found)
-    return out
+    every = list(body.below(lambda x: True))
+    nearest: dict[int, Element] = {}
+    for x in every:  # those above come first; texts of the body itself have no element around them
+        above = nearest.get(id(x.parent))
+        nearest[id(x)] = x if x.tag in NEAR or above is None or above.tag not in NEAR else above
+        for text in x.children:
+            if isinstance(text, str) and (found := [k for k, p in _ANCHOR_WORDS if p.search(text.strip())]):
+                nearest[id(x)].policies |= frozenset(found)
+    for x in every:
+        x.policies |= x.parent.policies
 
 
 def links(page: str | None, url: str | None) -> Iterator[dict]:
     """Every link of a page that has an address, in page order."""
     root, base = parse(page), url or ""
-    near = near_policies(root)
+    mark_policies(root)
     cards: dict[int, tuple] = {}
     for pos, x in enumerate(root.below(lambda y: y.tag == "a" and "href" in y.attrs)):
         card = card_of(x)
@@ -289,10 +326,9 @@ def links(page: str | None, url: str | None) -> Iterator[dict]:
             cards[id(card)] = titles_of(card), prices_of(card), image_of(card, base)
         titles, prices, image = cards[id(card)]
         text, href = x.text().strip(), x.attrs["href"]
-        above = {k for y in x.up() for k in near.get(id(y), ())}
         yield {
             "pos": pos, "href": href, "text": text, "label": f"{text} {x.attrs.get('aria-label', '')} {x.attrs.get('title', '')}", "in_footer": x.footer, "footer_like": x.footer or x.footer_like, "skipped": x.skipped,
-            "address": page_address(href, base), "product_url": product_address(href, base), "near": [k for k, _ in V.POLICY_ANCHORS if k in above],
+            "address": page_address(href, base), "product_url": product_address(href, base), "near": [k for k, _ in V.POLICY_ANCHORS if k in x.policies],
             "titles": [*titles, x.attrs.get("aria-label", "").strip(), text], "prices": prices, "image": image,
         }
 

@@ -1,5 +1,7 @@
 """Links, policies and products of pages made by hand; what is expected is worked out from the rules, not by code."""
 
+import time
+
 import pytest
 
 from sitelens.functions import dom
@@ -103,3 +105,12 @@ def test_readings(spark, shop):
 def test_deep_and_broken_pages():
     assert len(list(dom.links("<div>" * 5000 + "<a href=/x>y" * 300, SHOP))) == 300
     assert list(dom.links(None, None)) == [] and list(dom.links("<a>x</a><a href>", SHOP))[0]["address"] == "https://www.shop.example/home?x=1"
+
+
+@pytest.mark.parametrize("page", [
+    "<a '" * 100_000, '<a x=">" ' * 60_000, "<div>" * 40_000 + "</p>" * 40_000, "<!--" * 100_000, "<div>privacy policy" * 20_000 + "<a href=/x>y</a>" * 3000, "<div>" * 40 + "<a href='/x'>t</a>" * 5000 + "<b class=price>1</b><img src=x>", "<script>" * 50_000,
+], ids=range(7))
+def test_pages_are_read_in_linear_time(page):
+    began = time.perf_counter()
+    list(dom.links(page, SHOP))
+    assert time.perf_counter() - began < 5  # quadratic time would be minutes
