@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import RawEnds, attributes, tags
 from .common import small_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,18 +63,14 @@ CLOSED_BY = {
 }
 #: Elements that an implied end doesn't reach beyond.
 BOUNDS = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "tr": frozenset(("table",)), "p": frozenset(("td", "th", "button", "table"))}
-#: The elements that an element ends, by its name; end tags of raw elements.
+#: The elements that an element ends, by its name.
 CLOSES = {tag: [x for x, by in CLOSED_BY.items() if tag in by] for tag in frozenset().union(*CLOSED_BY.values())}
-_CLOSING = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 #: Share of link text beyond which a container is a list of links.
 LINKS = 1 / 3
 #: Elements of text, which links alone tell from boilerplate.
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split()) | INLINE
 #: What says that a part is no article: nothing, a word at a token's end, a whole token, element or hiding.
 NONE, WORD, TOKEN, SURE = range(4)
-_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-_NEXT = re.compile(r">|=\s*[\"']")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -90,14 +87,13 @@ class Node:
         self.inside = self.dropped = self.holds = False
 
 
-def unwanted(tag: str, attributes: str) -> int:
+def unwanted(tag: str, text: str) -> int:
     if tag in CONTAINERS or tag in ("html", "body"):
         return NONE
     if tag in DROPPED:
         return SURE
     found = NONE
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in attributes(text):
         if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
             return SURE
         if name in ("class", "id", "role"):
@@ -112,47 +108,12 @@ def unwanted(tag: str, attributes: str) -> int:
     return found
 
 
-def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
-    """Start, end, whether it is an end tag, name and attributes of each tag; the name is empty for a comment
-    or declaration, which runs to the page's end where nothing ends it.
-
-    A quote opens a value only after an equals sign. A value that nothing closes ends with its tag, at the next `>`;
-    what has no `>` after it is text."""
-    at, last, quotes, broken = 0, page.rfind(">"), {q: page.rfind(q) for q in "\"'"}, False
-    while (start := page.find("<", at)) >= 0:
-        at = start + 1
-        if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            at = end + 3 if end >= 0 else len(page)
-            yield start, at, False, "", ""
-        elif page[at : at + 1] in ("!", "?"):
-            end = page.find(">", at)
-            at = end + 1 if end >= 0 else len(page)
-            yield start, at, False, "", ""
-        elif at <= last and (m := _NAME.match(page, at)):
-            place, end = m.end(), -1
-            while not broken and (found := _NEXT.search(page, place)):
-                if found[0] == ">":
-                    end = found.start()
-                    break
-                if quotes[found[0][-1]] < found.end():
-                    end = page.find(">", found.end())
-                    break
-                place = page.find(found[0][-1], found.end()) + 1
-            if end < 0:
-                # Quotes pair to the end of the page without a `>` outside of them; from here on they count for nothing.
-                broken, end = True, page.find(">", m.end())
-            if end >= 0:
-                at = end + 1
-                yield start, at, bool(m[1]), m[2].lower(), page[m.end() : end]
-
-
 def parse(page: str) -> Node:
     """The tree of block elements. Links are the marks \\0 and \\1 in text, line breaks are spaces."""
     root = node = Node("html", None)
     open_ = Counter(("html",))
     at = link = 0
-    endless = set()  # raw elements that nothing ends any more
+    ends = RawEnds(page)
 
     def add(text: str) -> None:
         if text:
@@ -173,14 +134,14 @@ def parse(page: str) -> Node:
         node = child
         open_[child.tag] += 1
 
-    for start, after, end, tag, attributes in markup(page):
+    for start, after, end, tag, text in tags(page):
         if start < at:  # in the content of a raw element
             continue
         text_to(start)
         at = after
         if not tag:
             continue
-        alone = attributes.endswith("/")
+        alone = text.endswith("/")
         if tag == "a":
             if link or end:
                 add("\1" * link)
@@ -190,19 +151,15 @@ def parse(page: str) -> Node:
                 link = 1
         elif tag in RAW and not end:
             if not alone:
-                closing = None if tag in endless else _CLOSING[tag].search(page, at)
-                if closing:
-                    at = page.find(">", closing.end()) + 1 or len(page)
-                elif tag in ("script", "style"):
-                    at = len(page)
-                else:
-                    endless.add(tag)
+                found = ends.after(tag, at)
+                if found or tag in ("script", "style"):
+                    at = found[1] if found else len(page)
         elif tag == "br":
             add(" ")
         elif tag in INLINE:
             if tag == "img":
                 add(" ")
-            elif not end and (level := unwanted(tag, attributes)) >= TOKEN and not alone:
+            elif not end and (level := unwanted(tag, text)) >= TOKEN and not alone:
                 child = Node(tag, node, level, bool(link))
                 node.children.append(child)
                 enter(child)
@@ -228,7 +185,7 @@ def parse(page: str) -> Node:
                         break
                     if x.tag in BOUNDS.get(tag, ()) or x.tag not in INLINE and x.tag not in CLOSED_BY:
                         break
-            child = Node(tag, node, unwanted(tag, attributes))
+            child = Node(tag, node, unwanted(tag, text))
             node.children.append(child)
             if tag not in VOID and not alone:
                 enter(child)
