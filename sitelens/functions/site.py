@@ -102,15 +102,44 @@ def assembled(q, source) -> str:
         LEFT JOIN {source('registration')} r ON p.page_id = r.page_id LEFT JOIN {source('robots')} b ON p.page_id = b.page_id LEFT JOIN sm ON p.page_id = sm.page_id LEFT JOIN pr ON p.page_id = pr.page_id"""
 
 
+#: For each pattern of suspicious content, words of which a text in lower case has one if it matches; contains() is
+#: much faster than a pattern.
+GUARDS = [
+    "hahaha hehe hihi lol wow", "· •", "curved straight wide", "fragrance smell", "quality", "direct", "limited flash clearance", "very", "shop store", "ship", "size", "chart", "only just", "order buy", "streetwear vintage", "the",
+    "very so", "stars excellent perfect star", "good", "suitable perfect",
+]
+SECOND_GUARDS = {4: "cheap low discount", 5: "factory warehouse", 7: "good nice beautiful", 8: "buy purchase", 9: "fast quick speed", 10: "asian china chinese", 11: "please", 12: "left remaining piece item", 13: "free gift", 14: "casual fashion",
+                 15: "very so too", 17: "fast quick", 18: "recommend", 19: "daily everyday"}
+
+
+def may_be(low: str, k: int) -> str:
+    """Whether a text in lower case may have the k-th suspicious pattern."""
+    any_of = lambda words: "(" + " OR ".join(f"contains({low}, '{w}')" for w in words) + ")"
+    second = SECOND_GUARDS.get(k, "")
+    return any_of(GUARDS[k].split()) + (f" AND {any_of(second.split())}" if second else "")
+
+
+def read_for_builders(q) -> dict[str, str]:
+    """Columns of a page that generated() reads: its front and, where that doesn't hold it, its head; both in lower case too."""
+    front = f"CASE WHEN length(h) <= {WINDOW} THEN h ELSE concat(substr(h, 1, {WINDOW}), chr(10), {head(q)}) END"
+    return {"head": head(q), "front": front, "low_front": f"lower({front})", "low": "lower(h)", "body": "CASE WHEN t <> '' THEN t ELSE h END", "low_body": "lower(CASE WHEN t <> '' THEN t ELSE h END)"}
+
+
+def holds(q, c: str, low: str, pattern: str) -> str:
+    """Whether a text has a pattern in any case; plain words are looked up in the text in lower case, which takes no pattern."""
+    if re.fullmatch(r"(?:[a-z0-9_/ -]|\\\.|\|)+", pattern):
+        return "(" + " OR ".join(f"contains({low}, '{x}')" for x in pattern.replace("\\.", ".").split("|")) + ")"
+    found = q.has(c, f"(?i){pattern}")
+    return f"(contains({low}, 'generator') AND {found})" if pattern.startswith("generator") else found
+
+
 def generated(q) -> dict[str, str]:
-    """What of the page itself speaks for a generated one, over h, t, url and head."""
-    front = f"substr(h, 1, {WINDOW})"
+    """What of the page itself speaks for a generated one, over h, t, url and read_for_builders()."""
     quote = q.quoted
-    builder = [q.struct(name=quote(n), kind=quote(k), score=str(s), hit=f"({q.has('head', '(?i)' + p)} OR {q.has(front, '(?i)' + p)})") for p, n, k, s in V.SITE_BUILDERS]
+    builder = [q.struct(name=quote(n), kind=quote(k), score=str(s), hit=holds(q, "front", "low_front", p)) for p, n, k, s in V.SITE_BUILDERS]
     builders = q.keep(q.array(*builder), "x", "x.hit")
-    markers = q.keep(q.array(*(q.struct(d=quote(d), score=str(s), hit=q.has("h", "(?i)" + p)) for p, d, s in V.AI_MARKERS)), "x", "x.hit")
-    body = "CASE WHEN t <> '' THEN t ELSE h END"
-    suspicious = q.keep(q.array(*(q.struct(d=quote(d), score=str(s), n=f"CAST({q.count(body, '(?i)' + p)} AS INT)", least=str(m)) for p, d, s, m in V.SUSPICIOUS)), "x", "x.n >= x.least")
+    markers = q.keep(q.array(*(q.struct(d=quote(d), score=str(s), hit=holds(q, "h", "low", p)) for p, d, s in V.AI_MARKERS)), "x", "x.hit")
+    suspicious = q.keep(q.array(*(q.struct(d=quote(d), score=str(s), n=f"CASE WHEN {may_be('low_body', k)} THEN CAST({q.count('body', '(?i)' + p)} AS INT) ELSE 0 END", least=str(m)) for k, (p, d, s, m) in enumerate(V.SUSPICIOUS))), "x", "x.n >= x.least")
     title = q.first("head", "(?i)<title[^>]*>([^<]+)</title>")
     seo = [
         f"CASE WHEN {q.has('head', V.SEO_TITLE)} THEN CASE WHEN {title} = '' OR {q.has(f'trim({title})', V.GENERIC_TITLES)} THEN 5 ELSE 20 END ELSE 0 END",
@@ -171,11 +200,11 @@ AI_NOTES = "CASE WHEN NOT has_page THEN 'no page' ELSE concat('markup and infras
 
 
 def layered(q) -> dict[str, str]:
-    """What of the page itself a second reading looks at: its own builders, marks and search-engine points, over h."""
+    """What of the page itself a second reading looks at: its own builders, marks and search-engine points, over h and low, h in lower case."""
     count = lambda conditions: "(" + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in conditions) + ")"
     return {
         "generator_meta": missing(q.first("h", V.LAYERED_GENERATOR)), "n_markers": f"CAST({count(q.has('h', '(?i)' + p) for p in V.LAYERED_MARKERS)} AS INT)",
-        **{f"built_{k}": q.has("h", "(?i)" + p) for k, (p, _) in enumerate(V.LAYERED_BUILDERS)},
+        **{f"built_{k}": holds(q, "h", "low", p) for k, (p, _) in enumerate(V.LAYERED_BUILDERS)},
         "suspicious": q.compact(q.array(*(f"CASE WHEN {q.has('h', '(?i)' + p)} THEN '{n}' END" for p, n in V.LAYERED_SUSPICIOUS))),
         "seo_points": "(" + " + ".join(f"CASE WHEN {q.has('h', p)} THEN {n} ELSE 0 END" for p, n in V.LAYERED_SEO) + ")",
         "is_boilerplate": "(" + " OR ".join(q.has("h", "(?i)" + p) for p in V.LAYERED_BOILERPLATE) + ")",

@@ -61,7 +61,7 @@ def flat(q) -> dict[str, str]:
 
 
 def ai_rows(spark, sf) -> DataFrame:
-    page = texts(spark, sf).selectExpr(KEY, "url", "h", "t", f"{site.head(SPARK)} AS head")
+    page = texts(spark, sf).selectExpr(KEY, "url", "h", "t", *named(site.read_for_builders(SPARK)))
     first = ingest.read(spark, sf, "sitemaps").filter("pos = 0").select(KEY, (F.col("status_code").between(200, 399) & robots.is_sitemap(F.col("content"))).alias("sitemap_valid"))
     df = project(page, site.generated(SPARK))
     for other in (ingest.read(spark, sf, "fetches").select(KEY, "headers", "favicon_ok"), robots_rows(spark, sf).select(KEY, "robots_valid"), first):
@@ -71,7 +71,7 @@ def ai_rows(spark, sf) -> DataFrame:
 
 
 def ai_sql() -> str:
-    page = f"SELECT *, {site.head(DUCK)} AS head FROM ({with_text(DUCK)})"
+    page = f"SELECT *, {', '.join(named(site.read_for_builders(DUCK)))} FROM ({with_text(DUCK)})"
     first = f"SELECT page_id, status_code BETWEEN 200 AND 399 AND regexp_matches(content, '(?i)<urlset|<sitemapindex|<url>|<loc>') AS sitemap_valid FROM ({ingest.sql('sitemaps', 'duck')}) WHERE pos = 0"
     df = f"SELECT g.*, f.headers, f.favicon_ok, b.robots_valid, s.sitemap_valid FROM ({select(site.generated(DUCK), page)}) g LEFT JOIN {source('fetches')} f USING (page_id) LEFT JOIN {source('robots')} b USING (page_id) LEFT JOIN ({first}) s USING (page_id)"
     return f"SELECT *, {site.AI_SCORE} AS ai_score, {site.AI_CONFIDENCE} AS ai_confidence, {site.AI_NOTES} AS notes FROM ({select(site.likelihood(DUCK), df)})"
@@ -90,13 +90,13 @@ def ai_likelihood(spark, sf):
 def ai_layered(spark, sf):
     """The second reading of the same, with its own patterns and points."""
     robots_found = ingest.read(spark, sf, "robots").select(KEY, (F.col("status_code") == 200).alias("robots_found"))
-    df = project(texts(spark, sf), site.layered(SPARK)).join(ingest.read(spark, sf, "fetches").select(KEY, "headers", "final_url"), KEY, "left")
+    df = project(texts(spark, sf).withColumn("low", F.lower("h")), site.layered(SPARK)).join(ingest.read(spark, sf, "fetches").select(KEY, "headers", "final_url"), KEY, "left")
     df = df.join(robots_found, KEY, "left").join(signals(spark, sf).select(KEY, (F.col("sitemap_url_count") > 0).alias("sitemap_found")), KEY, "left")
     return project(project(df, site.layered_joined(SPARK)), site.layered_scores(SPARK))
 
 
 def ai_layered_sql() -> str:
-    df = f"SELECT g.*, f.headers, f.final_url, b.status_code = 200 AS robots_found, s.sitemap_url_count > 0 AS sitemap_found FROM ({select(site.layered(DUCK), with_text(DUCK))}) g LEFT JOIN {source('fetches')} f USING (page_id) LEFT JOIN ({ingest.sql('robots', 'duck')}) b USING (page_id) LEFT JOIN ({signals_sql()}) s USING (page_id)"
+    df = f"SELECT g.*, f.headers, f.final_url, b.status_code = 200 AS robots_found, s.sitemap_url_count > 0 AS sitemap_found FROM ({select(site.layered(DUCK), f'SELECT *, lower(h) AS low FROM ({with_text(DUCK)})')}) g LEFT JOIN {source('fetches')} f USING (page_id) LEFT JOIN ({ingest.sql('robots', 'duck')}) b USING (page_id) LEFT JOIN ({signals_sql()}) s USING (page_id)"
     return select(site.layered_scores(DUCK), select(site.layered_joined(DUCK), df))
 
 

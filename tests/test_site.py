@@ -2,7 +2,9 @@
 
 import pytest
 
-from sitelens.functions import registration, robots, rules
+from sitelens.functions import registration, robots, rules, values
+from sitelens.functions import site as site_expressions
+from sitelens.functions.dialect import SPARK
 from sitelens.plans import compare_queries, record_queries, site_queries
 from sitelens.sources import ingest
 from pyspark.sql import functions as F
@@ -133,3 +135,17 @@ def test_confidence_of_comparisons(spark, a, b, words, confidence):
 
 def test_a_batch_is_bounded():
     assert [record_queries.batch_size(x) for x in (None, 5, 80)] == [10, 5, 50]
+
+
+#: For each suspicious pattern a text that has it, as often as it needs.
+SUSPECT = [
+    "Hahaha·Round", "Neck•Line version", "Straight  tube pants", "big smell type", "Best quality low price", "warehouse direct shipping", "flash sale 50% off", "very much good product", "welcome to our store purchase", "shipping from quick", "Chinese size",
+    "please check size chart carefully please see chart before please read chart before", "just 3 remaining now", "buy today receive gift", "women fashion vintage slim", "the is very and the were too", "this is a very that are an so", "5 star item fast delivery excellent quality quick shipping",
+    "good shop recommended", "perfect for daily wear and travel",
+]
+
+
+def test_every_suspicious_pattern_passes_its_guard(spark):
+    for k, (pattern, _, _, least) in enumerate(values.SUSPICIOUS):
+        row = spark.createDataFrame([(SUSPECT[k],)], "t string").selectExpr(f"{SPARK.count('t', '(?i)' + pattern)} AS n", f"{site_expressions.may_be('lower(t)', k)} AS may").first()
+        assert row.n >= least and row.may, (k, row)
