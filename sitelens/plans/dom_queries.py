@@ -214,8 +214,7 @@ def offers(spark, sf) -> DataFrame:
     q = SPARK
     bad_title = C.any_of(q, "x", V.NO_TITLES)
     title = f"substr(get(filter(titles, x -> length(x) BETWEEN 3 AND 200 AND NOT ({bad_title})), 0), 1, {TITLE})"
-    df = links(spark, sf).filter(~no_page("href") | F.col("href").startswith("#") & (F.length("href") > 1)).filter("product_url IS NOT NULL")
-    df = df.selectExpr("page_id", "url", "pos", "product_url", "skipped", "image", f"{title} AS title", f"get(filter(prices, x -> {P.priced(q, 'x.text')} IS NOT NULL), 0) AS p")
+    df = links(spark, sf).selectExpr("page_id", "url", "pos", "product_url", "skipped", "image", f"{title} AS title", f"get(filter(prices, x -> {P.priced(q, 'x.text')} IS NOT NULL), 0) AS p")
     df = df.selectExpr("*", f"{P.priced(q, 'p.text')} AS k", f"{P.priced(q, 'p.original')} AS original_k")
     df = df.selectExpr("*", *named(P.price(q, "p.text", "k")), *named({f"original_{c}": e for c, e in P.price(q, "p.original", "original_k").items() if c != "currency"}))
     df = df.withColumns({"path": F.expr(C.path(q, "product_url")), "own": in_scope("product_url")})
@@ -229,7 +228,7 @@ def offers(spark, sf) -> DataFrame:
     wanted = F.coalesce((F.col("product") | (F.col("title").isNotNull() & F.col("price_text").isNotNull())) & (F.col("title").isNotNull() | F.col("price_text").isNotNull()), F.lit(False))
     df = df.withColumn("good", F.col("own") & ~F.col("skipped") & ~F.col("excluded") & wanted)
     df = df.withColumn("first", F.expr("min(CASE WHEN good THEN pos END) OVER (PARTITION BY page_id, product_url)"))
-    why = F.when(~F.col("own"), "domain").when(F.col("pos") > F.col("first"), "duplicate").when(F.col("skipped"), "nav").when(F.col("excluded"), "excluded").when(~wanted, "product")
+    why = F.when(F.col("product_url").isNull(), "href").when(~F.col("own"), "domain").when(F.col("pos") > F.col("first"), "duplicate").when(F.col("skipped"), "nav").when(F.col("excluded"), "excluded").when(~wanted, "product")
     df = df.withColumn("why", why)
     taken = F.expr("count(CASE WHEN why IS NULL THEN 1 END) OVER (PARTITION BY page_id ORDER BY pos)")
     return df.withColumn("taken", taken)
@@ -252,18 +251,18 @@ NO_PRODUCTS = "SELECT CAST(NULL AS BIGINT) AS page_id, '' AS product_url, '' AS
 
 
 def sku_summary(spark, sf):
-    """What was found on every page, its most frequent currency (of equals the first seen), and notes on what was left out."""
-    o = offers(spark, sf).withColumn("seen", F.expr(f"taken < {PRODUCTS} OR (taken = {PRODUCTS} AND why IS NULL)"))
+    """What was found on every page, its most frequent currency (of equals the first seen), and notes on what was left out.
+
+    Pages are read once; a page's currencies are a list of PRODUCTS at most."""
+    o = offers(spark, sf).withColumns({"seen": F.expr(f"taken < {PRODUCTS} OR (taken = {PRODUCTS} AND why IS NULL)"), "item": F.col("why").isNull() & (F.col("taken") <= PRODUCTS)})
     count = lambda w: F.count_if(F.col("seen") & (F.col("why") == w)).alias(w)
-    skipped = o.groupBy("page_id").agg(*map(count, ("nav", "excluded", "duplicate", "domain", "product")))
-    anchors = links(spark, sf).groupBy("page_id").agg(F.count("*").alias("anchors"))
-    p = products(spark, sf)
-    held = lambda c, n: F.count_if(F.col(c).isNotNull() & (F.col(c) != "")).alias(n)
-    own = p.groupBy("page_id").agg(F.count("*").alias("n"), held("price_text", "with_price"), held("title", "with_title"), held("image", "with_image"), F.round(F.avg("amount"), 4).alias("average"))
-    top = p.filter("currency IS NOT NULL").groupBy("page_id", "currency").agg(F.count("*").alias("n"), F.min("pos").alias("first")).groupBy("page_id").agg(F.max_by("currency", F.struct("n", -F.col("first"))).alias("top_currency"))
-    df = pages(spark, sf).select("page_id")
-    for other in (anchors, skipped, own, top):
-        df = df.join(other, "page_id", "left")
+    held = lambda c, n: F.count_if(F.col("item") & F.col(c).isNotNull() & (F.col(c) != "")).alias(n)
+    seen_at = F.array_sort(F.collect_list(F.when(F.col("item") & F.col("currency").isNotNull(), F.struct("pos", "currency"))))
+    own = o.groupBy("page_id").agg(
+        F.count("*").alias("anchors"), *map(count, ("nav", "excluded", "duplicate", "domain", "product")), F.count_if("item").alias("n"), held("price_text", "with_price"), held("title", "with_title"), held("image", "with_image"),
+        F.round(F.avg(F.when(F.col("item"), F.col("amount"))), 4).alias("average"), F.transform(seen_at, lambda x: x["currency"]).alias("currencies"))
+    often = F.transform(F.array_distinct("currencies"), lambda c, i: F.struct(F.size(F.filter("currencies", lambda x: x == c)).alias("n"), (-i).alias("first"), c.alias("currency")))
+    df = pages(spark, sf).select("page_id").join(own.withColumn("top_currency", F.array_max(often)["currency"]).drop("currencies"), "page_id", "left")
     df = df.na.fill(0, ["anchors", "nav", "excluded", "duplicate", "domain", "product", "n", "with_price", "with_title", "with_image"])
     note = lambda c, before, after: F.when(F.col(c) > 0, F.concat(F.lit(before), F.col(c).cast("string"), F.lit(after)))
     notes = F.array_compact(F.array(
