@@ -55,21 +55,19 @@ def in_scope(c: str, of: str = "url", subdomains: bool = True) -> Column:
     return F.coalesce((host != "") & ((host == own) | (host.endswith(F.concat(F.lit("."), own)) if subdomains else F.lit(False))), F.lit(False))
 
 
-def ranked(found: DataFrame, method: str) -> DataFrame:
-    """Links as candidates of each policy whose words their text or address has, or of all where they stand in a footer."""
+def ranked(found: DataFrame, method: str, near: bool = False) -> DataFrame:
+    """Links as candidates of each policy whose words their text or address has, or of all where they stand in a footer; with
+    near, also of each policy that a text beside them names, an address once."""
     found = found.filter(~no_page("href") & in_scope("address"))
-    score = lambda k: f"CASE WHEN {SPARK.has('label', '(?i)' + dict(V.POLICY_ANCHORS)[k])} THEN 100 ELSE 0 END + CASE WHEN {SPARK.has('href', '(?i)' + dict(V.POLICY_HREFS)[k])} THEN 50 ELSE 0 END + CASE WHEN in_footer THEN 20 ELSE 0 END"
-    rows = ", ".join(f"named_struct('policy', '{k}', 'rank', {score(k)})" for k in KINDS)
-    out = found.selectExpr("page_id", "url", "pos", "address", "text", f"inline_outer(array({rows}))").filter("rank > 0")
-    return out.withColumn("method", F.lit(method))
-
-
-def near(found: DataFrame) -> DataFrame:
-    """Links beside a text that names a policy."""
-    found = found.filter(~no_page("href") & in_scope("address")).withColumn("policy", F.explode_outer("near")).filter("policy IS NOT NULL")
-    rank = "CASE " + " ".join(f"WHEN policy = '{k}' AND {SPARK.has('href', '(?i)' + p)} THEN 80" for k, p in V.POLICY_HREFS) + " ELSE 40 END"
-    out = found.selectExpr("page_id", "url", "pos", "address", "text", "policy", f"{rank} AS rank")
-    return out.withColumn("method", F.lit("keyword_proximity")).withColumn("k", F.expr("row_number() OVER (PARTITION BY page_id, policy, address ORDER BY pos)")).filter("k = 1").drop("k")
+    href = {k: SPARK.has("href", "(?i)" + p) for k, p in V.POLICY_HREFS}
+    score = lambda k: f"CASE WHEN {SPARK.has('label', '(?i)' + dict(V.POLICY_ANCHORS)[k])} THEN 100 ELSE 0 END + CASE WHEN {href[k]} THEN 50 ELSE 0 END + CASE WHEN in_footer THEN 20 ELSE 0 END"
+    beside = lambda k: f"CASE WHEN NOT array_contains(near, '{k}') THEN 0 WHEN {href[k]} THEN 80 ELSE 40 END"
+    rows = [f"named_struct('policy', '{k}', 'rank', {score(k)}, 'method', '{method}')" for k in KINDS] + [f"named_struct('policy', '{k}', 'rank', {beside(k)}, 'method', 'keyword_proximity')" for k in KINDS if near]
+    out = found.selectExpr("page_id", "url", "pos", "address", "text", f"inline_outer(array({', '.join(rows)}))").filter("rank > 0")
+    if not near:
+        return out
+    again = F.expr("row_number() OVER (PARTITION BY page_id, method, policy, address ORDER BY pos)")
+    return out.withColumn("again", again).filter("again = 1 OR method <> 'keyword_proximity'").drop("again")
 
 
 def common(spark, sf) -> DataFrame:
@@ -82,9 +80,8 @@ def common(spark, sf) -> DataFrame:
 
 def candidates(spark, sf) -> DataFrame:
     """What is verified, in order: three candidates of each way, page and policy."""
-    found = links(spark, sf)
-    rendered = ingest.read(spark, sf, "renders").join(pages(spark, sf).select("page_id", "url"), "page_id").select("page_id", "url", "html")
-    every = ranked(found, "homepage_html").unionByName(common(spark, sf)).unionByName(ranked(dom.link_rows(rendered), "chromium_render")).unionByName(near(found))
+    rendered = ingest.read(spark, sf, "renders")
+    every = ranked(links(spark, sf), "homepage_html", near=True).unionByName(common(spark, sf)).unionByName(ranked(dom.link_rows(rendered), "chromium_render"))
     every = every.withColumn("step", F.array_position(F.array(*map(F.lit, METHODS)), F.col("method")).cast("int"))
     every = every.withColumn("n", F.expr("row_number() OVER (PARTITION BY page_id, policy, method ORDER BY rank DESC, pos)"))
     return every.filter(F.col("n") <= CANDIDATES)

@@ -100,32 +100,37 @@ def fetch_outcomes_sql() -> str:
 DRAWN_SHOPS, SHOP_LINKS = ["shoplazza", "window.__shoplazza", "cdn.shopify.com", "Shopify.theme"], 5
 
 
-def source_columns(q) -> dict[str, str]:
-    """Which reading of a page is taken, over h, its rendered html (r) and its answer."""
+def page_marks(q) -> dict[str, str]:
+    """What of a fetched page (h) tells whether a browser must draw it."""
     drawn = "(" + " OR ".join(f"contains(h, '{m}')" for m in DRAWN_SHOPS) + ")"
-    empty_shop = f"({drawn} AND CAST({q.count('h', '(?i)/products?/')} AS INT) < {SHOP_LINKS})"
-    challenge = "(" + " OR ".join(f"contains(h, '{m}')" for m in V.CHALLENGE_MARKS) + " OR (contains(h, 'Enable JavaScript') AND length(h) < 10000))"
-    scripted = C.any_of(q, "h", V.SCRIPTED)
+    return {
+        "empty_shop": f"({drawn} AND CAST({q.count('h', '(?i)/products?/')} AS INT) < {SHOP_LINKS})",
+        "challenge": "(" + " OR ".join(f"contains(h, '{m}')" for m in V.CHALLENGE_MARKS) + " OR (contains(h, 'Enable JavaScript') AND length(h) < 10000))",
+        "scripted": C.any_of(q, "h", V.SCRIPTED), "fetched": "CAST(length(h) AS INT)",
+    }
+
+
+def source_columns() -> dict[str, str]:
+    """Which reading of a page is taken, over page_marks(), its answer and how long it is as drawn."""
     ok = "coalesce(status_code BETWEEN 200 AND 399 AND contains(content_type, 'text/html'), false)"
-    longer = "coalesce(length(r) > length(h), false)"
+    lost, better = f"(NOT {ok} OR challenge OR empty_shop)", "(scripted AND coalesce(drawn > fetched, false))"
     return {
-        "empty_shop": empty_shop, "challenge": challenge, "escalated": f"(coalesce(status_code IN (401, 403), false) OR {scripted})",
-        "source": f"CASE WHEN NOT {ok} OR {challenge} OR {empty_shop} THEN CASE WHEN r IS NULL THEN 'none' ELSE 'browser' END WHEN {scripted} AND {longer} THEN 'browser' ELSE 'http' END",
-        "kept": f"CAST(CASE WHEN NOT {ok} OR {challenge} OR {empty_shop} THEN length(r) WHEN {scripted} AND {longer} THEN length(r) ELSE length(h) END AS INT)",
+        "empty_shop": "empty_shop", "challenge": "challenge", "escalated": "(coalesce(status_code IN (401, 403), false) OR scripted)",
+        "source": f"CASE WHEN {lost} THEN CASE WHEN drawn IS NULL THEN 'none' ELSE 'browser' END WHEN {better} THEN 'browser' ELSE 'http' END", "kept": f"CASE WHEN {lost} OR {better} THEN drawn ELSE fetched END",
     }
 
 
 def page_source(spark, sf):
-    """Whether a page is read as it was fetched or as a browser drew it. The rendered page is reduced to its length before it meets the other."""
-    drawn = ingest.read(spark, sf, "renders").select("page_id", F.length("html").alias("n"))
-    fetched = ingest.read(spark, sf, "fetches").select("page_id", "status_code", "content_type")
-    columns = {k: e.replace("length(r)", "n").replace("r IS NULL", "n IS NULL") for k, e in source_columns(SPARK).items()}
-    page = views.pages(spark, sf).join(fetched, "page_id", "left").join(drawn, "page_id", "left")
-    return page_queries.project(page, columns)
+    """Whether a page is read as it was fetched or as a browser drew it. Both are reduced to marks and lengths before they meet."""
+    drawn = ingest.read(spark, sf, "renders").select("page_id", F.length("html").alias("drawn"))
+    page = page_queries.project(views.pages(spark, sf), page_marks(SPARK))
+    df = page.join(ingest.read(spark, sf, "fetches").select("page_id", "status_code", "content_type"), "page_id", "left").join(drawn, "page_id", "left")
+    return page_queries.project(df, source_columns())
 
 
 def page_source_sql() -> str:
-    return page_queries.select(source_columns(DUCK), f"SELECT p.page_id, p.html AS h, r.html AS r, f.status_code, f.content_type FROM pages p LEFT JOIN ({ingest.sql('renders', 'duck')}) r USING (page_id) LEFT JOIN ({ingest.sql('fetches', 'duck')}) f USING (page_id)")
+    marks = page_queries.select(page_marks(DUCK), views.pages_sql())
+    return page_queries.select(source_columns(), f"SELECT m.*, CAST(length(r.html) AS INTEGER) AS drawn, f.status_code, f.content_type FROM ({marks}) m LEFT JOIN ({ingest.sql('renders', 'duck')}) r USING (page_id) LEFT JOIN ({ingest.sql('fetches', 'duck')}) f USING (page_id)")
 
 
 def artifact_store(spark, sf):

@@ -46,7 +46,7 @@ TABLES = {
         ELSE concat('<urlset><url><loc>', url, '</loc></url><url><loc>https://a.example.org/contact/', CAST(page_id AS {text}), '</loc></url><url><loc>https://a.example.org/Contact-Us</loc></url></urlset>') END AS content
         FROM pages CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) v(k) WHERE k <= page_id % 8""",
     "policy_links": """SELECT page_id, policy_type, concat('https://a.example.org/', policy_type) AS url, (page_id + k) % 5 = 0 AS verified_ok FROM pages CROSS JOIN (VALUES (0, 'privacy'), (1, 'refund'), (2, 'terms')) v(k, policy_type)""",
-    "renders": "SELECT page_id, concat(html, '<p>Drawn by a script.</p>') AS html FROM pages",
+    "renders": "SELECT page_id, url, concat(html, '<p>Drawn by a script.</p>') AS html FROM pages",
     "hops": """SELECT page_id, CAST(k AS INT) AS hop, concat(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1), '/hop', CAST(k AS {text})) AS url, CAST(CASE WHEN k < page_id % 13 THEN 302 WHEN page_id % 4 = 3 THEN 500 ELSE 200 END AS INT) AS status_code,
         CASE WHEN k >= page_id % 13 THEN NULL WHEN page_id % 11 = 5 AND k = 1 THEN 'https://far.example.net/' ELSE concat(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1), '/hop', CAST(k + 1 AS {text})) END AS location
         FROM pages CROSS JOIN (VALUES {hops}) v(k) WHERE k <= page_id % 13""",

@@ -41,7 +41,7 @@ def shop(spark, tmp_path_factory):
     spark.createDataFrame([(1, "https://www.shop.example/privacy", 200, "text/html", "https://www.shop.example/privacy", "<title>Ours</title><body>How we treat personal data", None), (1, "https://www.shop.example/returns-policy", 403, "text/html", "https://www.shop.example/returns-policy", "", None),
                            (1, "https://help.shop.example/terms", 200, "text/html", "https://evil.example/terms", "<body>terms of use", None), (1, "https://www.shop.example/terms", 200, None, "https://www.shop.example/terms", "<body><h2>Rules</h2> terms of use", None)],
                           "page_id long, url string, status_code int, content_type string, final_url string, body string, rendered string").write.parquet(f"{path}/policy_fetches.parquet")
-    spark.createDataFrame([], "page_id long, html string").write.parquet(f"{path}/renders.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/renders.parquet")
     return str(path)
 
 

@@ -125,11 +125,11 @@ def test_age_tiers(spark, days, points):
 
 
 @pytest.mark.parametrize("a, b, words, confidence", [
-    ((True, None, "t"), (True, None, "t"), 150, 80), ((False, "robots_disallow", ""), (True, None, "t"), 150, 0), ((False, "challenge_title:just a moment", "t"), (False, "robots", "t"), 150, 0), ((False, "challenge_body:captcha", "t"), (True, None, "t"), 149, 0),
-    ((False, "timeout", "t"), (True, None, "t"), 150, 30), ((True, None, "t"), (True, None, "t"), 10, 60), ((True, None, ""), (True, None, "t"), 150, 50),
+    ((True, None, True), (True, None, True), 150, 80), ((False, "robots_disallow", False), (True, None, True), 150, 0), ((False, "challenge_title:just a moment", True), (False, "robots", True), 150, 0), ((False, "challenge_body:captcha", True), (True, None, True), 149, 0),
+    ((False, "timeout", True), (True, None, True), 150, 30), ((True, None, True), (True, None, True), 10, 60), ((True, None, False), (True, None, True), 150, 50),
 ])
 def test_confidence_of_comparisons(spark, a, b, words, confidence):
-    df = spark.createDataFrame([(*a, *b, words, words)], "a_ok boolean, a_reason string, a_text string, b_ok boolean, b_reason string, b_text string, a_word_count int, b_word_count int")
+    df = spark.createDataFrame([(*a, *b, words, words)], "a_ok boolean, a_reason string, a_has_text boolean, b_ok boolean, b_reason string, b_has_text boolean, a_word_count int, b_word_count int")
     assert df.selectExpr(f"{compare_queries.confidence()} AS x").first().x == confidence
 
 
