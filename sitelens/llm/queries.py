@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, language_id, licences, lm_score, mixing, near_dedup, quality_classifier, quality_rules, topk
+from . import bpe, byte_bpe, html_text, language_id, licences, lm_score, mixing, near_dedup, quality_classifier, quality_rules, resampling, topk
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,6 +23,8 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_resampling": resampling.op11_resampling,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
         "pipeline": pipeline,
     }
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_topk": topk.OP7_SQL,
         "op8_mixing": mixing.OP8_SQL,
+        "op11_resampling": resampling.OP11_SQL,
     }
