@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, byte_bpe, html_text, language_id, licences, lm_score, mixing, near_dedup, quality_classifier, quality_rules, resampling, topk
+from . import bpe, byte_bpe, html_text, language_id, lexical, licences, lm_score, mixing, near_dedup, quality_classifier, quality_rules, resampling, topk
 
 
 def pipeline(spark, sf_dir: str):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op11_resampling": resampling.op11_resampling,
+        "op12_lexical": lexical.op12_lexical,
         "op13_byte_bpe": byte_bpe.op13_byte_bpe,
         "pipeline": pipeline,
     }
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_topk": topk.OP7_SQL,
         "op8_mixing": mixing.OP8_SQL,
         "op11_resampling": resampling.OP11_SQL,
+        "op12_lexical": lexical.OP12_SQL,
     }
