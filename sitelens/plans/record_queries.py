@@ -13,7 +13,7 @@ from ..functions.dialect import DUCK, SPARK
 from ..operators import datapoints, sinks
 from ..operators import relational as R
 from ..sources import ingest, views
-from ..streaming import state
+from ..streaming import state, timers
 from . import compare_queries, dom_queries, page_queries, site_queries
 from .relational_queries import AS_OF, S, scans, t
 
@@ -599,12 +599,34 @@ STATUS_SQL = "SELECT user_id, arg_max(status, (ended, ts, event_id)) AS status,
 
 
 def stream_stale(spark, sf):
-    """Domains whose latest step is older than five minutes at the end of the stream and no end."""
-    df = stream_status(spark, sf)
-    return df.filter(F.col("status").isin("pending", "processing")).select("user_id", (F.col("seen") < F.expr(f"timestamp'{AS_OF}' - interval {RUNNING}")).alias("stale"))
+    """Steps of work that no other followed within five minutes, each with the moment it turned stale; steps whose five minutes
+    the watermark has not passed are still open."""
+    rows = state.appended(spark, timers.work(state.source(spark, sf, "events")))
+    return rows.filter("stale").select(F.col("key").alias("user_id"), "event_id", "status", F.col("at").cast("timestamp_ntz").alias("stale_at"))
 
 
-STALE_SQL = f"SELECT user_id, seen < TIMESTAMP '{AS_OF}' - INTERVAL 5 MINUTES AS stale FROM ({STATUS_SQL}) WHERE status IN ('pending', 'processing')"
+def stream_transitions(spark, sf):
+    """Changes of status of each user's work: a step is one unless the open step has its status; an end or staleness closes the work."""
+    rows = state.appended(spark, timers.work(state.source(spark, sf, "events")))
+    return rows.filter("NOT stale").select(F.col("key").alias("user_id"), "event_id", "status", F.col("at").cast("timestamp_ntz").alias("moment"))
+
+
+def stream_cache(spark, sf):
+    """Requests with the fetch that serves each: one stored within 24 hours, or its own."""
+    rows = state.appended(spark, timers.requests(state.source(spark, sf, "events")))
+    return rows.select(F.col("key").alias("user_id"), "event_id", F.col("stored_at").cast("timestamp_ntz").alias("stored_at"), "fetched")
+
+
+WORK_SQL = f"SELECT scan_id AS event_id, domain_id AS user_id, status, created_at AS moment, lag(status) OVER w AS before, lag(created_at) OVER w AS before_at, lead(created_at) OVER w AS next_at FROM ({views.SCANS}) WINDOW w AS (PARTITION BY domain_id ORDER BY created_at, event_id)"
+STALE_SQL = f"SELECT user_id, event_id, status, moment + INTERVAL 5 MINUTES AS stale_at FROM ({WORK_SQL}) WHERE status IN ('pending', 'processing') AND (next_at - moment > INTERVAL 5 MINUTES OR next_at IS NULL AND moment + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES)"
+TRANSITIONS_SQL = f"SELECT user_id, event_id, status, moment FROM ({WORK_SQL}) WHERE before IS NULL OR before IN ('completed', 'failed') OR moment - before_at > INTERVAL 5 MINUTES OR before <> status"
+CACHE_SQL = """
+WITH RECURSIVE f AS (
+  SELECT user_id, min(ts) AS stored_at FROM events GROUP BY 1
+  UNION ALL SELECT f.user_id, min(e.ts) FROM f JOIN events e ON e.user_id = f.user_id AND e.ts - f.stored_at > INTERVAL 24 HOURS GROUP BY f.user_id, f.stored_at
+), k AS (SELECT e.user_id, event_id, ts, max(stored_at) AS stored_at FROM events e JOIN f ON f.user_id = e.user_id AND stored_at <= ts GROUP BY ALL)
+SELECT user_id, event_id, stored_at, ts = stored_at AS fetched FROM k
+"""
 
 
 def catalogue() -> dict:
@@ -644,4 +666,6 @@ def catalogue() -> dict:
         "signature_store": (signature_store, SIGNATURE_STORE_SQL),
         "stream_status": (stream_status, STATUS_SQL),
         "stream_stale": (stream_stale, STALE_SQL),
+        "stream_transitions": (stream_transitions, TRANSITIONS_SQL),
+        "stream_cache": (stream_cache, CACHE_SQL),
     }
