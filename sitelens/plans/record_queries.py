@@ -10,7 +10,7 @@ from ..functions import registration
 from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
-from ..operators import datapoints, sinks
+from ..operators import datapoints, frontier, sinks
 from ..operators import relational as R
 from ..sources import ingest, views
 from ..streaming import state, timers
@@ -411,22 +411,26 @@ FIRST_PAGES = ["/contact", "/about", "/team", "/company"]
 
 
 def crawl_frontier(spark, sf):
-    """The pages that a crawl of each site takes: its home page, ten that matter, others up to the cap, each once; with what each is."""
-    found = site_queries.sitemap_parse(spark, sf).filter("NOT is_index").groupBy("page_id", "loc").agg(F.min(F.col("pos") * 10000 + F.col("place")).alias("at"))
+    """The pages that a crawl of each site takes: its home page, ten that matter, others up to the cap, each once; with what each is. Addresses come
+    from the sitemaps that discovery fetches: three, and five children of those that are indexes."""
+    found = frontier.discovered(site_queries.sitemap_fetches(spark, sf, frontier.DISCOVERY))
     matters = F.expr(" OR ".join(f"contains(lower(loc), '{p}')" for p in FIRST_PAGES))
-    found = found.withColumn("step", F.when(matters, 1).otherwise(2)).withColumn("k", F.expr("row_number() OVER (PARTITION BY page_id, step ORDER BY at)")).filter(f"step = 2 OR k <= {PRIORITY}")
-    every = t(spark, sf, "pages").select("page_id", F.col("url").alias("loc"), F.lit(0).alias("step"), F.lit(0).alias("at")).unionByName(found.select("page_id", "loc", "step", "at"))
-    once = every.groupBy("page_id", "loc").agg(F.min(F.struct("step", "at")).alias("x")).withColumn("place", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY x.step, x.at)")).filter(F.col("place") <= CRAWLED)
-    kind = F.when(F.col("x.step") == 0, "homepage").when(F.lower("loc").rlike("contact|get-in-touch|reach-us"), "contact_page").otherwise("crawl")
+    found = found.withColumn("step", F.when(matters, 1).otherwise(2)).withColumn("k", F.expr("row_number() OVER (PARTITION BY page_id, step ORDER BY at)")).filter(f"step = 2 AND k < {CRAWLED} OR k <= {PRIORITY}")
+    every = t(spark, sf, "pages").select("page_id", F.col("url").alias("loc"), F.lit(0).alias("step"), F.lit(0).alias("k")).unionByName(found.select("page_id", "loc", "step", "k"))
+    taken = every.withColumn("n", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY step, k)")).filter(F.col("n") <= CRAWLED)
+    once = taken.groupBy("page_id", "loc").agg(F.min("n").alias("n")).withColumn("place", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY n)"))
+    kind = F.when(F.col("n") == 1, "homepage").when(F.lower("loc").rlike("contact|get-in-touch|reach-us"), "contact_page").otherwise("crawl")
     return once.select("page_id", "place", "loc", kind.alias("kind"))
 
 
 def crawl_frontier_sql() -> str:
     matters = " OR ".join(f"contains(lower(loc), '{p}')" for p in FIRST_PAGES)
-    found = f"SELECT page_id, loc, min(pos * 10000 + place) AS seq FROM ({site_queries.sitemap_parse_sql()}) WHERE NOT is_index GROUP BY 1, 2"
-    taken = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, step ORDER BY seq) AS k FROM (SELECT *, CASE WHEN {matters} THEN 1 ELSE 2 END AS step FROM ({found}))) WHERE step = 2 OR k <= {PRIORITY}"
-    every = f"SELECT page_id, url AS loc, 0 AS step, 0 AS seq FROM pages UNION ALL SELECT page_id, loc, step, seq FROM ({taken})"
-    return f"SELECT page_id, place, loc, CASE WHEN o < 100000000 THEN 'homepage' WHEN regexp_matches(lower(loc), 'contact|get-in-touch|reach-us') THEN 'contact_page' ELSE 'crawl' END AS kind FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) AS INTEGER) AS place FROM (SELECT page_id, loc, min(step * 100000000 + seq) AS o FROM ({every}) GROUP BY 1, 2)) WHERE place <= {CRAWLED}"
+    rows = f"SELECT page_id, level * 1000000000 + place * 1000000 + unnest(range(1, len(locs) + 1)) AS seq, unnest(locs) AS loc FROM ({site_queries.sitemap_fetches_sql(True)}) WHERE NOT is_index OR level > 0"
+    found = f"SELECT page_id, loc, min(seq) AS seq, CASE WHEN {matters} THEN 1 ELSE 2 END AS step FROM ({rows}) GROUP BY ALL"
+    ranked = f"SELECT page_id, loc, step, row_number() OVER (PARTITION BY page_id, step ORDER BY seq) AS k FROM ({found})"
+    every = f"SELECT page_id, url AS loc, 0 AS step, 0 AS k FROM pages UNION ALL SELECT page_id, loc, step, k FROM ({ranked}) WHERE step = 2 OR k <= {PRIORITY}"
+    taken = f"SELECT page_id, loc, min(n) AS n FROM (SELECT page_id, loc, row_number() OVER (PARTITION BY page_id ORDER BY step, k) AS n FROM ({every})) WHERE n <= {CRAWLED} GROUP BY 1, 2"
+    return f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) AS INTEGER) AS place, loc, CASE WHEN n = 1 THEN 'homepage' WHEN regexp_matches(lower(loc), 'contact|get-in-touch|reach-us') THEN 'contact_page' ELSE 'crawl' END AS kind FROM ({taken})"
 
 
 def internal_links(spark, sf):

@@ -9,6 +9,7 @@ from ..functions import pages as P
 from ..functions import robots, rules, site
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
+from ..operators import frontier
 from ..sources import ingest
 from .page_queries import named, project, select, texts, with_text
 
@@ -339,12 +340,63 @@ def sitemap_parse(spark, sf):
 
 
 def sitemap_parse_sql() -> str:
-    """The stand-in's first file is an index of one address; every other one has the page, its contact page and another."""
-    first = "SELECT page_id, pos, true AS is_index, 0 AS place, concat('https://a.example.org/', page_id, '/1.xml') AS loc FROM s WHERE pos = 0"
+    """The stand-in's first file is an index of three files; every other one has the page, its contact page and another."""
+    first = "SELECT page_id, pos, true AS is_index, i AS place, concat('https://a.example.org/', page_id, '/sitemap', [1, 3, 4][i + 1], '.xml') AS loc FROM s, (VALUES (0), (1), (2)) w(i) WHERE pos = 0"
     rest = "SELECT page_id, pos, false, i, [url, concat('https://a.example.org/contact/', page_id), 'https://a.example.org/Contact-Us'][i + 1] FROM s JOIN (SELECT page_id, url FROM pages) USING (page_id), (VALUES (0), (1), (2)) w(i) WHERE pos > 0"
     return f"WITH s AS (SELECT page_id, pos FROM ({ingest.sql('sitemaps', 'duck')}) WHERE pos < 5 AND status_code = 200) SELECT page_id, pos, is_index, CAST(place AS INTEGER) AS place, loc, NOT is_index AND regexp_matches(loc, '{V.CONTACT_ADDRESS}') AS contact FROM ({first} UNION ALL {rest})"
 
 
+#: Sitemaps that are tried at the root of every site.
+WELL_KNOWN = ["/sitemap.xml", "/sitemap_index.xml"]
+
+
+def sitemap_fetches(spark, sf, policy: frontier.Policy) -> DataFrame:
+    """The sitemaps of each scan that a policy fetches: those of robots.txt and at well-known places, then the children of indexes."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(KEY, F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]*)", 1).alias("root"))
+    ok = F.coalesce(F.col("status_code").between(200, 399), F.lit(False))
+    discovery = policy is frontier.DISCOVERY
+    df = pages.join(ingest.read(spark, sf, "robots"), KEY, "left").select(KEY, "root", robots.rules(F.when(ok, F.col("content")), robots.DISCOVERY if discovery else robots.LAYERED).alias("rule"))
+    known = F.array(*(F.concat("root", F.lit(p)) for p in WELL_KNOWN))
+    maps = F.coalesce("rule.sitemaps", F.array().cast("array<string>"))
+    urls = F.when(F.size(maps) > 0, maps).otherwise(known) if discovery else F.array_distinct(F.concat(maps, known))
+    may = (lambda url, rule: robots.allowed(F.expr(P.urls(SPARK)["path"]), rule, fold=True)) if discovery else None
+    return frontier.expanded(df.select(KEY, urls.alias("urls"), "rule"), ingest.read(spark, sf, "sitemaps"), policy, may)
+
+
+def sitemap_tree(spark, sf):
+    """The five fetches at most of a scan's sitemaps by level and order, with the entries of each and the addresses kept of it."""
+    return sitemap_fetches(spark, sf, frontier.LAYERED).select(KEY, "level", "place", "url", "status_code", "is_index", "url_count", F.size("locs").alias("n_discovered"), F.array_join("locs", ",").alias("discovered"))
+
+
+def sitemap_fetches_sql(discovery: bool) -> str:
+    """All that a policy fetches, over the stand-ins' tables; robots.txt as worked out above."""
+    well = ", ".join(f"concat(root, '{p}')" for p in WELL_KNOWN)
+    maps = "d_sitemaps" if discovery else "l_sitemaps"
+    listed = f"CASE WHEN {maps} = '' THEN [] ELSE string_split({maps}, ',') END"
+    urls = f"CASE WHEN {maps} = '' THEN [{well}] ELSE string_split({maps}, ',') END" if discovery else f"list_concat({listed}, [{well}])"
+    first = "SELECT page_id, CAST(k AS INTEGER) AS place, url, blocked FROM s" if discovery else "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INTEGER) AS place, url, blocked FROM (SELECT page_id, url, min(k) AS k, any_value(blocked) AS blocked FROM s GROUP BY 1, 2)"
+    index = "len(list_filter(locs, lambda x: contains(x, 'sitemap') AND ends_with(x, '.xml'))) > 0" if discovery else "contains(content, '<sitemapindex')"
+    most, of_index = (3, 2) if discovery else (5, 5)
+    left = "5" if discovery else "5 - n"
+    # Of the files of robots.txt that the stand-in hands out none blocks a sitemap.
+    answer = lambda level, front: f"SELECT f.page_id, {level} AS level, f.place, f.url, a.status_code, coalesce(a.is_index, false) AS is_index, CASE WHEN a.is_index THEN 0 ELSE coalesce(a.n, 0) END AS url_count, coalesce(a.locs, []) AS locs FROM {front} f LEFT JOIN a ON a.page_id = f.page_id AND a.url = f.url"
+    return f"""
+    WITH r AS (SELECT * FROM ({robots_variants_sql()})), p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root FROM pages),
+    s AS (SELECT page_id, unnest(urls) AS url, unnest(range(1, len(urls) + 1)) AS k, false AS blocked FROM (SELECT page_id, {urls} AS urls FROM p JOIN r USING (page_id))),
+    f0 AS (SELECT * FROM ({first}) WHERE place <= {most}),
+    a AS (SELECT page_id, url, status_code, {index} AS is_index, locs, CAST(len(regexp_extract_all(content, '(?i)<url>')) AS INTEGER) AS n FROM (
+      SELECT page_id, url, status_code, CASE WHEN status_code BETWEEN 200 AND 399 THEN content END AS content, list_transform(regexp_extract_all(CASE WHEN status_code BETWEEN 200 AND 399 THEN content END, '(?is)<loc>\s*([^<]+?)\s*</loc>', 1), lambda x: trim(x)) AS locs FROM ({ingest.sql('sitemaps', 'duck')}))),
+    t0 AS ({answer(0, 'f0')}), n AS (SELECT page_id, count(*) AS n FROM f0 GROUP BY 1),
+    c AS (SELECT page_id, place AS parent, unnest(list_slice(locs, 1, {of_index})) AS url, unnest(range(1, len(list_slice(locs, 1, {of_index})) + 1)) AS k FROM t0 WHERE is_index),
+    f1 AS (SELECT page_id, place, url FROM (SELECT page_id, url, {left} AS budget, CAST(row_number() OVER (PARTITION BY page_id ORDER BY parent, k) AS INTEGER) AS place FROM c JOIN n USING (page_id)) WHERE place <= budget),
+    t1 AS ({answer(1, 'f1')})
+    SELECT * FROM t0 UNION ALL SELECT * FROM t1"""
+
+
+def sitemap_tree_sql() -> str:
+    return f"SELECT page_id, CAST(level AS INTEGER) AS level, place, url, status_code, is_index, url_count, CAST(len(list_slice(locs, 1, 100)) AS INTEGER) AS n_discovered, array_to_string(list_slice(locs, 1, 100), ',') AS discovered FROM ({sitemap_fetches_sql(False)})"
+
+
 def catalogue() -> dict:
     """name -> (query, SQL)."""
     return {
@@ -361,4 +413,5 @@ def catalogue() -> dict:
         "contact_pages": (contact_pages, contact_pages_sql()),
         "robots_rules": (robots_variants, robots_variants_sql()),
         "sitemap_parse": (sitemap_parse, sitemap_parse_sql()),
+        "sitemap_tree": (sitemap_tree, sitemap_tree_sql()),
     }

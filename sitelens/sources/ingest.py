@@ -41,8 +41,8 @@ TABLES = {
     "registration": """SELECT page_id, CASE WHEN page_id % 7 <> 2 THEN AS_OF - (page_id * 37 % 1500) * 86400 - 60 END AS registered_at, CASE WHEN page_id % 7 <> 2 THEN AS_OF + 90 * 86400 END AS expires_at,
         CASE WHEN page_id % 7 <> 2 THEN 'Example Registrar' END AS registrar, CASE page_id % 7 WHEN 2 THEN 'Could not parse dates from WHOIS output' END AS error, CASE page_id % 7 WHEN 2 THEN NULL WHEN 3 THEN 'whois' ELSE 'rdap' END AS source FROM pages""",
     "robots": "SELECT page_id, CAST(CASE page_id % 11 WHEN 3 THEN 404 ELSE 200 END AS INT) AS status_code, CASE page_id % {n} {files} END AS content FROM pages",
-    "sitemaps": """SELECT page_id, CAST(k AS INT) AS pos, concat('https://a.example.org/', CAST(page_id AS {text}), '/', CAST(k AS {text}), '.xml') AS url, CAST(CASE (page_id + k) % 4 WHEN 1 THEN 404 ELSE 200 END AS INT) AS status_code,
-        CASE k WHEN 0 THEN concat('<sitemapindex><sitemap><loc> https://a.example.org/', CAST(page_id AS {text}), '/1.xml </loc></sitemap></sitemapindex>')
+    "sitemaps": """SELECT page_id, CAST(k AS INT) AS pos, CASE k WHEN 0 THEN concat(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1), '/sitemap.xml') WHEN 2 THEN concat(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1), '/sitemap_index.xml') ELSE concat('https://a.example.org/', CAST(page_id AS {text}), '/sitemap', CAST(k AS {text}), '.xml') END AS url, CAST(CASE (page_id + k) % 4 WHEN 1 THEN 404 ELSE 200 END AS INT) AS status_code,
+        CASE k WHEN 0 THEN concat('<sitemapindex><sitemap><loc> https://a.example.org/', CAST(page_id AS {text}), '/sitemap1.xml </loc></sitemap><sitemap><loc>https://a.example.org/', CAST(page_id AS {text}), '/sitemap3.xml</loc></sitemap><sitemap><loc>https://a.example.org/', CAST(page_id AS {text}), '/sitemap4.xml</loc></sitemap></sitemapindex>')
         ELSE concat('<urlset><url><loc>', url, '</loc></url><url><loc>https://a.example.org/contact/', CAST(page_id AS {text}), '</loc></url><url><loc>https://a.example.org/Contact-Us</loc></url></urlset>') END AS content
         FROM pages CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) v(k) WHERE k <= page_id % 8""",
     "policy_links": """SELECT page_id, policy_type, concat('https://a.example.org/', policy_type) AS url, (page_id + k) % 5 = 0 AS verified_ok FROM pages CROSS JOIN (VALUES (0, 'privacy'), (1, 'refund'), (2, 'terms')) v(k, policy_type)""",
