@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
@@ -10,7 +10,7 @@ from ..functions import registration
 from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
-from ..operators import datapoints, frontier, sinks
+from ..operators import datapoints, frontier, nested, sinks
 from ..operators import relational as R
 from ..sources import ingest, views
 from ..streaming import state, timers
@@ -222,6 +222,74 @@ def domain_detail_sql() -> str:
     return f"SELECT c_custkey AS domain_id, c_name AS name, c_acctbal < 0 AS flagged, {', '.join(f'coalesce({n}, {chr(39) * 2}) AS {n}' for n in parts)} FROM customer {joins}"
 
 
+#: Rows of a page of domains, and where it begins: after the domain that was checked then.
+PAGE, AFTER = 50, ("2001-03-01 00:00:00", 1 << 40)
+
+
+def checked_domains(spark, sf) -> DataFrame:
+    """Domains with the moment of their last scan; null without any."""
+    last = t(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_checked"))
+    domains = t(spark, sf, "customer").select(F.col("c_custkey").alias("domain_id"), F.col("c_name").alias("name"))
+    return domains.join(last, F.col("domain_id") == F.col("o_custkey"), "left").drop("o_custkey")
+
+
+def domain_relations(spark, sf, scans: int, inputs: int, details: bool) -> list[nested.Relation]:
+    """Scans of a domain with their logs and signals, its latest data points, inputs and notes."""
+    orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    lines = t(spark, sf, "lineitem")
+    below = [
+        nested.Relation("logs", lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_orderkey", [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")], ["l_linenumber", "l_returnflag"], SHOWN["logs"]),
+        nested.Relation("signals", lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_linestatus"), "l_orderkey", [F.asc("l_shipdate"), F.asc("l_partkey"), F.asc("l_suppkey")], ["l_linenumber", "l_linestatus"], SHOWN["logs"]),
+    ]
+    events = t(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    points = R.latest_per_key(events, ["user_id", "event_type"], "ts", "event_id")
+    notes = t(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.length("text").alias("n"))
+    out = [
+        nested.Relation("scans", orders, "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], ["o_orderkey", "o_orderstatus"], scans, "o_orderkey", below if details else []),
+        nested.Relation("points", points, "user_id", [F.asc("event_type")], ["event_type", "event_id"]),
+        nested.Relation("inputs", events.filter("event_type = 'click'"), "user_id", [F.desc("ts"), F.desc("event_id")], ["event_id"], inputs),
+    ]
+    return out + [nested.Relation("notes", notes, "conv_id", [F.desc("turn"), F.desc("n")], ["turn", "n"])] * details
+
+
+def as_text(name: str, item) -> Column:
+    """An array of structs as text: items by commas."""
+    return F.array_join(F.transform(name, item), ",").alias(name)
+
+
+def domain_page(spark, sf):
+    """A page of domains, the last checked first, each with ten scans and their logs and signals, data points, inputs and notes."""
+    rows = nested.cursor_list(checked_domains(spark, sf), "last_checked", "domain_id", AFTER, PAGE, domain_relations(spark, sf, SHOWN["scans"], SHOWN["inputs"], True))
+    part = lambda a, b: lambda x: F.concat_ws(":", x[a].cast("string"), x[b].cast("string"))
+    logs = lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"], F.array_join(F.transform(x["logs"], part("l_linenumber", "l_returnflag")), "+"), F.array_join(F.transform(x["signals"], part("l_linenumber", "l_linestatus")), "+"))
+    return rows.select("place", "domain_id", "name", "has_more", "next_cursor", as_text("scans", logs), as_text("points", part("event_type", "event_id")), as_text("inputs", lambda x: x["event_id"].cast("string")), as_text("notes", part("turn", "n")))
+
+
+def domain_list(spark, sf):
+    """The first page of the list of domains: the latest scan, five inputs and the data points of each."""
+    rows = nested.cursor_list(checked_domains(spark, sf), "last_checked", "domain_id", None, 100, domain_relations(spark, sf, 1, 5, False))
+    part = lambda a, b: lambda x: F.concat_ws(":", x[a].cast("string"), x[b].cast("string"))
+    return rows.select("place", "domain_id", "name", "has_more", "next_cursor", as_text("scans", part("o_orderkey", "o_orderstatus")), as_text("points", part("event_type", "event_id")), as_text("inputs", lambda x: x["event_id"].cast("string")))
+
+
+def domain_page_sql(after: tuple | None, size: int, scans: int, inputs: int, details: bool) -> str:
+    begin = f"WHERE last_checked < TIMESTAMP '{after[0]}' OR last_checked = TIMESTAMP '{after[0]}' AND domain_id < {after[1]}" if after else ""
+    listed = lambda name, key, text, source, order, k: f"{name} AS (SELECT {key} AS id, string_agg({text}, ',' ORDER BY k) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k FROM {source}) WHERE k <= {k} GROUP BY 1)"
+    lines = lambda name, text, order: f"{name} AS (SELECT l_orderkey, string_agg({text}, '+' ORDER BY k) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS k FROM lineitem) WHERE k <= {SHOWN['logs']} GROUP BY 1)"
+    text = "concat_ws(':', o_orderkey, o_orderstatus, coalesce(logs, ''), coalesce(signals, ''))" if details else "concat_ws(':', o_orderkey, o_orderstatus)"
+    parts = {
+        "scans": listed("scans", "o_custkey", text, "(SELECT * FROM orders LEFT JOIN logs ON logs.l_orderkey = o_orderkey LEFT JOIN signals ON signals.l_orderkey = o_orderkey)", "o_orderdate DESC, o_orderkey DESC", scans),
+        "points": listed("points", "user_id", "event_type || ':' || event_id", "(SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2)", "event_type", 1 << 40),
+        "inputs": listed("inputs", "user_id", "CAST(event_id AS VARCHAR)", "(SELECT * FROM events WHERE event_type = 'click')", "ts DESC, event_id DESC", inputs),
+    } | ({"notes": listed("notes", "conv_id", "concat_ws(':', turn, length(text))", "(SELECT * FROM conversations WHERE role = 'user')", "turn DESC, length(text) DESC", 1 << 40)} if details else {})
+    return f"""
+    WITH d AS (SELECT c_custkey AS domain_id, c_name AS name, max(o_orderdate) AS last_checked FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+    p AS (SELECT *, CAST(row_number() OVER (ORDER BY last_checked DESC NULLS FIRST, domain_id DESC) AS INTEGER) AS place, count(*) OVER () > {size} AS has_more FROM d {begin}),
+    {lines("logs", "concat_ws(':', l_linenumber, l_returnflag)", "l_linenumber, l_partkey, l_suppkey")}, {lines("signals", "concat_ws(':', l_linenumber, l_linestatus)", "l_shipdate, l_partkey, l_suppkey")}, {", ".join(parts.values())}
+    SELECT place, domain_id, name, has_more, CASE WHEN has_more THEN last(domain_id) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS next_cursor, {", ".join(f"coalesce({n}, '') AS {n}" for n in parts)}
+    FROM (SELECT * FROM p WHERE place <= {size}) p {" ".join(f"LEFT JOIN {n} ON {n}.id = domain_id" for n in parts)}"""
+
+
 #: Scans that a batch takes: as asked, fifty at most, ten where nothing is asked.
 def batch_size(asked: int | None = None) -> int:
     return min(asked if asked is not None else 10, 50)
@@ -644,6 +712,8 @@ def catalogue() -> dict:
         "cached_artifacts": (cached_artifacts, cached_artifacts_sql()),
         "dashboard_totals": (dashboard_totals, dashboard_totals_sql()),
         "domain_detail": (domain_detail, domain_detail_sql()),
+        "domain_page": (domain_page, domain_page_sql(AFTER, PAGE, SHOWN["scans"], SHOWN["inputs"], True)),
+        "domain_list": (domain_list, domain_page_sql(None, 100, 1, 5, False)),
         "batch_outcomes": (batch_outcomes, BATCH_SQL),
         "history_page": (history_page, HISTORY_SQL),
         "offer_page": (offer_page, OFFER_SQL),
