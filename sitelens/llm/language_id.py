@@ -3,7 +3,7 @@
 A text's subwords are the runs of 2, 3 and 4 letters (as UTF-8 bytes, lower case, a space at either
 end of a word); each is hashed to a row of an embedding table, the rows are averaged and a softmax
 over the languages reads the average. Table and softmax are trained by stochastic gradient descent
-in numpy on a sample of the labelled rows of every language, about SAMPLE of each at most, in one task
+in numpy on a sample of the labelled rows of every language, SAMPLE of each at most, in one task
 that keeps the sample's bags on its disk; a temperature and a rejection threshold are fitted on a part
 of the sample that training doesn't see. A prediction is rejected when its
 calibrated probability is under the threshold.
@@ -25,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_mod, fresh, small_batches, table
 
-#: Labelled rows that are learned from, per language on average; all rows where there are fewer.
-SAMPLE = 1000
+#: Labelled rows that are learned from, of a language at most and in all; all rows where there are fewer.
+SAMPLE, MOST = 1000, 200_000
+#: Languages up to which their counts are broadcast (a name and a number each); more are joined.
+SENT = 10_000
 #: Rows of the sample that are calibrated on at a time.
 CALIBRATED = 1024
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 16, 6, 0.3, 7
@@ -171,27 +174,38 @@ def train(rows: Sequence[tuple[str, np.ndarray, np.ndarray]], languages: Sequenc
     return model
 
 
-def fit(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -> Model:
-    """Learns from text and lang of a sample of docs (doc_id, text, lang) of at most SAMPLE rows a language on average.
+def sample(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -> DataFrame:
+    """(lang, at, counts): the bags of SAMPLE rows at most of every language, and of MOST rows in all where languages are many.
 
-    The sample is drawn by a hash of the row, so that no language is gathered in one task; the sample itself is.
+    Rows are drawn by a number that is each row's own, whatever its id and text: somewhat more than are needed first, row by row, so that
+    little is shuffled, then the first ones of each language.
     """
-    small_batches(spark)
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(F.col("text").rlike(r"\p{L}"))
     known = known.filter(may_learn) if may_learn is not None else known
-    counts = known.groupBy("lang").agg(F.least(F.lit(1.0), SAMPLE / F.count("*")).alias("chance"))
-    known = known.join(F.broadcast(counts), "lang")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("chance") * 1_000_000
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    each = max(1, min(SAMPLE, MOST // max(languages, 1)))
+    counts = counts.select("lang", F.least(F.lit(1.0), (1.5 * each + 50) / F.col("n")).alias("chance"))
+    known = known.join(F.broadcast(counts) if languages <= SENT else counts, "lang")
+    own = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(SEED)), F.lit(1 << 40))
+    known = known.select("lang", own.alias("draw"), "text", "chance").filter(F.col("draw") < F.col("chance") * (1 << 40))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, *bag(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(text)]
+            rows = [(lang, *bag(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in (1, 2))],
-                names=["lang", "at", "counts"],
+                [batch.column(0), batch.column(1), *(pa.array([r[k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in (1, 2))],
+                names=["lang", "draw", "at", "counts"],
             )
 
-    sample = known.filter(drawn).select("lang", "text").mapInArrow(run, "lang string, at array<int>, counts array<int>")
+    bags_ = known.select("lang", "draw", "text").mapInArrow(run, "lang string, draw long, at array<int>, counts array<int>")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    return bags_.withColumn("place", place).filter(F.col("place") <= each).select("lang", "at", "counts")
+
+
+def fit(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -> Model:
+    """Learns from text and lang of a sample of docs (doc_id, text, lang); see sample()."""
+    small_batches(spark)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Spool(r for batch in batches if len(batch) for r in bags(batch))
@@ -199,7 +213,7 @@ def fit(spark: SparkSession, docs: DataFrame, may_learn: Column | None = None) -
             model = train(rows, [r[0] for r in rows.rows])
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    found = sample(spark, docs, may_learn).repartition(1).mapInArrow(learn, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else train([], [])
 
 

@@ -58,10 +58,10 @@ def gains(docs: DataFrame, target: DataFrame, length: int = LENGTH) -> list[int]
     for name, df in (("s", docs), ("t", target)):
         both = both.join(totals(df, length).withColumnRenamed("n", name), "bucket", "left")
     both = both.select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in "st"))
-    # BUCKETS rows: the sums over them are one row.
-    sums = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
+    # BUCKETS rows, so one task sums them.
+    both = both.withColumns({f"all_{c}": F.sum(c).over(W.partitionBy()) for c in "st"})
     ratio = (F.col("t") + 1) * (F.col("all_s") + BUCKETS) / ((F.col("s") + 1) * (F.col("all_t") + BUCKETS))
-    rows = both.crossJoin(F.broadcast(sums)).select("bucket", F.floor(SCALE * F.log(ratio)).cast("long").alias("gain")).collect()
+    rows = both.select("bucket", F.floor(SCALE * F.log(ratio)).cast("long").alias("gain")).collect()
     return [r.gain for r in sorted(rows)]
 
 
