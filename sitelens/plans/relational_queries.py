@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators import relational as R
 from ..sources import views
 from ..streaming import state
@@ -156,6 +157,44 @@ def cascade_delete(spark, sf):
     return reduce(DataFrame.unionAll, (one(df, name) for name, df in tables.items()))
 
 
+#: Which table refers to which: the graph that a delete follows.
+GRAPH = [
+    graph.Edge("nation", "n_regionkey", "region", "r_regionkey"),
+    graph.Edge("customer", "c_nationkey", "nation", "n_nationkey"),
+    graph.Edge("supplier", "s_nationkey", "nation", "n_nationkey", graph.SET_NULL),
+    graph.Edge("orders", "o_custkey", "customer", "c_custkey"),
+    graph.Edge("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    graph.Edge("events", "user_id", "customer", "c_custkey"),
+    graph.Edge("conversations", "conv_id", "customer", "c_custkey"),
+    graph.Edge("documents", "doc_id", "customer", "c_custkey"),
+    graph.Edge("labels", "doc_id", "documents", "doc_id"),
+    graph.Edge("embeddings", "vec_id", "documents", "doc_id"),
+    graph.Edge("embeddings", "label", "region", "r_regionkey"),
+]
+
+
+def cascade_graph(spark, sf):
+    """Every table after a region is deleted with all that refers to it: rows that stay and go, and references that became null."""
+    names = ["region", *dict.fromkeys(e.child for e in GRAPH)]
+    tables = {name: t(spark, sf, name) for name in names}
+    after = graph.deleted(tables, GRAPH, "region", tables["region"].filter("r_name = 'ASIA'"))
+    nulled = {e.child: e.column for e in GRAPH if e.action == graph.SET_NULL}
+    one = lambda df, kind, name: df.agg(F.count("*").alias("n"), (F.count_if(F.col(nulled[name]).isNull()) if name in nulled else F.lit(0).cast("long")).alias("nulls")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n", "nulls")
+    return reduce(DataFrame.unionAll, (one(df, kind, name) for name, both in after.items() for kind, df in zip(("stays", "goes"), both)))
+
+
+CASCADE_GRAPH_SQL = """
+WITH r AS (SELECT r_regionkey FROM region WHERE r_name = 'ASIA'), n AS (SELECT n_nationkey FROM nation WHERE n_regionkey IN (FROM r)),
+c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n)), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c)), d AS (SELECT doc_id FROM documents WHERE doc_id IN (FROM c)),
+x AS (
+  SELECT 'region' AS name, r_regionkey IN (FROM r) AS gone, 0 AS nulls FROM region UNION ALL SELECT 'nation', n_regionkey IN (FROM r), 0 FROM nation UNION ALL SELECT 'customer', c_nationkey IN (FROM n), 0 FROM customer
+  UNION ALL SELECT 'supplier', false, CASE WHEN s_nationkey IN (FROM n) OR s_nationkey IS NULL THEN 1 ELSE 0 END FROM supplier UNION ALL SELECT 'orders', o_custkey IN (FROM c), 0 FROM orders UNION ALL SELECT 'lineitem', l_orderkey IN (FROM o), 0 FROM lineitem
+  UNION ALL SELECT 'events', user_id IN (FROM c), 0 FROM events UNION ALL SELECT 'conversations', conv_id IN (FROM c), 0 FROM conversations UNION ALL SELECT 'documents', doc_id IN (FROM c), 0 FROM documents
+  UNION ALL SELECT 'labels', doc_id IN (FROM d), 0 FROM labels UNION ALL SELECT 'embeddings', coalesce(vec_id IN (FROM d), false) OR coalesce(label IN (FROM r), false), 0 FROM embeddings)
+SELECT name, kind, count(*) FILTER (WHERE coalesce(gone, false) = (kind = 'goes')) AS n, CAST(coalesce(sum(nulls) FILTER (WHERE coalesce(gone, false) = (kind = 'goes')), 0) AS BIGINT) AS nulls FROM x, (VALUES ('stays'), ('goes')) k(kind) GROUP BY name, kind
+"""
+
+
 def hash_dupes(spark, sf):
     df = t(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     return df.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
@@ -209,6 +248,7 @@ def catalogue() -> dict:
         "nested_history": (nested_history, f"SELECT domain_id, string_agg(scan_id || ':' || status, ',' ORDER BY k) AS history FROM ({STARS}) WHERE k <= 3 GROUP BY 1"),
         "state_pivot": (state_pivot, "WITH p AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1) SELECT *, CASE WHEN error > 0 AND purchase > 0 THEN 'completed' WHEN error > 0 THEN 'failed' ELSE 'pending' END AS effective FROM p"),
         "cascade_delete": (cascade_delete, "WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) SELECT 'customer' AS name, count(*) AS n FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) UNION ALL SELECT 'events', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE conv_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
+        "cascade_graph": (cascade_graph, CASCADE_GRAPH_SQL),
         "page_hash_dupes": (hash_dupes, "SELECT sha256(coalesce(text, '')) AS sha, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1"),
         "notes_split": (notes_split, "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS asked, count(*) FILTER (WHERE role <> 'user') AS answered, arg_max(length(text), turn) FILTER (WHERE role = 'assistant') AS last_length FROM conversations GROUP BY 1"),
         "stream_latest": (stream_latest, LATEST),
