@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
-from ..functions import registration
+from ..functions import registration, requests
 from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
@@ -659,6 +661,48 @@ def signature_store(spark, sf):
 SIGNATURE_STORE_SQL = r"SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, 55::BIGINT AS n, l.doc_id IS NULL AS is_new FROM (SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '\S')) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"
 
 
+# ---- requests
+
+
+def request_checks(spark, sf):
+    """Requests made of the tables' rows, each against its schema: new scans of pages and of names that are no address, notes of turns, lists
+    of offers by what events ask for, flags of labels, comparisons of sources and languages. What is right, else path and code of each error."""
+    body = lambda df, kind, key, schema, **fields: df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), requests.body(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))), schema).alias("r"))
+    pages = t(spark, sf, "pages").select(F.col("page_id").alias("id"), "url").unionAll(t(spark, sf, "customer").select("c_custkey", "c_name"))
+    source = F.element_at(F.array(*map(F.lit, ("search", "api", "web"))), (F.col("id") % 3 + 1).cast("int"))
+    turns, labels, docs = (t(spark, sf, x) for x in ("conversations", "labels", "documents"))
+    note = F.when(F.col("role") == "user", "note").when(F.col("role") == "assistant", "review").otherwise(F.col("role"))
+    events = t(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    given = F.create_map(F.lit("page"), F.col("k"), F.lit("pageSize"), F.col("event_id").cast("string"), F.lit("minConfidence"), F.floor("value").cast("string"), F.lit("sortBy"), F.when(F.col("event_type") == "view", "title").when(F.col("event_type") == "click", "").otherwise(F.col("event_type")))
+    rows = [
+        body(pages, "new_scan", "id", requests.NEW_SCAN, url=F.col("url"), source=source),
+        body(turns, "note", "turn", requests.NEW_NOTE, content=F.when(F.col("turn") % 4 > 0, F.col("text")), type=note, riskDecision=F.when(F.col("turn") % 2 == 0, "risky")),
+        body(turns, "note_change", "turn", requests.NOTE_CHANGE, content=F.col("text")),
+        body(labels, "flag", "doc_id", requests.RISK_FLAG, isRisky=F.col("toxic") == 1), body(labels, "flag_as_number", "doc_id", requests.RISK_FLAG, isRisky=F.col("toxic")),
+        body(docs, "comparison", "doc_id", requests.COMPARISON, urlA=F.col("source"), urlB=F.col("lang")),
+        events.select(F.lit("offers").alias("kind"), F.col("event_id").alias("id"), requests.parameters(given, requests.OFFERS).alias("r")),
+    ]
+    text = lambda r: F.array_join(F.transform(r["errors"], lambda e: F.concat_ws(":", e["path"], e["code"])), ",")
+    shown = [df.select("kind", "id", F.col("r.ok").alias("ok"), text(F.col("r")).alias("errors"), F.to_json("r.value").alias("value")) for df in rows]
+    out = reduce(DataFrame.unionAll, shown)
+    return out.groupBy("kind", "ok", "errors").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count("value").alias("values"))
+
+
+REQUEST_SQL = """
+WITH i AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT c_custkey, c_name FROM customer),
+x AS (
+  SELECT 'new_scan' AS kind, id, [CASE WHEN NOT regexp_matches(lower(url), '^https?://[^/?#]+') THEN 'url:invalid_format' END, CASE WHEN id % 3 = 2 THEN 'source:invalid_value' END] AS e FROM i
+  UNION ALL SELECT 'note', turn, CASE WHEN turn % 4 > 0 AND length(text) > 5000 OR role NOT IN ('user', 'assistant') THEN [CASE WHEN turn % 4 > 0 AND length(text) > 5000 THEN 'content:too_big' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'type:invalid_value' END]
+    ELSE [CASE WHEN NOT CASE role WHEN 'user' THEN turn % 4 > 0 AND coalesce(text, '') <> '' ELSE turn % 2 = 0 END THEN ':custom' END] END FROM conversations
+  UNION ALL SELECT 'note_change', turn, [CASE WHEN text IS NULL THEN 'content:invalid_type' WHEN text = '' THEN 'content:too_small' WHEN length(text) > 5000 THEN 'content:too_big' END] FROM conversations
+  UNION ALL SELECT 'flag', doc_id, [CASE WHEN toxic IS NULL THEN 'isRisky:invalid_type' END] FROM labels UNION ALL SELECT 'flag_as_number', doc_id, ['isRisky:invalid_type'] FROM labels
+  UNION ALL SELECT 'comparison', doc_id, [CASE WHEN source IS NULL THEN 'urlA:invalid_type' WHEN source = '' THEN 'urlA:too_small' END, CASE WHEN lang IS NULL THEN 'urlB:invalid_type' WHEN lang = '' THEN 'urlB:too_small' END] FROM documents
+  UNION ALL SELECT 'offers', event_id, [CASE WHEN CAST(props ->> '$.k' AS BIGINT) < 1 THEN 'page:too_small' END, CASE WHEN event_id < 1 THEN 'pageSize:too_small' WHEN event_id > 100 THEN 'pageSize:too_big' END,
+    CASE WHEN floor(value) < 0 THEN 'minConfidence:too_small' WHEN floor(value) > 100 THEN 'minConfidence:too_big' END, CASE WHEN event_type NOT IN ('view', 'click') THEN 'sortBy:invalid_value' END] FROM events)
+SELECT kind, errors = '' AS ok, errors, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, count(*) FILTER (WHERE errors = '') AS values FROM (SELECT kind, id, array_to_string(list_filter(e, lambda y: y IS NOT NULL), ',') AS errors FROM x) GROUP BY ALL
+"""
+
+
 # ---- streams
 
 
@@ -738,6 +782,7 @@ def catalogue() -> dict:
         "stored_runs": (stored_runs, STORED_SQL),
         "comparison_readback": (comparison_readback, comparison_readback_sql()),
         "signature_store": (signature_store, SIGNATURE_STORE_SQL),
+        "request_checks": (request_checks, REQUEST_SQL),
         "stream_status": (stream_status, STATUS_SQL),
         "stream_stale": (stream_stale, STALE_SQL),
         "stream_transitions": (stream_transitions, TRANSITIONS_SQL),
