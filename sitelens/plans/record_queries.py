@@ -12,7 +12,7 @@ from ..functions import registration, requests
 from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
-from ..operators import datapoints, frontier, nested, sinks
+from ..operators import datapoints, frontier, keyed_store, nested, sinks
 from ..operators import relational as R
 from ..sources import ingest, views
 from ..streaming import state, timers
@@ -651,14 +651,45 @@ def comparison_readback_sql() -> str:
     return f"{compare_queries.compared_sql()} SELECT a, b, overall, text_score, dom_score, confidence, 5 AS n, concat_ws('|', reason_1, reason_2, reason_3, reason_4, reason_5) AS reasons FROM (SELECT *, {reasons} FROM m)"
 
 
+def new_store(spark, kind: str, key: str, columns: str) -> keyed_store.KeyedStore:
+    at = state.folder(spark)
+    return keyed_store.KeyedStore(spark, f"{kind}_{at.rpartition('-')[2]}", at, key, columns, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def signature_store(spark, sf):
-    """The signature of each document: the stored one where there is one, else a new one; here every stored one has 55 numbers."""
-    new = compare_queries.text_signature(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by("value", F.struct(F.col("place") == 0)).alias("words"))
-    old = t(spark, sf, "labels").groupBy("doc_id").agg(F.lit(compare_queries.SIGNATURE).cast("long").alias("stored"))
-    return new.join(old, "doc_id", "full").select("doc_id", F.coalesce("stored", "n").alias("n"), F.col("stored").isNull().alias("is_new"))
+    """Signatures by the hash of the text: those of labelled documents are stored first, then all documents ask for theirs, and only
+    texts that are not stored are computed."""
+    docs = t(spark, sf, "documents").select("doc_id", "text").filter(F.col("text").rlike(r"\S")).withColumn("text_sha256", F.sha2("text", 256))
+    store = new_store(spark, "signatures", "text_sha256", "signature ARRAY<DOUBLE>")
+    compute = lambda df: compare_queries.signatures(df).select("text_sha256", "signature")
+    store.ensure(docs.join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("text_sha256", "text"), compute)
+    out = store.get_or_create(docs, ["text"], compute)
+    total = F.aggregate(F.transform("signature", lambda x: F.round(x, 6)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("doc_id", F.size("signature").alias("n"), F.round(total, 4).alias("total"), "reused")
+
+
+SIGNATURE_STORE_SQL = f"""
+WITH g AS ({compare_queries.SIGNATURE_SQL}), d AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE regexp_matches(text, '\S'))
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n, round(sum(value), 4) AS total, any_value(sha) IN (SELECT sha FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) AS reused FROM g JOIN d USING (doc_id) GROUP BY doc_id
+"""
+
+
+def artifact_cache(spark, sf):
+    """Pages by the hash of their html: those that have a label are stored first; then all ask for their cut text and its hash, and only unknown html
+    is stripped."""
+    pages = t(spark, sf, "pages").select("page_id", F.col("html").alias("h")).withColumn("html_sha256", F.sha2("h", 256))
+    store = new_store(spark, "artifacts", "html_sha256", "html_kept INT, text_kept INT, text_sha256 STRING")
+
+    def compute(df: DataFrame) -> DataFrame:
+        df = df.withColumn("t", F.expr(P.plain(SPARK)))
+        return df.select("html_sha256", F.length(F.substring("h", 1, V.STORED_HTML)).alias("html_kept"), F.length(F.substring("t", 1, V.STORED_TEXT)).alias("text_kept"), F.sha2("t", 256).alias("text_sha256"))
+
+    store.ensure(pages.join(t(spark, sf, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi").select("html_sha256", "h"), compute)
+    return store.get_or_create(pages, ["h"], compute).select("page_id", "html_kept", "text_kept", "text_sha256", "reused")
 
 
-SIGNATURE_STORE_SQL = r"SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, 55::BIGINT AS n, l.doc_id IS NULL AS is_new FROM (SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '\S')) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id"
+def artifact_cache_sql() -> str:
+    return f"SELECT page_id, html_kept, text_kept, text_sha256, html_sha256 IN (SELECT sha256(html) FROM pages WHERE page_id IN (SELECT doc_id FROM labels)) AS reused FROM ({artifact_store_sql()})"
 
 
 # ---- requests
@@ -782,6 +813,7 @@ def catalogue() -> dict:
         "stored_runs": (stored_runs, STORED_SQL),
         "comparison_readback": (comparison_readback, comparison_readback_sql()),
         "signature_store": (signature_store, SIGNATURE_STORE_SQL),
+        "artifact_cache": (artifact_cache, artifact_cache_sql()),
         "request_checks": (request_checks, REQUEST_SQL),
         "stream_status": (stream_status, STATUS_SQL),
         "stream_stale": (stream_stale, STALE_SQL),
