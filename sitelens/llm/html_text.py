@@ -3,7 +3,8 @@
 A page is parsed into a tree of block elements (inline markup belongs to the block around it; links
 are counted) by a scanner that passes each character a bounded number of times. Parts that are no article by their
 element, by being hidden or by a whole token of their class, id or role are taken out with all below
-them: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments. Where only the
+them: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments. Inline elements and formulas
+are text whatever their class, unless they are hidden. Where only the
 first or last word of a token says so, or the part stands in an article or main element and its token may
 name a subject too, density decides: it is taken out if it is mostly links or less dense than the page,
 unless it holds most of the page's text. Each remaining node has a composite text density: characters per
@@ -38,21 +39,24 @@ from ..functions.markup import RawEnds, attributes, tags
 from .common import small_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 #: Their content is text up to their own end tag, and no article.
 RAW = frozenset("script style noscript template iframe textarea title xmp noframes noembed".split())
 #: Elements that hold no article, and words in class, id or role that say so.
-DROPPED = RAW | frozenset("head nav header footer aside form button select option input object embed applet svg math canvas audio video dialog menu".split())
+DROPPED = RAW | frozenset("head nav header footer aside form button select option input object embed applet svg canvas audio video dialog menu".split())
 WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside comment comments commentlist disqus reply replies respond"
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs footer header masthead share sharing social"
     " related recommended newsletter subscribe subscription signup login search toolbar pagination pager widget skip contentinfo complementary search dialog".split()
 )
 #: Those of them that name no subject of an article: a part with such a token is taken out wherever it stands.
-NEVER = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsored comments commentlist disqus replies cookie cookies consent gdpr navbar breadcrumb breadcrumbs pagination pager newsletter contentinfo".split())
+NEVER = frozenset("ad ads adbox advert adverts advertisement advertising adsense sponsored comments commentlist disqus replies navbar breadcrumb breadcrumbs pagination pager newsletter contentinfo".split())
 #: Words that make such a token together with them, as in `comment-list`, and those that need another.
 PARTS = frozenset("list area section container banner box bar slot block unit links items notice popup form buttons".split())
-CLEAR = NEVER | frozenset("comment reply respond subscribe signup promo".split())
+CLEAR = NEVER | frozenset("comment reply respond subscribe signup promo cookie cookies consent gdpr".split())
 CONTAINERS = frozenset(("article", "main"))
 #: An open element of the key ends where one of the elements begins.
 CLOSED_BY = {
@@ -87,14 +91,21 @@ class Node:
         self.inside = self.dropped = self.holds = False
 
 
+def hidden(name: str, value: str) -> bool:
+    return bool(name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value))
+
+
 def unwanted(tag: str, text: str) -> int:
+    """Inline elements belong to the text around them whatever their class; only hiding takes them out."""
+    if tag in INLINE:
+        return SURE if any(hidden(*x) for x in attributes(text)) else NONE
     if tag in CONTAINERS or tag in ("html", "body"):
         return NONE
     if tag in DROPPED:
         return SURE
     found = NONE
     for name, value in attributes(text):
-        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+        if hidden(name, value):
             return SURE
         if name in ("class", "id", "role"):
             for token in value.split():
@@ -159,7 +170,7 @@ def parse(page: str) -> Node:
         elif tag in INLINE:
             if tag == "img":
                 add(" ")
-            elif not end and (level := unwanted(tag, text)) >= TOKEN and not alone:
+            elif not end and (level := unwanted(tag, text)) and not alone:
                 child = Node(tag, node, level, bool(link))
                 node.children.append(child)
                 enter(child)
