@@ -89,6 +89,9 @@ def assembled(q, source) -> str:
     Only the page's narrow columns meet the other records, never its html."""
     found = "status_code BETWEEN 200 AND 399"
     snippet = lambda word, *before: q.last_by("text", "pos", f"{found} AND contains(path, '{word}')" + "".join(f" AND NOT contains(path, '{b}')" for b in before))
+    origin = q.first("p.url", "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)")
+    # A place that robots.txt names is listed once.
+    well_known = lambda path: f"CASE WHEN NOT contains(concat(',', coalesce(b.robots_sitemaps, ''), ','), concat(',', {origin}, '{path},')) THEN concat({origin}, '{path}') END"
     index, n = "contains(content, '<sitemapindex')", f"{q.count('content', '(?i)<url>')}"
     return f"""WITH pr AS (SELECT page_id, {q.listagg('path', 'pos', found)} AS found_paths, CAST(count(*) FILTER (WHERE {found}) AS INT) AS n_found_paths, {snippet('privacy')} AS privacy_snippet,
         {snippet('terms', 'privacy')} AS terms_snippet, {snippet('contact', 'privacy', 'terms')} AS contact_snippet FROM {source('probes')} GROUP BY page_id),
@@ -96,7 +99,7 @@ def assembled(q, source) -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM {source('sitemaps')}) x WHERE k <= 5 GROUP BY page_id)
       SELECT p.*, f.status_code, f.final_url, f.content_type, f.hops, f.latency_ms, f.headers, f.seen_active, f.seen_status, d.a_records, d.aaaa_records, d.ns_records, d.mx_present, l.https_ok, l.cert_issuer, l.valid_from, l.valid_to,
         r.registered_at, r.expires_at, r.registrar, r.error, r.source, b.robots_status, b.robots_ok, b.disallow_count,
-        concat(CASE WHEN b.robots_sitemaps <> '' THEN concat(b.robots_sitemaps, ',') ELSE '' END, '/sitemap.xml,/sitemap_index.xml') AS sitemap_urls_found,
+        concat_ws(',', nullif(b.robots_sitemaps, ''), {well_known('/sitemap.xml')}, {well_known('/sitemap_index.xml')}) AS sitemap_urls_found,
         sm.sitemap_url_count, pr.found_paths, pr.n_found_paths, pr.privacy_snippet, pr.terms_snippet, pr.contact_snippet
       FROM {source('page')} p LEFT JOIN {source('fetches')} f ON p.page_id = f.page_id LEFT JOIN {source('dns')} d ON p.page_id = d.page_id LEFT JOIN {source('tls')} l ON p.page_id = l.page_id
         LEFT JOIN {source('registration')} r ON p.page_id = r.page_id LEFT JOIN {source('robots')} b ON p.page_id = b.page_id LEFT JOIN sm ON p.page_id = sm.page_id LEFT JOIN pr ON p.page_id = pr.page_id"""
