@@ -315,42 +315,41 @@ def mark_policies(root: Element) -> None:
         x.policies |= x.parent.policies
 
 
-def links(page: str | None, url: str | None) -> Iterator[dict]:
-    """Every link of a page that has an address, in page order."""
+def links(page: str | None, url: str | None, products: bool = True) -> Iterator[dict]:
+    """Every link of a page that has an address, in page order. A card's titles, prices and image stand at its first link only, so that
+    a page of n links in one card gives n rows and not n times what the card holds; without products no cards are looked for."""
     root, base = parse(page), url or ""
     mark_policies(root)
-    cards: dict[int, tuple] = {}
+    cards: dict[int, int] = {}
     for pos, x in enumerate(root.below(lambda y: y.tag == "a" and "href" in y.attrs)):
-        card = card_of(x)
-        if id(card) not in cards:
-            cards[id(card)] = titles_of(card), prices_of(card), image_of(card, base)
-        titles, prices, image = cards[id(card)]
+        titles, prices, image, number = [], [], None, None
+        if products:
+            card = card_of(x)
+            if id(card) not in cards:
+                titles, prices, image = titles_of(card), prices_of(card), image_of(card, base)
+            number = cards.setdefault(id(card), pos)
         text, href = x.text().strip(), x.attrs["href"]
         yield {
             "pos": pos, "href": href, "text": text, "label": f"{text} {x.attrs.get('aria-label', '')} {x.attrs.get('title', '')}", "in_footer": x.footer, "footer_like": x.footer or x.footer_like, "skipped": x.skipped,
             "address": page_address(href, base), "product_url": product_address(href, base), "near": [k for k, _ in V.POLICY_ANCHORS if k in x.policies],
-            "titles": [*titles, x.attrs.get("aria-label", "").strip(), text], "prices": prices, "image": image,
+            "card": number, "own_titles": [x.attrs.get("aria-label", "").strip(), text], "titles": titles, "prices": prices, "image": image,
         }
 
 
-LINK = "pos int, href string, text string, label string, in_footer boolean, footer_like boolean, skipped boolean, address string, product_url string, near array<string>, titles array<string>, prices array<struct<kind: string, text: string, original: string>>, image string"
-
-
-
-
+LINK = "pos int, href string, text string, label string, in_footer boolean, footer_like boolean, skipped boolean, address string, product_url string, near array<string>, card int, own_titles array<string>, titles array<string>, prices array<struct<kind: string, text: string, original: string>>, image string"
 _PRICE = pa.struct([("kind", pa.string()), ("text", pa.string()), ("original", pa.string())])
-_TYPES = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(_PRICE), pa.string()]
-_NAMES = ["pos", "href", "text", "label", "in_footer", "footer_like", "skipped", "address", "product_url", "near", "titles", "prices", "image"]
+_TYPES = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(_PRICE), pa.string()]
+_NAMES = ["pos", "href", "text", "label", "in_footer", "footer_like", "skipped", "address", "product_url", "near", "card", "own_titles", "titles", "prices", "image"]
 
 
-def link_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+def link_rows(pages: DataFrame, html: str = "html", products: bool = False) -> DataFrame:
     """(page_id, url, html) -> page_id, url and LINK: a row for each link of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # A page at a time, so that a batch of long pages is never held whole as links.
             for page_id, url, page in zip(*batch.columns):
-                rows = list(links(page.as_py(), url.as_py()))
+                rows = list(links(page.as_py(), url.as_py(), products))
                 if rows:
                     own = [pa.array([page_id.as_py()] * len(rows), batch.schema.field(0).type), pa.array([url.as_py()] * len(rows), pa.string())]
                     yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[n] for r in rows], t) for n, t in zip(_NAMES, _TYPES))], names=["page_id", "url", *_NAMES])

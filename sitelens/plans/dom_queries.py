@@ -10,7 +10,9 @@ from ..functions import dom
 from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
+from ..operators import sinks
 from ..sources import ingest, views
+from ..streaming import state
 from .page_queries import named
 
 KINDS = [k for k, _ in V.POLICY_ANCHORS]
@@ -208,10 +210,19 @@ PRODUCTS, TITLE = 200, 200
 
 def offers(spark, sf) -> DataFrame:
     """Every link of a page with its product's title, price and image, and why it is none: domain, duplicate, nav, excluded or product."""
+    return offers_of(pages(spark, sf))
+
+
+def offers_of(shop: DataFrame) -> DataFrame:
+    """The same of any pages (page_id, url, html). What a card shows is reduced to one title and one price before its links share it."""
     q = SPARK
     bad_title = C.any_of(q, "x", V.NO_TITLES)
-    title = f"substr(get(filter(titles, x -> length(x) BETWEEN 3 AND 200 AND NOT ({bad_title})), 0), 1, {TITLE})"
-    df = links(spark, sf).selectExpr("page_id", "url", "pos", "product_url", "skipped", "image", f"{title} AS title", f"get(filter(prices, x -> {P.priced(q, 'x.text')} IS NOT NULL), 0) AS p")
+    title = lambda c: f"substr(get(filter({c}, x -> length(x) BETWEEN 3 AND 200 AND NOT ({bad_title})), 0), 1, {TITLE})"
+    df = dom.link_rows(shop, products=True).selectExpr("page_id", "url", "pos", "product_url", "skipped", "card", f"{title('own_titles')} AS own_title",
+                                                       f"CASE WHEN pos = card THEN struct({title('titles')} AS title, get(filter(prices, x -> {P.priced(q, 'x.text')} IS NOT NULL), 0) AS p, image) END AS c")
+    # A page's rows meet once, for this window and for those below.
+    df = df.repartition("page_id").withColumn("c", F.expr("max_by(c, -pos) OVER (PARTITION BY page_id, card)"))
+    df = df.selectExpr("page_id", "url", "pos", "product_url", "skipped", "c.image AS image", "coalesce(c.title, own_title) AS title", "c.p AS p")
     df = df.selectExpr("*", f"{P.priced(q, 'p.text')} AS k", f"{P.priced(q, 'p.original')} AS original_k")
     df = df.selectExpr("*", *named(P.price(q, "p.text", "k")), *named({f"original_{c}": e for c, e in P.price(q, "p.original", "original_k").items() if c != "currency"}))
     df = df.withColumns({"path": F.expr(C.path(q, "product_url")), "own": in_scope("product_url")})
@@ -235,7 +246,11 @@ CONFIDENCE = "CAST(least(100, CASE WHEN product THEN 30 ELSE 0 END + CASE WHEN p
 
 
 def products(spark, sf) -> DataFrame:
-    df = offers(spark, sf).filter((F.col("why").isNull()) & (F.col("taken") <= PRODUCTS))
+    return products_of(pages(spark, sf))
+
+
+def products_of(shop: DataFrame) -> DataFrame:
+    df = offers_of(shop).filter((F.col("why").isNull()) & (F.col("taken") <= PRODUCTS))
     return df.selectExpr("page_id", "pos", "product_url", "path", "title", "price_text", "currency", "amount", "original_price_text", "original_amount", "on_sale", "image", f"{CONFIDENCE} AS confidence")
 
 
@@ -244,6 +259,64 @@ def sku_extract(spark, sf):
     return products(spark, sf).withColumn("n", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, pos)")).drop("pos")
 
 
+#: Pages of a shop: parts of a brand and size, each a card of a list with its name, picture and price. Every fourth part is on sale, every fourth has
+#: no price, and the last part of a page is linked twice.
+SHOP = "concat('https://www.shop.example/list/', page_id)"
+
+
+def shop_pages(spark, sf) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    shown = F.format_string("%.2f", "p_retailprice")
+    price = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("<span class='price'><del>$2000.50</del> <ins>$"), shown, F.lit("</ins></span>"))).when(F.col("p_partkey") % 4 == 1, "").when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("<span class='price'>"), shown, F.lit(" EUR</span>"))).otherwise(F.concat(F.lit("<span class='price'>£"), shown, F.lit("</span>")))
+    key = F.col("p_partkey").cast("string")
+    card = F.concat(F.lit("<li class='product'><a href='/products/p"), key, F.lit("?utm=1'><img src='/i/"), key, F.lit(".png' alt=''><h2>"), "p_name", F.lit("</h2></a>"), price, F.lit("</li>"))
+    cards = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), card.alias("html"))))
+    own = part.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("page_id"), cards.alias("cards"))
+    again = F.concat(F.lit("<a href='/products/p"), F.element_at("cards", -1)["k"].cast("string"), F.lit("'>Once more</a>"))
+    html = F.concat(F.lit("<html><body><nav><a href='/cart'>Cart</a></nav><ul>"), F.array_join(F.transform("cards", lambda c: c["html"]), ""), F.lit("</ul><div>"), again, F.lit("</div><a href='https://other.example/products/x'>Other</a></body></html>"))
+    return own.select("page_id", F.expr(SHOP).alias("url"), html.alias("html"))
+
+
+def shop_products(spark, sf):
+    """Products of the shop's pages, surest first, then in page order."""
+    return products_of(shop_pages(spark, sf)).withColumn("n", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, pos)")).drop("pos")
+
+
+def shop_products_sql() -> str:
+    """What the parts say themselves."""
+    shown = "printf('%.2f', p_retailprice)"
+    own = f"""SELECT *, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS page_id, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS place, CASE p_partkey % 4 WHEN 0 THEN '$' || {shown} WHEN 2 THEN {shown} || ' EUR' WHEN 3 THEN '£' || {shown} END AS price_text,
+      CASE p_partkey % 4 WHEN 0 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'GBP' END AS currency FROM part"""
+    item = f"""SELECT page_id, concat('https://www.shop.example/products/p', p_partkey) AS product_url, concat('/products/p', p_partkey) AS path, p_name AS title, price_text, currency, CASE WHEN currency IS NOT NULL THEN CAST({shown} AS DOUBLE) END AS amount, CASE WHEN p_partkey % 4 = 0 THEN '$2000.50' END AS original_price_text,
+      CASE WHEN p_partkey % 4 = 0 THEN 2000.5::DOUBLE END AS original_amount, p_partkey % 4 = 0 AS on_sale, concat('https://www.shop.example/i/', p_partkey, '.png') AS image, 60 + CASE WHEN price_text IS NULL THEN 0 ELSE 35 END AS confidence, place FROM ({own}) WHERE place <= {PRODUCTS}"""
+    return f"SELECT * EXCLUDE (place), CAST(row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, place) AS INTEGER) AS n FROM ({item})"
+
+
+def sku_run(spark, sf):
+    """Products found, stored and read back as one chain: each page's run replaces its earlier one, and a run that finds nothing keeps what is there.
+
+    The first run sees pages without their last card, the second whole ones of every other page, the third pages that show nothing."""
+    at = state.folder(spark)
+    shop = shop_pages(spark, sf)
+    cut = shop.withColumn("html", F.regexp_replace("html", "<li class='product'>(?!.*<li class='product'>).*$", ""))
+    every, none = F.pmod("page_id", F.lit(2)) == 0, shop.withColumn("html", F.lit("<p>Down for repair</p>"))
+    for seen in (cut, shop.filter(every), none):
+        found = products_of(seen).select((F.col("page_id") % RUNS).cast("int").alias("bucket"), "page_id", "product_url", "title", "currency", "amount", "confidence", "pos")
+        sinks.replace_runs(found, f"{at}/products", "bucket", "page_id")
+    back = spark.read.parquet(f"{at}/products").withColumn("n", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, pos)"))
+    return back.select("page_id", "n", "product_url", "title", "currency", "amount", "confidence")
+
+
+#: Partitions of the store of products.
+RUNS = 16
+
+
+def sku_run_sql() -> str:
+    left = f"SELECT *, count(*) OVER (PARTITION BY page_id) AS cards, row_number() OVER (PARTITION BY page_id ORDER BY CAST(substr(path, 12) AS BIGINT)) AS place FROM ({shop_products_sql()})"
+    kept = f"SELECT * FROM ({left}) WHERE page_id % 2 = 0 OR place < cards"
+    return f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, place) AS INTEGER) AS n, product_url, title, currency, amount, confidence FROM ({kept})"
+
+
 NO_PRODUCTS = "SELECT CAST(NULL AS BIGINT) AS page_id, '' AS product_url, '' AS path, '' AS title, '' AS price_text, '' AS currency, 0.0::DOUBLE AS amount, '' AS original_price_text, 0.0::DOUBLE AS original_amount, false AS on_sale, '' AS image, 0 AS confidence, 0 AS n WHERE false"
 
 
@@ -303,6 +376,8 @@ def catalogue() -> dict:
         "policy_summary": (policy_summary, policy_summary_sql()),
         "link_list": (link_list, link_list_sql()),
         "sku_extract": (sku_extract, NO_PRODUCTS),
+        "shop_products": (shop_products, shop_products_sql()),
+        "sku_run": (sku_run, sku_run_sql()),
         "sku_summary": (sku_summary, sku_summary_sql()),
         "page_readings": (page_readings, page_readings_sql()),
     }

@@ -114,3 +114,21 @@ def test_pages_are_read_in_linear_time(page):
     began = time.perf_counter()
     list(dom.links(page, SHOP))
     assert time.perf_counter() - began < 5  # quadratic time would be minutes
+
+
+def test_what_a_card_shows_grows_with_the_page_only():
+    """Prices of a card of n links and n spans: as many as the page holds, not as many for each link."""
+    counts = []
+    for n in (100, 200, 400):
+        page = "<article class=product>" + "".join(f"<a href='/products/{k}'>Item {k}</a><span>${k}.50</span>" for k in range(n)) + "</article>"
+        rows = list(dom.links(page, SHOP))
+        assert len(rows) == n and {r["card"] for r in rows} == {0}
+        counts.append(sum(len(r["prices"]) + len(r["titles"]) for r in rows))
+    assert counts[1] <= 2.1 * counts[0] and counts[2] <= 2.1 * counts[1]
+    assert all(r["prices"] == [] and r["card"] is None for r in dom.links("<article><a href=/x>y</a><span>$1</span></article>", SHOP, products=False))
+
+
+def test_links_of_a_card_share_its_price(spark):
+    page = "<ul><li class=product><a href='/products/a'>First name</a><a href='/products/b'>Second name</a><span class=price>$5.00</span></li></ul>"
+    rows = D.products_of(spark.createDataFrame([(1, SHOP, page), (2, SHOP, page.replace("5", "6"))], "page_id long, url string, html string")).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.title, r.amount) for r in rows] == [(1, "First name", 5.0), (1, "Second name", 5.0), (2, "First name", 6.0), (2, "Second name", 6.0)]

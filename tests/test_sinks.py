@@ -23,3 +23,15 @@ def test_kinds_are_registered_once():
     with pytest.raises(ValueError):
         datapoints.register("contact_details", "again", None)
     assert {"contact_details", "domain_risk_assessment"} <= {k.key for k in datapoints.kinds()}
+
+
+def test_runs_of_one_partition_are_replaced_alone(spark, tmp_path):
+    path = f"{tmp_path}/runs"
+    put = lambda *rows: sinks.replace_runs(spark.createDataFrame([(r % 2, r, x) for r, x in rows], "part int, run int, x string"), path, "part", "run")
+    held = lambda: sorted((r.run, r.x) for r in spark.read.parquet(path).collect())
+    put((1, "a"), (1, "b"), (3, "c"), (2, "d"))
+    put((3, "new"))
+    assert held() == [(1, "a"), (1, "b"), (2, "d"), (3, "new")]
+    put()
+    put((4, "e"), (1, "f"))
+    assert held() == [(1, "f"), (2, "d"), (3, "new"), (4, "e")]
