@@ -11,6 +11,7 @@ from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
 from ..operators import sinks
+from ..operators.shared import written
 from ..sources import ingest, views
 from ..streaming import state
 from .page_queries import named
@@ -187,6 +188,27 @@ def policy_summary_sql() -> str:
     return f"SELECT p.page_id, b.* EXCLUDE (page_id), CASE WHEN {missing} <> '' THEN concat('Missing: ', {missing}) END AS notes FROM pages p LEFT JOIN (SELECT page_id, {picks} FROM ({cascade_sql()}) GROUP BY page_id) b USING (page_id)"
 
 
+def policy_run(spark, sf):
+    """Policies found, stored and read back as one chain: a page's run replaces its earlier one and its data point, and one that finds nothing keeps both.
+
+    The first run asks for privacy alone, the second for every policy of every other page, the third finds nothing."""
+    at = state.folder(spark)
+    found = cascade(spark, sf).select((F.col("page_id") % RUNS).cast("int").alias("bucket"), "page_id", "policy", F.col("found").alias("url"), "method", "note")
+    found = written(found)
+    every = F.pmod("page_id", F.lit(2)) == 0
+    for run, rows in enumerate((found.filter("policy = 'privacy'"), found.filter(every), found.limit(0))):
+        sinks.replace_runs(rows, f"{at}/links", "bucket", "page_id")
+        point = rows.groupBy("bucket", "page_id").agg(F.array_join(F.array_sort(F.collect_set("policy")), ",").alias("value")).withColumn("run", F.lit(run))
+        sinks.replace_runs(point, f"{at}/points", "bucket", "page_id")
+    points = spark.read.parquet(f"{at}/points").select("page_id", F.col("value").alias("kinds"), "run")
+    return spark.read.parquet(f"{at}/links").join(points, "page_id", "left").select("page_id", "policy", "url", "method", "note", "kinds", "run")
+
+
+def policy_run_sql() -> str:
+    kept = f"SELECT * FROM ({cascade_sql()}) WHERE page_id % 2 = 0 OR policy = 'privacy'"
+    return f"SELECT page_id, policy, url, method, note, string_agg(policy, ',' ORDER BY policy) OVER (PARTITION BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS kinds, CAST(1 - page_id % 2 AS INTEGER) AS run FROM ({kept})"
+
+
 #: Links of a page that a reader of meaning is given: from its footer, and others.
 FOOTER_LINKS, OTHER_LINKS, LABEL = 30, 20, 100
 
@@ -374,6 +396,7 @@ def catalogue() -> dict:
         "policy_verification": (policy_verification, f"SELECT page_id, policy, method, n, address, status_code, verified, note FROM ({verification_sql()})"),
         "policy_cascade": (policy_cascade, cascade_sql()),
         "policy_summary": (policy_summary, policy_summary_sql()),
+        "policy_run": (policy_run, policy_run_sql()),
         "link_list": (link_list, link_list_sql()),
         "sku_extract": (sku_extract, NO_PRODUCTS),
         "shop_products": (shop_products, shop_products_sql()),
