@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
-from ..functions import registration, requests
+from ..functions import dom, registration, requests
 from ..functions import pages as P
 from ..functions import values as V
 from ..functions.dialect import DUCK, SPARK
@@ -533,6 +533,24 @@ def contact_links_sql() -> str:
     return f"SELECT page_id, path, text, {DUCK.has('path', CONTACT_PATHS)} AS trusted FROM (SELECT * FROM ({own}) WHERE {DUCK.has('text', CONTACT_WORDS)} OR {DUCK.has('path', CONTACT_IN_PATH)} UNION ALL SELECT page_id, path, 'probe' FROM ({ingest.sql('probes', 'duck')}) WHERE contains(path, 'contact'))"
 
 
+def contact_discovery(spark, sf):
+    """The contact page of a scan by three steps: paths that answer, sitemaps, and links of the page as a browser drew it. Links are
+    looked for only where the first two find none, and the first trusted one in page order is taken."""
+    known = site_queries.contact_pages(spark, sf)
+    drawn = ingest.read(spark, sf, "renders").join(known.select("page_id"), "page_id", "left_anti")
+    df = dom.link_rows(drawn).filter(~dom_queries.no_page("href") & dom_queries.in_scope("address", subdomains=False))
+    path = F.lower(F.expr(C.path(SPARK, "address")))
+    df = df.withColumn("path", path).filter(F.expr(f"({SPARK.has('text', CONTACT_WORDS)} OR {SPARK.has('path', CONTACT_IN_PATH)}) AND {SPARK.has('path', CONTACT_PATHS)}"))
+    third = df.groupBy("page_id").agg(F.min_by("address", "pos").alias("contact_page")).withColumn("step", F.lit(3))
+    pages = t(spark, sf, "pages").select("page_id")
+    return pages.join(known.unionByName(third), "page_id", "left").select("page_id", "contact_page", "step")
+
+
+def contact_discovery_sql() -> str:
+    """No link of the supplied pages leads to a contact page by its path."""
+    return f"SELECT page_id, contact_page, step FROM (SELECT page_id FROM pages) LEFT JOIN ({site_queries.contact_pages_sql()}) USING (page_id)"
+
+
 def contact_trust(spark, sf):
     """Whether the probed contact pages are contact pages: by their path, or else by what they say."""
     df = ingest.read(spark, sf, "probes").filter("path LIKE '%contact%' OR path LIKE '%about%'").withColumn("h", F.coalesce("text", F.lit("")))
@@ -804,6 +822,7 @@ def catalogue() -> dict:
         "crawl_frontier": (crawl_frontier, crawl_frontier_sql()),
         "internal_links": (internal_links, internal_links_sql()),
         "contact_links": (contact_links, contact_links_sql()),
+        "contact_discovery": (contact_discovery, contact_discovery_sql()),
         "contact_trust": (contact_trust, trust),
         "hosting": (hosting, page_queries.select(hosting_columns(DUCK), f"SELECT s_suppkey, {host_addresses('duck')} AS url FROM supplier", ("s_suppkey",))),
         "header_pick": (header_pick, header_pick_sql()),

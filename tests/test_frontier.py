@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import robots
 from sitelens.operators import frontier
+from sitelens.plans import record_queries
 
 
 def xml(*locs, index=False):
@@ -71,3 +72,15 @@ def test_nulls_and_empty_tables(run):
     rows, got = run([(1, ["a", "b"])], answers, frontier.LAYERED)
     assert [x[1] for x in got.values()] == [False, False] and frontier.discovered(rows).count() == 0
     assert run([], answers, frontier.LAYERED)[1] == {} and len(run([(1, ["a"])], [], frontier.DISCOVERY)[1]) == 1
+
+
+def test_contact_pages_by_three_steps(spark, tmp_path):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    url = "https://www.s.example/"
+    drawn = "<a href='https://far.example/contact'>Contact</a><a href='/team'>Team</a><a href='mailto:a@s.example'>Contact</a><a href='/hilfe/contact-us'>Write</a><a href='/contact'>Contact</a>"
+    put("pages", [(k, url, "<p>x") for k in range(1, 5)], "page_id long, url string, html string")
+    put("renders", [(1, url, drawn), (2, url, drawn), (3, url, drawn), (4, url, "<a href='/team'>Team</a>")], "page_id long, url string, html string")
+    put("probes", [(1, 0, "/contact", 404, None), (1, 1, "/about", 200, "x")], "page_id long, pos int, path string, status_code int, text string")
+    put("sitemaps", [(2, 0, "m", 200, xml("https://s.example/contact"))], "page_id long, pos int, url string, status_code int, content string")
+    got = {r.page_id: (r.contact_page, r.step) for r in record_queries.contact_discovery(spark, str(tmp_path)).collect()}
+    assert got == {1: ("/about", 1), 2: ("https://s.example/contact", 2), 3: ("https://www.s.example/hilfe/contact-us", 3), 4: (None, None)}
