@@ -686,7 +686,7 @@ def signature_store(spark, sf):
     return out.select("doc_id", F.size("signature").alias("n"), F.round(total, 4).alias("total"), "reused")
 
 
-SIGNATURE_STORE_SQL = f"""
+SIGNATURE_STORE_SQL = rf"""
 WITH g AS ({compare_queries.SIGNATURE_SQL}), d AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE regexp_matches(text, '\S'))
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n, round(sum(value), 4) AS total, any_value(sha) IN (SELECT sha FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) AS reused FROM g JOIN d USING (doc_id) GROUP BY doc_id
 """

@@ -380,7 +380,7 @@ def sitemap_fetches_sql(discovery: bool) -> str:
     left = "5" if discovery else "5 - n"
     # Of the files of robots.txt that the stand-in hands out none blocks a sitemap.
     answer = lambda level, front: f"SELECT f.page_id, {level} AS level, f.place, f.url, a.status_code, coalesce(a.is_index, false) AS is_index, CASE WHEN a.is_index THEN 0 ELSE coalesce(a.n, 0) END AS url_count, coalesce(a.locs, []) AS locs FROM {front} f LEFT JOIN a ON a.page_id = f.page_id AND a.url = f.url"
-    return f"""
+    return rf"""
     WITH r AS (SELECT * FROM ({robots_variants_sql()})), p AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root FROM pages),
     s AS (SELECT page_id, unnest(urls) AS url, unnest(range(1, len(urls) + 1)) AS k, false AS blocked FROM (SELECT page_id, {urls} AS urls FROM p JOIN r USING (page_id))),
     f0 AS (SELECT * FROM ({first}) WHERE place <= {most}),
