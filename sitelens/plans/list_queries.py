@@ -107,7 +107,7 @@ def fetched_bodies(spark, sf):
     return df.select("page_id", F.octet_length("b").cast("long").alias("bytes"), F.octet_length(kept).cast("long").alias("kept"), (F.octet_length("b") > BODY).alias("was_cut"), F.sha2(kept, 256).alias("sha256"))
 
 
-FETCHED_BODIES_SQL = f"SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, CAST(least(strlen(html), {BODY}) AS BIGINT) AS kept, strlen(html) > {BODY} AS was_cut, CASE WHEN strlen(html) <= {BODY} THEN sha256(html) END AS sha256 FROM pages"
+FETCHED_BODIES_SQL = f"SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, CAST(CASE WHEN strlen(html) > {BODY} THEN {BODY} ELSE strlen(html) END AS BIGINT) AS kept, strlen(html) > {BODY} AS was_cut, CASE WHEN strlen(html) <= {BODY} THEN sha256(html) END AS sha256 FROM pages"
 
 
 def catalogue() -> dict:

@@ -45,7 +45,7 @@ SNIPPETS = [
     '<meta name="generator" content="WordPress"><h2>About us</h2><h3>Team</h3><img src="/a.png"><button>Go</button><table><tr><td>1</td></tr></table><link rel="icon" href="/f">',
 ]
 #: Queries whose SQL reads the supplied pages only.
-PLAIN = {"page_links", "policy_candidates", "policy_verification", "policy_cascade", "policy_summary", "link_list", "sku_extract", "sku_summary", "page_readings", "internal_links", "contact_links"}
+PLAIN = {"page_links", "policy_candidates", "policy_verification", "policy_cascade", "policy_summary", "link_list", "sku_extract", "sku_summary", "page_readings", "internal_links", "contact_links", "policy_run", "resolved_links"}
 
 
 @pytest.fixture(scope="module")
