@@ -2,6 +2,7 @@
 
 import time
 
+import duckdb
 import pytest
 
 from sitelens.functions import dom
@@ -132,3 +133,18 @@ def test_links_of_a_card_share_its_price(spark):
     page = "<ul><li class=product><a href='/products/a'>First name</a><a href='/products/b'>Second name</a><span class=price>$5.00</span></li></ul>"
     rows = D.products_of(spark.createDataFrame([(1, SHOP, page), (2, SHOP, page.replace("5", "6"))], "page_id long, url string, html string")).orderBy("page_id", "pos").collect()
     assert [(r.page_id, r.title, r.amount) for r in rows] == [(1, "First name", 5.0), (1, "Second name", 5.0), (2, "First name", 6.0), (2, "Second name", 6.0)]
+
+
+def test_runs_over_pages_with_more_cards_than_a_run_takes(spark, tmp_path):
+    """Pages of 1, 2, 199 to 201 and 260 cards, of even and odd ids, as the SQL has them."""
+    rows, k = [], 0
+    for size, cards in enumerate((1, 2, 199, 200, 201, 260, 3, 201, 260)):
+        for _ in range(cards):
+            k += 1
+            rows.append((k, f"part {k} of a shop", "Brand#1", size, 900.0 + k % 100))
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    columns = "page_id, n, product_url, title, currency, amount, confidence"
+    got = sorted(tuple(r) for r in D.sku_run(spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(db.sql(f"SELECT {columns} FROM ({D.sku_run_sql()})").fetchall())
