@@ -128,18 +128,29 @@ def token(j: int | Column) -> list[Column]:
     return [F.substring("tokens", j + 1, F.lit(1)), F.substring("tokens", j * 3 + (MINHASHES + 1), F.lit(3))]
 
 
-def dealt(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(node, id) -> node, id, size, pivot: the rows of one of the nodes of each set of members, where these
-    are two or more, of several components as found so far."""
+def placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(id, nodes) -> node, id, component: an id meets its component once, whatever the number of its nodes."""
     component = F.col("id")
     if found is not None:
         rows = rows.join(found, "id", "left")
         component = F.coalesce("component", "id")
+    return rows.select(F.explode("nodes").alias("node"), "id", component.alias("component"))
+
+
+def dealt(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(id, nodes) -> node, id, size, pivot: the rows of one of the nodes of each set of members, where these
+    are two or more, of several components as found so far."""
+    rows = placed(rows, found)
+    if found is not None:
+        rows = cut(rows)
     nodes = rows.groupBy("node").agg(
-        F.count("*").alias("size"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min(component).alias("x"), F.max(component).alias("y")
+        F.count("*").alias("size"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("component").alias("x"), F.max("component").alias("y")
     )
     one = nodes.filter("x < y").groupBy("size", "pivot", "members").agg(F.min("node").alias("node"))
-    return rows.select("node", "id").join(one.select("node", "size", "pivot").hint("merge"), "node")
+    out = cut(rows.select("node", "id").join(one.select("node", "size", "pivot").hint("merge"), "node"))
+    if found is not None:
+        forget(rows)
+    return out
 
 
 def in_parts(rows: DataFrame, parts: Column, node: str) -> DataFrame:
@@ -150,10 +161,21 @@ def in_parts(rows: DataFrame, parts: Column, node: str) -> DataFrame:
     return rows.filter("parts <= 1").drop("parts").unionByName(split.drop("parts", "part", "other"))
 
 
+def by_id(rows: DataFrame, node: str = "node") -> DataFrame:
+    """(node, id) -> id, nodes."""
+    return rows.groupBy("id").agg(F.collect_list(node).alias("nodes"))
+
+
+def children(node: Column) -> Column:
+    """Where a node's paths lead a class."""
+    paths = [[F.pmod(F.xxhash64(node, F.lit(p), F.lit(s)), F.lit(MINHASHES)).cast("int") for s in range(STEP)] for p in range(PATHS)]
+    return F.array(*(F.xxhash64(node, F.lit(p), *(b for j in path for b in token(j))) for p, path in enumerate(paths)))
+
+
 def leaves(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(leaf, id): the nodes of all trees that are compared exhaustively; and the links of pivots."""
     roots = F.array(*(F.xxhash64(F.lit(t), *token(t)) for t in range(TREES)))
-    rows = cut(dealt(classes.select("id", F.explode(roots).alias("node")), None))
+    rows = dealt(classes.select("id", roots.alias("nodes")), None)
     out = [rows.filter(F.col("size") <= LEAF)]
     links, found, large = None, None, rows.filter(F.col("size") > LEAF)
     if large.isEmpty():
@@ -165,13 +187,11 @@ def leaves(classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame |
         if not new.isEmpty():
             links = new if links is None else cut(links.union(new))
             found = components(links)
-        large = cut(dealt(large.select("node", "id"), found).filter(F.col("size") > LEAF))
+        large = dealt(by_id(large), found)
         if level == DEPTH or large.isEmpty():
             break
-        paths = [[F.pmod(F.xxhash64("node", F.lit(p), F.lit(s)), F.lit(MINHASHES)).cast("int") for s in range(STEP)] for p in range(PATHS)]
-        children = F.array(*(F.xxhash64("node", F.lit(p), *(b for j in path for b in token(j))) for p, path in enumerate(paths)))
-        below = large.select("node", "id").join(own.select("id", "tokens"), "id").select("id", F.explode(children).alias("node"))
-        below = cut(dealt(below, found))
+        below = by_id(large).join(own.select("id", "tokens"), "id").select("id", F.flatten(F.transform("nodes", children)).alias("nodes"))
+        below = dealt(below, found)
         out.append(below.filter(F.col("size") <= LEAF))
         large = below.filter(F.col("size") > LEAF)
     out.append(in_parts(large, F.ceil(2 * F.col("size") / LEAF), "node"))
@@ -377,9 +397,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     links = cut(new if links is None else links.union(new))
     found = components(links)
     # Nodes with possible links beside their forest, where these may join different components.
-    more = first.filter("a = b").select("leaf", F.col("a").alias("id")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = more.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("leaf")
-    more = cut(more.join(open_, "leaf", "left_semi"))
+    every = by_id(first.filter("a = b").select("leaf", F.col("a").alias("id")), "leaf")
+    every = cut(placed(every, found).withColumnRenamed("node", "leaf"))
+    open_ = every.groupBy("leaf").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("leaf")
+    more = cut(every.join(open_, "leaf", "left_semi"))
+    forget(every)
     if not more.isEmpty():
         sets = full_sets(more.select("id").distinct(), classes, docs)
         sized = more.join(classes.select("id", "n"), "id")

@@ -71,3 +71,22 @@ def test_recall_over_a_whole_table(spark):
     linked = [i for i in want if want[i] != i]
     assert len(got) == 10_000 and len(linked) > 500
     assert np.mean([got[i] == want[i] for i in linked]) >= 0.95 and all(got[i] >= want[i] for i in got)
+
+
+def test_an_id_meets_its_component_once(spark, monkeypatch):
+    """A left join by id gets a row for each class, not one for each node that holds it."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(90))
+    docs = [(k, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 9000, 20 + k % 3))) for k in range(60)]
+    docs += [(60 + k, f"{docs[k][1]} end") for k in range(30)]
+    seen, join = [], type(spark.range(1)).join
+
+    def spy(self, other, on=None, how=None):
+        if how == "left" and on == "id":
+            seen.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    monkeypatch.setattr(type(spark.range(1)), "join", spy)
+    assert found(spark, docs) == components(docs)
+    assert len(seen) > 2 and max(seen) <= len(docs)
