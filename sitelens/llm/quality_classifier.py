@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, fresh, small_batches, table
+from .common import crc_mod, cut, forget, fresh, small_batches, table
 
 #: Weight of the pooled covariance and of the identity's multiple in a class's covariance.
 POOLED, ROUND = 0.05, 0.02
@@ -173,7 +173,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     there is one of label 1 or none. Rows are judged alone, whatever their ids; a null text counts as empty; other
     columns stay, whatever their names."""
     found = fresh(docs.columns, 1)[0]
-    model = fit(spark, measured(docs), table(spark, sf_dir, "labels"))
+    # A task that measures and sums at once needs two Python workers, and those live on through all later stages.
+    rows = cut(measured(docs))
+    model = fit(spark, rows, table(spark, sf_dir, "labels"))
+    forget(rows)
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

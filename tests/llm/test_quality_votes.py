@@ -65,3 +65,11 @@ def test_fits_agree_whatever_the_order(spark):
         assert (m == n).all() and (i == j).all() and d == e
     assert a.share == b.share
     docs.unpersist()
+
+
+def test_no_task_of_the_stage_runs_two_python_steps(spark, monkeypatch):
+    plans, fit = [], quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda spark, rows, labels: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or fit(spark, rows, labels))
+    out = quality_classifier.stage(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01")
+    assert out.count() > 100
+    assert len(plans) == 1 and "Python" not in plans[0]
